@@ -84,3 +84,11 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray]
             yield from work(rows, np.append(starts(rows), rows.num_rows))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it if a column already has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

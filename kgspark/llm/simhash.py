@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import small_batches
+from kgspark.llm.common import small_batches, unused
 from kgspark.operators.graph import connected_components
 from kgspark.session import written
 
@@ -191,9 +191,7 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     An empty table stays empty. Whatever names the other columns of ``docs`` have, they don't clash with this operator's.
     """
     marks = near_duplicates(docs.select("doc_id", "text"), radius=radius, words=words)
-    name = "kept"
-    while name in docs.columns:
-        name += "_"
+    name = unused("kept", docs.columns)
     kept = marks.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"))
     kept = written(kept, "simhash-kept")
     nameless = docs.where(F.col("doc_id").isNull())
