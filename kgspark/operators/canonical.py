@@ -14,6 +14,7 @@ from kgspark.functions import text as X
 from kgspark.operators import sampling
 from kgspark.operators import vectors as V
 from kgspark.operators.linking import dense_numbers
+from kgspark.names import NEW_ENTITY
 from kgspark.session import cut
 
 VERIFY = "Text: {text}\nTriple: {triple}\nDefinition: {definition}\nWhich relation means the same?\n{choices}\nAnswer:"
@@ -138,10 +139,10 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
                     out.append(str(kg))
                 elif top >= 0 and own > -np.inf:
                     waiting.append((store[top][0], x))
-                    out.append(f"http://createdbyedc.org/entities/{store[top][0]}")
+                    out.append(f"{NEW_ENTITY}{store[top][0]}")
                 else:
                     waiting.append((count, x))
-                    out.append(f"http://createdbyedc.org/entities/{count}")
+                    out.append(f"{NEW_ENTITY}{count}")
                     count += 1
             yield df[["doc_id", "ent_pos"]].assign(identifier=out)
 

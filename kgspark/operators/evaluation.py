@@ -10,10 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.names import GOLD_PREFIX, NEW_PREFIX
 from kgspark.session import cut
 
-GOLD_PREFIX = "_:"
-SYSTEM_PREFIX = "http://createdbyedc.org/"
 PARTS = ("s", "p", "o")
 
 
@@ -65,14 +64,20 @@ def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False) -> Dat
 
 
 def renamed(system: DataFrame, alignment: DataFrame, local: bool) -> DataFrame:
-    """System triples with aligned blanks under their gold names, as a set."""
+    """System triples with aligned blanks under their gold names, as a set.
+
+    Terms that aren't blank can't match; they get a key of their own in the join, so that a predicate of many triples
+    doesn't come together in one task.
+    """
     out = system
+    apart = F.concat(F.lit("\0"), F.xxhash64("doc_id", *PARTS).cast("string"))
     for c in PARTS:
         to = alignment.select(*(F.col(x).alias(f"_{x}") for x in alignment.columns))
-        on = F.col(f"{c}b") & (F.col(c) == F.col("_system_blank"))
+        out = out.withColumn("_key", F.when(F.col(f"{c}b"), F.col(c)).otherwise(apart))
+        on = F.col("_key") == F.col("_system_blank")
         if local:
             on = on & (F.col("doc_id") == F.col("_doc_id"))
-        out = out.join(to, on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop(*to.columns)
+        out = out.join(to, on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop("_key", *to.columns)
     return out.select("doc_id", *PARTS).distinct()
 
 
@@ -140,13 +145,13 @@ def length_ratio(gold: DataFrame, system: DataFrame) -> DataFrame:
     )
 
 
-def prepared(gold: DataFrame, system: DataFrame, system_prefix: str = SYSTEM_PREFIX) -> tuple[DataFrame, DataFrame]:
+def prepared(gold: DataFrame, system: DataFrame, system_prefix: str = NEW_PREFIX) -> tuple[DataFrame, DataFrame]:
     """Both sides as sets of split triples, cut from their sources: every later step reads them several times."""
     g = cut(checked_gold(split_blank(gold, GOLD_PREFIX)).distinct())
     return g, cut(split_blank(system, system_prefix).distinct())
 
 
-def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str = SYSTEM_PREFIX, strict_one_to_one: bool = False) -> DataFrame:
+def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str = NEW_PREFIX, strict_one_to_one: bool = False) -> DataFrame:
     """``(label, tp, fp, fn, precision, recall, f1)`` for seven labels.
 
     ``local`` aligns blanks within each document, else over all documents together. Documents pair up by ``doc_id``.

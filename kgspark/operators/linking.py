@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators.graph import connected_components
+from kgspark.names import NEW_ENTITY, NEW_RELATION
 from kgspark.session import cut
 
-NEW_ENTITY = "http://createdbyedc.org/entities/"
 
 
 def alignment_edges(me: DataFrame, mm: DataFrame, me_threshold: float = 0.5, mm_threshold: float = 0.5) -> DataFrame:
@@ -127,14 +127,13 @@ def relation_uris(triples: DataFrame, opened: DataFrame, known: DataFrame) -> Da
 
     New numbers follow the open schema's, in order of documents and positions.
     """
-    base = "http://createdbyedc.org/relations/"
     size = opened.count()
     rows = (
         triples.join(opened.select(F.col("label").alias("rel"), F.col("ord").alias("open_ord")), "rel", "left")
         .join(known.select(F.col("label").alias("rel"), F.col("uri").alias("kg_uri")), "rel", "left")
-        .select("doc_id", "pos", "rel", F.coalesce(F.concat(F.lit(base), F.col("open_ord").cast("string")), "kg_uri").alias("uri"))
+        .select("doc_id", "pos", "rel", F.coalesce(F.concat(F.lit(NEW_RELATION), F.col("open_ord").cast("string")), "kg_uri").alias("uri"))
     )
     fresh = dense_numbers(rows.where("uri IS NULL").withColumn("__key", F.struct("doc_id", "pos")), "__key").drop("__key")
     return rows.where("uri IS NOT NULL").unionAll(
-        fresh.select("doc_id", "pos", "rel", F.concat(F.lit(base), (F.col("number") + size).cast("string")).alias("uri"))
+        fresh.select("doc_id", "pos", "rel", F.concat(F.lit(NEW_RELATION), (F.col("number") + size).cast("string")).alias("uri"))
     )

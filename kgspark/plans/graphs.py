@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.names import GOLD_PREFIX
+from kgspark.names import NEW_PREFIX as NEW
 from kgspark.operators import evaluation as E
 from kgspark.plans.registry import query, table
 
-NEW = E.SYSTEM_PREFIX
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +76,7 @@ def _split(name: str, source: str, prefix: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT DISTINCT doc_id, {cols} FROM {source})"
 
 
-BASE_SQL = f"{GOLD_SQL}, {SYSTEM_SQL}, {_split('g', 'gold0', E.GOLD_PREFIX)}, {_split('y', 'system0', NEW)}"
+BASE_SQL = f"{GOLD_SQL}, {SYSTEM_SQL}, {_split('g', 'gold0', GOLD_PREFIX)}, {_split('y', 'system0', NEW)}"
 
 
 def pairs_sql(local: bool) -> str:

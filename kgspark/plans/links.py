@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.names import NEW_ENTITY
 from kgspark.operators import linking as L
 from kgspark.operators import vectors as V
 from kgspark.plans.graphs import rounded
@@ -141,7 +142,7 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {CLUSTER_SQL}, heads AS (SELECT cluster, row_number() OVER (ORDER BY min(node)) - 1 AS number FROM clusters WHERE entity IS NULL GROUP BY cluster)
-SELECT node, CASE WHEN entity IS NULL THEN '{L.NEW_ENTITY}' || number ELSE substr(entity, 3) END AS identifier FROM clusters LEFT JOIN heads ON clusters.cluster = heads.cluster AND entity IS NULL""")
+SELECT node, CASE WHEN entity IS NULL THEN '{NEW_ENTITY}' || number ELSE substr(entity, 3) END AS identifier FROM clusters LEFT JOIN heads ON clusters.cluster = heads.cluster AND entity IS NULL""")
 def cluster_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     edges, nodes = graph(spark, sf)
     return L.identifiers(L.clusters(edges, nodes, PATH))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import models as M
 from kgspark.functions import text as X
+from kgspark.names import NEW_RELATION
 from kgspark.operators import canonical as C
 from kgspark.operators import linking as L
 from kgspark.operators import metrics
@@ -136,8 +137,8 @@ def positioned(spark: SparkSession, sf: str) -> DataFrame:
     return G.system(spark, sf).distinct().withColumn("pos", F.row_number().over(w)).select("doc_id", "pos", F.col("s").alias("subj"), F.col("p").alias("rel"), F.col("o").alias("obj"))
 
 
-@query(f"""{RELS}, r AS (SELECT doc_id, pos, p AS rel, CASE p WHEN 'has_part' THEN '{L.NEW_ENTITY[:-9]}relations/0' WHEN 'placed' THEN 'http://kg/placed' END AS uri FROM t)
-SELECT doc_id, pos, rel, coalesce(uri, 'http://createdbyedc.org/relations/' || (row_number() OVER (PARTITION BY uri IS NULL ORDER BY doc_id, pos))) AS uri FROM r""")
+@query(f"""{RELS}, r AS (SELECT doc_id, pos, p AS rel, CASE p WHEN 'has_part' THEN '{NEW_RELATION}0' WHEN 'placed' THEN 'http://kg/placed' END AS uri FROM t)
+SELECT doc_id, pos, rel, coalesce(uri, '{NEW_RELATION}' || (row_number() OVER (PARTITION BY uri IS NULL ORDER BY doc_id, pos))) AS uri FROM r""")
 def relation_uri_map(spark: SparkSession, sf: str) -> DataFrame:
     opened = spark.createDataFrame([("has_part", 0)], "label string, ord long")
     known = spark.createDataFrame([("placed", "http://kg/placed")], "label string, uri string")

@@ -1 +1 @@
-"""Streaming."""
+"""Canonicalisation over streams."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import models as M
 from kgspark.functions import parsers as P
 from kgspark.functions import text as X
+from kgspark.names import NEW_ENTITY
 from kgspark.operators import canonical as C
 from kgspark.operators import evaluation as E
 from kgspark.operators import graph, linking, metrics, spans
@@ -112,7 +113,7 @@ def test_paths_and_clusters(spark):
     got = {r.node: r.entity for r in linking.clusters(edges, nodes, 0.75).collect()}
     assert got == {"m:1": "e:1", "m:2": "e:2", "m:3": "e:2", "m:4": None}
     ids = {r.node: r.identifier for r in linking.identifiers(linking.clusters(edges, nodes, 0.75)).collect()}
-    assert ids["m:1"] == "1" and ids["m:4"] == linking.NEW_ENTITY + "0"
+    assert ids["m:1"] == "1" and ids["m:4"] == NEW_ENTITY + "0"
 
 
 def test_components_of_paths_cycles_and_hubs(spark):
@@ -245,7 +246,7 @@ def test_stage_results_come_back(spark, tmp_path):
     stages, schema, n = R.latest_stage(spark, f"{tmp_path}/run")
     assert n == 1 and stages.count() == 2 and schema.count() == opened.count() and triples.count() > 0
     linked = K.link_entities(docs, triples, opened, known, None, K.Config.documented())
-    assert linked.count() == triples.count() and all(r.s.startswith("http://createdbyedc.org/entities/") for r in linked.collect())
+    assert linked.count() == triples.count() and all(r.s.startswith(NEW_ENTITY) for r in linked.collect())
     gold = linked.select("doc_id", "s", "p", "o")
     best = K.tune(docs, triples, spark.createDataFrame([(r.rel, f"http://kg/{r.rel}", "d") for r in triples.select("rel").distinct().collect()], "label string, uri string, definition string"), None, gold, K.Config(), [(0.2, 0.9, 0.5)])
     assert best.count() == 1 and len(K.default_grid()) == 810 and len(K.default_grid(False)) == 81
