@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +97,23 @@ class CellIndex:
         self.centroids = np.stack(model.clusterCenters())
         self.rows = self.assigned(base, 1).withColumnRenamed("id", "cand_id").withColumnRenamed("embedding", "b")
 
+    def save(self, path: str) -> None:
+        """Vectors below ``vectors``, one folder a cell, and centroids below ``centroids``; an existing index raises."""
+        spark = self.rows.sparkSession
+        self.rows.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/vectors")
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("errorifexists").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        """A saved index; a search reads the folders of the cells it probes."""
+        index = cls.__new__(cls)
+        found = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # at most 8,192
+        index.centroids = np.array([r.centroid for r in found])
+        index.cells = len(found)
+        index.rows = spark.read.parquet(f"{path}/vectors")
+        return index
+
     def assigned(self, df: DataFrame, probes: int) -> DataFrame:
         """``(id, embedding, cell)``: one row for each of the ``probes`` nearest cells."""
         centroids, count = self.centroids, min(probes, len(self.centroids))

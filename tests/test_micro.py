@@ -250,3 +250,30 @@ def test_stage_results_come_back(spark, tmp_path):
     gold = linked.select("doc_id", "s", "p", "o")
     best = K.tune(docs, triples, spark.createDataFrame([(r.rel, f"http://kg/{r.rel}", "d") for r in triples.select("rel").distinct().collect()], "label string, uri string, definition string"), None, gold, K.Config(), [(0.2, 0.9, 0.5)])
     assert best.count() == 1 and len(K.default_grid()) == 810 and len(K.default_grid(False)) == 81
+
+
+def test_saved_index_finds_the_same(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    v = spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(200)], "id long, embedding array<double>")
+    index = V.CellIndex(v, cells=8)
+    index.save(f"{tmp_path}/index")
+    key = lambda df: sorted((r.query_id, r.rank, r.cand_id) for r in df.collect())
+    queries = v.where("id < 20")
+    again = V.CellIndex.load(spark, f"{tmp_path}/index")
+    assert key(index.search(queries, 3, 2)) == key(again.search(queries, 3, 2))
+    assert key(again.search(queries, 3, 8)) == key(V.top_k(queries, v, 3))
+
+
+def test_training_examples_join_by_label(spark, tmp_path):
+    row = {
+        "text": "t", "entities": [{"qid": "q1"}, {"qid": "q2"}, {"qid": "unknown"}], "triples": [["a", "r", "b"]],
+        "generated_entities": [{"entity": "L1", "surface_form": ["old"], "definition": "x", "type": "one"}, {"entity": "L1", "surface_form": "form", "definition": ["first", "second"], "types": ["t1", "t2"]}],
+    }
+    import json
+
+    (tmp_path / "g.jsonl").write_text(json.dumps(row) + "\n")
+    elements = spark.createDataFrame([("q1", "L1"), ("q2", "L2")], "identifier string, label string")
+    got = R.training_examples(R.generated_mentions(spark, f"{tmp_path}/g.jsonl"), elements).orderBy("pos").collect()
+    assert [(r.qid, r.mention, r.definition, r.types) for r in got] == [("q1", "form", "first", ["t1", "t2"]), ("q2", None, None, [])]
