@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .distinct()
     )
-    before = None
+    before, rows = None, now.count()
     for _ in range(max_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -37,11 +37,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionAll(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = cut(small)
+        now = cut(small, 2 * rows)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if mark == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
                 now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
-        before = mark
+        before, rows = mark, mark[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

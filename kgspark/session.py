@@ -47,12 +47,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a file, about, where the number of rows is known beforehand.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy.
 
-    Survives lost executors, and Spark drops the files once the frame is no longer referenced.
+    Survives lost executors, and Spark drops the files once the frame is no longer referenced. ``rows``, a bound on the number of rows, keeps
+    small frames in few files however many partitions made them.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2, -(-rows // FILE_ROWS)))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
