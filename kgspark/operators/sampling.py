@@ -13,7 +13,7 @@ def draw(*ids: Column, seed: int = 0) -> Column:
     """A pseudo-random long from integer ids, by modular arithmetic that any engine can repeat."""
     value = F.lit(seed + 1).cast("long")
     for x in ids:
-        value = F.pmod(F.pmod(value * 31 + x.cast("long") + 7, F.lit(MODULUS)) * MULTIPLIER, F.lit(MODULUS))
+        value = F.pmod(F.pmod(value * 31 + F.pmod(x.cast("long"), F.lit(MODULUS)) + 7, F.lit(MODULUS)) * MULTIPLIER, F.lit(MODULUS))
     return value
 
 
