@@ -138,7 +138,9 @@ def test_articles_without_reader_comments():
     assert H.text_of(H.parse(page)) == "A\ntext"
 
 
-def test_site_templates_go(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_site_templates_go(spark, monkeypatch, sent):
+    monkeypatch.setattr(H, "SENT", sent)  # both ways of deleting
     frame = lambda i, host: (i, f"https://{host}/p/{i}", f"<body><div><p>Welcome to the site</p></div><div><p>Story number {i}</p><p>shared line {i % 2}</p></div><div>All rights</div></body>")
     rows = [frame(i, "big.example.org") for i in range(20)] + [frame(100 + i, "small.example.org") for i in range(3)]
     got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
