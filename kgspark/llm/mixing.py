@@ -87,8 +87,8 @@ def keyed(docs: DataFrame, weights: DataFrame | None, seed: int = SEED, carry: t
     else:
         label = weights.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(F.avg("quality").alias("quality"))
         scale = F.coalesce(F.col("quality") * (WEIGHTS[1] - WEIGHTS[0]) + WEIGHTS[0], F.lit(WEIGHTS[None]))
-        # labels grow with the documents, so the join is never a broadcast, at any size
-        base = base.join(label.hint("merge"), F.col("doc_id") == F.col("labelled"), "left").withColumn("weight", scale).drop("labelled", "quality")
+        # labels grow with the documents, so the join is never a broadcast, at any size; hashing them spares a sort of the texts
+        base = base.join(label.hint("shuffle_hash"), F.col("doc_id") == F.col("labelled"), "left").withColumn("weight", scale).drop("labelled", "quality")
     # u in (0, 1) from the hash's upper 53 bits
     u = (F.shiftrightunsigned("tie", 11).cast("double") + 0.5) / float(1 << 53)
     return base.withColumn("key", -F.log(u) / F.col("weight"))

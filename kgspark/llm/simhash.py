@@ -196,9 +196,9 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     kept = written(kept, "simhash-kept")
     nameless = docs.where(F.col("doc_id").isNull())
     again = kept.where("rows > 1").select(name)
-    # the ids grow with the documents, so these joins are never broadcasts, at any size
-    once = docs.join(kept.where("rows = 1").select(name).hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
+    # the ids grow with the documents, so these joins are never broadcasts, at any size; hashing them spares a sort of the texts
+    once = docs.join(kept.where("rows = 1").select(name).hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_semi")
     if again.isEmpty():
         return once.unionAll(nameless)
-    repeated = docs.join(again.hint("merge"), F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    repeated = docs.join(again.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return once.unionAll(repeated).unionAll(nameless)

@@ -13,7 +13,8 @@ def test_kneser_ney_like_brute_force(spark):
     draw = random.Random(1)
     texts = ["".join(draw.choice("abcab A.") for _ in range(draw.randint(0, 80))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = Q.fit(Q.count(docs).groupBy("gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"))
+    counts_of_all = Q.count(docs).groupBy("gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").selectExpr("1 AS fold", "gram", "n")
+    model = Q.fit(counts_of_all)[1]
     table = model.table()
     assert np.allclose(np.exp(-table.astype(float)).reshape(-1, Q.CLASSES).sum(1), 1, atol=1e-5)
     counts = {4: collections.Counter(g for t in texts for g in Q.codes(t).tolist())}
