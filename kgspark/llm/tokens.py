@@ -144,6 +144,7 @@ def token_counts(docs: DataFrame, vocabulary: str, separator: int = 50_256) -> D
     files = file_sizes(docs.sparkSession, folder, order.select("file").distinct())
     found = scan(files.select("file", "bytes"), separator)
     named = found.withColumn("name", F.substring_index("file", "/", -1))
-    return order.join(named.drop("file"), (order.file == named.name) & (order.ordinal == named.ordinal)).select(
+    # one row a document on both sides, so never a broadcast, however well the files of either compress
+    return order.join(named.drop("file").hint("merge"), (order.file == named.name) & (order.ordinal == named.ordinal)).select(
         "doc_id", "n_tokens", order.file, order.ordinal, "start"
     )
