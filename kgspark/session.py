@@ -42,9 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables and files that this driver wrote below the shared folder; call it once results are stored elsewhere.
+
+    Frames that read them can't be used afterwards. Returns the number of folders deleted.
+    """
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 #: Rows of a file, about, where the number of rows is known beforehand.

@@ -277,3 +277,12 @@ def test_training_examples_join_by_label(spark, tmp_path):
     elements = spark.createDataFrame([("q1", "L1"), ("q2", "L2")], "identifier string, label string")
     got = R.training_examples(R.generated_mentions(spark, f"{tmp_path}/g.jsonl"), elements).orderBy("pos").collect()
     assert [(r.qid, r.mention, r.definition, r.types) for r in got] == [("q1", "form", "first", ["t1", "t2"]), ("q2", None, None, [])]
+
+
+def test_clean_up_deletes_what_was_written(spark):
+    from kgspark.session import clean_up, written
+
+    df = written(spark.range(5), "test")
+    assert df.count() == 5 and clean_up(spark) >= 1
+    with pytest.raises(Exception):
+        df.collect()
