@@ -4,14 +4,15 @@ Every document draws the key ``-ln(u) / weight`` from a hash of itself; within a
 their sizes are summed up to the source's budget. Whole passes (epochs) over a source precede the fractional selection.
 
 No source is sorted in one piece. Keys are dealt into ordered bins; the sums of the bins give the bin in which a
-source's budget runs out, and only that bin's rows are sorted and summed. The outcome is one cut for each source, so
-documents themselves are never shuffled: the decision is a comparison with their source's cut.
+source's budget runs out, and only that bin's rows are sorted and summed. The document that doesn't fit any more is passed over, and
+a few more rounds fill the rest of the budget from the smaller documents behind it; at last the one whose size is nearest to the rest goes in. The outcome is a few ranges of keys for each source, so
+documents themselves are never shuffled: the decision is a comparison with their source's ranges.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ WEIGHTS = {1: 1.0, None: 0.5, 0: 0.1}
 MOST = 3.0
 #: Rows of a bin, about, that are sorted at once.
 BIN_ROWS = 20_000
+#: Documents that a source passes over because they don't fit the rest of its budget, at most; and the share of the target that may stay open.
+ROUNDS = 6
+OPEN = 0.001
+_FIRST = (-1.0, -(1 << 63))
 
 
 @dataclass
@@ -37,9 +42,8 @@ class Source:
     rows: int
     weight: float
     target: float = 0.0
-    #: Rows with a smaller (key, tie) than the cut are taken once more than ``epochs``.
-    cut: float = -1.0
-    tie: int = 0
+    #: (low key, low tie, high key, high tie, most size): rows above low, up to high, of that size at most are taken once more than ``epochs``.
+    rules: list[tuple[float, int, float, int, int]] = field(default_factory=list)
 
     @property
     def epochs(self) -> int:
@@ -113,50 +117,114 @@ def decide(rows: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: float = M
     found = [Source(s, *sizes[s], float(shares[i % len(shares)])) for i, s in enumerate(order)]
     for s, t in zip(found, targets([(s.weight, s.size) for s in found], most)):
         s.target = t
-    need = {i: s.target - s.epochs * s.size for i, s in enumerate(found)}
-    open_ = {i: n for i, n in need.items() if n > 0.5}
-    if not open_:
-        return found
-    bins = max(16, math.ceil(max(s.rows for s in found) / BIN_ROWS))
-    plan = F.broadcast(  # one row a source
-        rows.sparkSession.createDataFrame([(i, found[i].source, float(n)) for i, n in open_.items()], "number int, s string, need double")
-    )
+    left = {i: s.target - s.epochs * s.size for i, s in enumerate(found)}
+    low, most_size = dict.fromkeys(left, _FIRST), dict.fromkeys(left, 1 << 62)
+    bins = max(16, math.ceil(max((s.rows for s in found), default=0) / BIN_ROWS))
     # the keys' distribution function: it is monotone in the key, and equal steps of it are bins of about equal rows
     share = sum((F.lit(n / sum(mass.values())) * F.exp(-F.lit(w) * F.col("key")) for w, n in sorted(mass.items())), F.lit(0.0))
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("bin", F.floor((1 - share) * bins).cast("int"))
-    sums = dealt.groupBy("number", "need", "bin").agg(F.sum("size").alias("size"), F.max(F.struct("key", "tie")).alias("last"))
-    by_bin = Window.partitionBy("number").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = (
-        sums.withColumn("before", F.coalesce(F.sum("size").over(by_bin), F.lit(0)))
-        .withColumn("edge", F.max("last").over(by_bin))
-        .where((F.col("before") < F.col("need")) & (F.col("before") + F.col("size") >= F.col("need")))
-        .select(F.col("number").alias("n"), F.col("bin").alias("b"), "before", "edge")
+    binned = rows.select("source", "size", "key", "tie", F.floor((1 - share) * bins).cast("int").alias("bin"))
+    closed: dict[int, float] = {}
+    for _ in range(ROUNDS):
+        live = [i for i, n in left.items() if n >= 1 and n > OPEN * found[i].target]
+        if not live:
+            break
+        for i, (rule, rest, crossing) in _fill(binned, [(i, found[i].source, left[i], *low[i], most_size[i]) for i in live]).items():
+            if rule is not None:
+                found[i].rules.append((*low[i], *rule, most_size[i]))
+            left[i] = rest if crossing is not None else 0.0  # nothing is left to take
+            low[i], most_size[i] = crossing or _FIRST, int(rest)
+            if crossing is None:
+                closed[i] = rest
+    for i, n in left.items():
+        closed.setdefault(i, n)
+    last = [i for i, n in closed.items() if n >= 1 and n > OPEN * found[i].target]
+    for i, (key, tie, size) in (_nearest(binned, found, {i: closed[i] for i in last}) if last else {}).items():
+        found[i].rules.append((key, tie - 1, key, tie, size))
+    return found
+
+
+Key = tuple[float, int]
+
+
+def _fill(binned: DataFrame, live: list[tuple]) -> dict[int, tuple[Key | None, float, Key | None]]:
+    """One round for sources (number, source, left, low key, low tie, most size).
+
+    Of the rows above low and of that size at most, in order of keys, those that fit ``left`` up to the first that doesn't: the key of the
+    last that fits, what is left then, and the key of the first that doesn't fit; None where there is no such row.
+    """
+    plan = F.broadcast(  # one row a source
+        binned.sparkSession.createDataFrame(live, "number int, s string, left double, low_key double, low_tie long, most long")
     )
-    edges = crossing.collect()  # one row a source
-    at = F.broadcast(rows.sparkSession.createDataFrame([(r.n, r.b, int(r.before)) for r in edges], "n int, b int, before long"))
+    above = (F.col("key") > F.col("low_key")) | ((F.col("key") == F.col("low_key")) & (F.col("tie") > F.col("low_tie")))
+    dealt = binned.join(plan, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") <= F.col("most")) & above)
+    sums = dealt.groupBy("number", "left", "bin").agg(F.sum("size").alias("size"), F.max(F.struct("key", "tie")).alias("last"))
+    by_bin = Window.partitionBy("number").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = sums.withColumn("before", F.coalesce(F.sum("size").over(by_bin), F.lit(0))).withColumn("edge", F.max("last").over(by_bin))
+    breaks = (F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))
+    ends = bins.groupBy("number").agg(
+        F.max(F.when(breaks, F.struct("bin", "before", "edge"))).alias("at"), F.sum("size").alias("size"), F.max("last").alias("last")
+    ).collect()  # one row a source
+    out: dict[int, tuple[Key | None, float, Key | None]] = {}
+    budget = {x[0]: x[2] for x in live}
+    for r in ends:
+        out[r.number] = ((r.last.key, r.last.tie), budget[r.number] - r["size"], None)
+    for i in budget.keys() - out.keys():
+        out[i] = (None, budget[i], None)
+    broken = [(r.number, r["at"].bin, int(r["at"].before)) for r in ends if r["at"] is not None]
+    if not broken:
+        return out
+    at = F.broadcast(binned.sparkSession.createDataFrame(broken, "n int, b int, before long"))  # one row a source
     within = dealt.join(at, (F.col("number") == F.col("n")) & (F.col("bin") == F.col("b")))
     # rows of one tie are one step, however many there are
-    steps = within.groupBy("number", "need", "before", "key", "tie").agg(F.sum("size").alias("size"))
+    steps = within.groupBy("number", "left", "before", "key", "tie").agg(F.sum("size").alias("size"))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("number").orderBy("key", "tie"))
-    # the last document goes in if that brings the sum nearer to the budget
-    taken = steps.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("need"))
-    cuts = {r.n: r.edge for r in edges if r.edge is not None}
-    cuts |= {r.number: r.cut for r in taken.groupBy("number").agg(F.max(F.struct("key", "tie")).alias("cut")).collect()}
-    for n, cut in cuts.items():
-        found[n].cut, found[n].tie = cut["key"], cut["tie"]
-    return found
+    fits = F.col("upto") <= F.col("left")
+    cuts = steps.withColumn("upto", upto).groupBy("number").agg(
+        F.max(F.when(fits, F.struct("key", "tie"))).alias("high"), F.max(F.when(fits, F.col("upto"))).alias("taken"), F.min(F.when(~fits, F.struct("key", "tie"))).alias("cross")
+    ).collect()  # one row a source
+    edges = {r.number: r["at"] for r in ends if r["at"] is not None}
+    for r in cuts:
+        high = r.high or edges[r.number].edge
+        taken = r.taken if r.taken is not None else edges[r.number].before
+        out[r.number] = ((high.key, high.tie) if high else None, budget[r.number] - taken, (r.cross.key, r.cross.tie))
+    return out
+
+
+def _nearest(binned: DataFrame, found: list[Source], left: dict[int, float]) -> dict[int, tuple[float, int, int]]:
+    """Of the rows not taken yet, for each source the one whose size is nearest to what is left of its budget, if it brings the sum nearer: (key, tie, size)."""
+    plan = F.broadcast(  # one row a source, a few rules each
+        binned.sparkSession.createDataFrame([(i, found[i].source, n, found[i].rules) for i, n in left.items()], f"number int, s string, left double, {RULES}")
+    )
+    open_ = binned.join(plan, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & (F.col("size") < 2 * F.col("left")) & ~_hit())
+    steps = open_.groupBy("number", "left", "key", "tie").agg(F.sum("size").alias("sum"), F.max("size").alias("size")).where(F.col("sum") < 2 * F.col("left"))
+    best = steps.groupBy("number").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("left")).alias("miss"), "key", "tie", "size")).alias("x")).collect()  # one row a source
+    return {r.number: (r.x.key, r.x.tie, r.x["size"]) for r in best}
+
+
+RULES = "rules array<struct<lk:double,lt:long,hk:double,ht:long,most:long>>"
+
+
+def _hit() -> Column:
+    """Whether one of ``rules`` takes the row."""
+
+    def one(r: Column) -> Column:
+        above = (F.col("key") > r.lk) | ((F.col("key") == r.lk) & (F.col("tie") > r.lt))
+        upto = (F.col("key") < r.hk) | ((F.col("key") == r.hk) & (F.col("tie") <= r.ht))
+        return above & upto & (F.col("size") <= r.most)
+
+    return F.exists("rules", one)
 
 
 def counts(rows: DataFrame, found: list[Source]) -> DataFrame:
     """``keyed`` rows with their source's figures and ``copies``: how often the mix takes the row."""
-    plan = F.broadcast(  # one row a source
+    plan = F.broadcast(  # one row a source, a few rules each
         rows.sparkSession.createDataFrame(
-            [(s.source, s.size, s.target, s.epochs, s.cut, s.tie) for s in found],
-            "s string, source_size long, target double, epochs int, cut double, cut_tie long",
+            [(s.source, s.size, s.target, s.epochs, s.rules) for s in found],
+            f"s string, source_size long, target double, epochs int, {RULES}",
         )
     )
-    more = (F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("tie") <= F.col("cut_tie")))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("epochs") + more.cast("int"))
+
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("epochs") + _hit().cast("int"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, shares: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -83,12 +83,23 @@ def test_mix_like_sorting_everything(spark, sf, monkeypatch, bin_rows):
         sizes[r.source] = sizes.get(r.source, 0) + r["size"]
     for source, target in brute_targets(sizes).items():
         own = sorted((r for r in rows if r.source == source), key=lambda r: (r.key, r.tie))
-        epochs, upto = int(target // sizes[source]), 0
-        need = target - epochs * sizes[source]
+        epochs = int(target // sizes[source])
+        left = most = target - epochs * sizes[source]
+        passed, taken = 0, set()
         for r in own:
-            more = need > 0.5 and upto + r["size"] / 2 <= need
-            upto += r["size"]
-            assert got[r.doc_id].taken == r["size"] * (epochs + more)
+            if left >= 1 and r["size"] <= left and passed < X.ROUNDS:
+                left -= r["size"]
+                taken.add(r.doc_id)
+            elif r["size"] <= most:  # it would have fitted when the round began
+                passed += 1
+                most = left
+                if left <= X.OPEN * target:
+                    passed = X.ROUNDS
+        if left >= 1 and left > X.OPEN * target:
+            rest = [r for r in own if r.doc_id not in taken and 0 < r["size"] < 2 * left]
+            taken |= {r.doc_id for r in sorted(rest, key=lambda r: (abs(r["size"] - left), r.key, r.tie))[:1]}
+        for r in own:
+            assert got[r.doc_id].taken == r["size"] * (epochs + (r.doc_id in taken))
         assert math.isclose(got[own[0].doc_id].target, target)
     assert all(r.taken <= 3 * r["size"] for r in got.values())
 
