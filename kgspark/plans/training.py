@@ -134,7 +134,7 @@ def positioned(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("s", "p", "o")
-    return G.system(spark, sf).distinct().withColumn("pos", F.row_number().over(w)).select("doc_id", "pos", F.col("s").alias("subj"), F.col("p").alias("rel"), F.col("o").alias("obj"))
+    return G.system(spark, sf).distinct().withColumn("pos", F.row_number().over(w).cast("long")).select("doc_id", "pos", F.col("s").alias("subj"), F.col("p").alias("rel"), F.col("o").alias("obj"))
 
 
 @query(f"""{RELS}, r AS (SELECT doc_id, pos, p AS rel, CASE p WHEN 'has_part' THEN '{NEW_RELATION}0' WHEN 'placed' THEN 'http://kg/placed' END AS uri FROM t)
