@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.bpe import loaded
 from kgspark.llm.common import open_fs, small_batches
-from kgspark.session import fresh_dir
+from kgspark.session import cut, fresh_dir
 
 BLOCK_BYTES = 8 << 20
 #: A writer begins a new file beyond this.
@@ -109,14 +109,17 @@ def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = BL
                     ["file", "block", "ends", "open_end"],
                 )
 
-    found = blocks.mapInArrow(run, "file string, block long, ends array<long>, open_end long")
-    # the prefix scan: one row a block, separators before it and the place behind the last of them
+    found = blocks.mapInArrow(run, "file string, block long, ends array<long>, open_end long").select(
+        "file", "block", F.when(F.col("open_end").isNotNull(), F.array_append("ends", F.col("open_end"))).otherwise(F.col("ends")).alias("ends")
+    )
+    found = cut(found)
+    # the prefix scan sees one number pair a block: separators before it, and the place behind the last of them
     so_far = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        found.withColumn("ends", F.when(F.col("open_end").isNotNull(), F.array_append("ends", F.col("open_end"))).otherwise(F.col("ends")))
-        .withColumn("base", F.coalesce(F.sum(F.size("ends")).over(so_far), F.lit(0)))
-        .withColumn("carry", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(so_far) + 1, F.lit(0)))
+    summary = found.select("file", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    before = summary.select(
+        "file", "block", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(so_far) + 1, F.lit(0)).alias("carry")
     )
+    carried = found.join(before, ["file", "block"])
     each = carried.select("file", "base", "carry", "ends", F.posexplode("ends").alias("i", "end"))
     begin = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.element_at("ends", F.greatest("i", F.lit(1))) + 1)
     return each.select("file", (F.col("base") + F.col("i")).alias("ordinal"), begin.alias("start"), (F.col("end") - begin).alias("n_tokens"))
