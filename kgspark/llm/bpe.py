@@ -1,8 +1,9 @@
 """Byte-level BPE with a segment tree over the ranks of adjacent pairs.
 
-Each leaf holds ``rank * width + position`` of the pair that starts there, inner nodes the smaller child: the root is the
+Each leaf holds ``rank * width + position`` of the pair that starts there, every inner node the smallest of its 16 children: the root is the
 leftmost pair of lowest rank. A merge changes three leaves, each in logarithmic time, until no leaf holds a
-mergeable pair. A run of a million letters therefore takes n log n steps, not n squared.
+mergeable pair. A run of a million letters therefore takes n log n steps, not n squared. A piece of up to 16 pairs, as most are, is a tree of
+one node.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the public splitting pattern of byte-level BPE.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 NONE = 1 << 62
+#: Children of a node.
+FAN = 16
 #: Pieces that a worker remembers; it forgets all of them when it has that many.
 REMEMBERED = 400_000
 
@@ -72,52 +75,66 @@ class Bpe:
         """Ids of one piece."""
         of_byte = self.of_byte
         ids = [of_byte[b] for b in piece]
-        n = len(ids)
-        if n < 2:
+        if len(ids) < 2:
             return ids
+        size = self.size
+        get = self.ranks.get
+        ranks = [get(a * size + b, NONE) for a, b in zip(ids, ids[1:])]
+        return self._one_node(ids, ranks) if len(ranks) <= FAN else self._tree(ids, ranks)
+
+    def _one_node(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """Few pairs: the root's children are the leaves, and closing a gap keeps them in order of position."""
+        size, get, made = self.size, self.ranks.get, self.made
+        while (root := min(ranks)) != NONE:
+            at = ranks.index(root)
+            ids[at] = now = made[root]
+            del ids[at + 1], ranks[at]
+            if not ranks:
+                break
+            if at < len(ranks):
+                ranks[at] = get(now * size + ids[at + 1], NONE)
+            if at:
+                ranks[at - 1] = get(ids[at - 1] * size + now, NONE)
+        return ids
+
+    def _tree(self, ids: list[int], ranks: list[int]) -> list[int]:
         size, get, made = self.size, self.ranks.get, self.made
-        width = 1 << (n - 1).bit_length()
-        tree = [NONE] * (2 * width)
-        last = ids[0]
-        for i in range(1, n):
-            now = ids[i]
-            rank = get(last * size + now)
-            if rank is not None:
-                tree[width + i - 1] = rank * width + i - 1
-            last = now
-        for i in range(width - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        while (root := tree[1]) != NONE:
-            rank, at = divmod(root, width)
+        n = len(ids)
+        levels = [[NONE if r == NONE else r * n + i for i, r in enumerate(ranks)]]
+        while len(levels[-1]) > FAN:
+            low = levels[-1]
+            levels.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
+        top = levels[-1]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(i: int, value: int) -> None:
+            low = levels[0]
+            low[i] = value
+            for high in levels[1:]:
+                i //= FAN
+                least = min(low[i * FAN : i * FAN + FAN])
+                if high[i] == least:
+                    break
+                high[i] = least
+                low = high
+
+        while (root := min(top)) != NONE:
+            rank, at = divmod(root, n)
             gone = after[at]
             ids[at] = now = made[rank]
-            after[at] = follow = after[gone]
             ids[gone] = -1
+            after[at] = follow = after[gone]
+            if gone < n - 1:
+                put(gone, NONE)
             if follow < n:
                 before[follow] = at
-                rank = get(now * size + ids[follow])
-                points = [(gone, NONE), (at, NONE if rank is None else rank * width + at)]
+                rank = get(now * size + ids[follow], NONE)
+                put(at, NONE if rank == NONE else rank * n + at)
             else:
-                points = [(gone, NONE), (at, NONE)]
-            back = before[at]
-            if back >= 0:
-                rank = get(ids[back] * size + now)
-                points.append((back, NONE if rank is None else rank * width + back))
-            for i, value in points:
-                i += width
-                if tree[i] == value:
-                    continue
-                tree[i] = value
-                while i > 1:
-                    i, other = i >> 1, tree[i ^ 1]
-                    if other < value:
-                        value = other
-                    if tree[i] == value:
-                        break
-                    tree[i] = value
+                put(at, NONE)
+            if (back := before[at]) >= 0:
+                rank = get(ids[back] * size + now, NONE)
+                put(back, NONE if rank == NONE else rank * n + back)
         return [i for i in ids if i >= 0]
 
     def encode_bytes(self, text: str) -> bytes:
