@@ -241,7 +241,7 @@ def semeval_align(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda s, p, x: F.array(F.concat(F.lit("line "), s.cast("string")), F.lit(p), F.concat(F.lit("part number "), x.cast("string")))
     gold = F.transform("ls", lambda x: t(x.l_linenumber, "has part", x.l_partkey))
     said = F.transform(F.reverse("ls"), lambda x: t(x.l_linenumber, "part is", F.when(x.l_suppkey % 3 == 0, x.l_suppkey).otherwise(x.l_partkey)))
-    return rounded(spans.system_scores(spans.entry_scores(e.select("entry_id", gold.alias("gold"), said.alias("said")))))
+    return rounded(spans.system_scores_of(e.select(gold.alias("gold"), said.alias("said"))))
 
 
 @query("SELECT doc_id, doc_id % 4 AS chunk FROM documents")

@@ -286,3 +286,10 @@ def test_clean_up_deletes_what_was_written(spark):
     assert df.count() == 5 and clean_up(spark) >= 1
     with pytest.raises(Exception):
         df.collect()
+
+
+def test_sums_in_tasks_are_sums_of_entries(spark):
+    rows = [(i, [["a b", "p", "c"], ["d", "q", str(i)]], [["d", "q", "5"], ["a", "p", "c x"]][: 1 + i % 2]) for i in range(9)] + [(9, None, [["a", "b", "c"]])]
+    df = spark.createDataFrame(rows, "entry_id long, gold array<array<string>>, said array<array<string>>")
+    key = lambda x: sorted((r.scheme, r.tag, r.correct, r.incorrect, r.partial, r.missed, r.spurious, round(r.precision, 9), round(r.recall, 9), round(r.f1, 9)) for r in x.collect())
+    assert key(spans.system_scores_of(df)) == key(spans.system_scores(spans.entry_scores(df)))
