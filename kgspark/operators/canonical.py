@@ -152,7 +152,7 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
 def crawl(rows: DataFrame, limit: int = 5) -> DataFrame:
     """Sentences that introduce relations: in order, skip those with a relation already collected or a triple that isn't three parts; stop at ``limit`` relations.
 
-    ``rows`` is (ord, rels array, well_formed). A round picks the first row that is free of what was collected: ``limit`` rounds of a filter and a minimum.
+    ``rows`` is (ord, rels array, well_formed), ord a unique number. A round picks the first row that is free of what was collected: ``limit`` rounds of a filter and a minimum.
     """
     spark = rows.sparkSession
     taken: list[str] = []

@@ -47,8 +47,9 @@ def split(df: DataFrame, *ids: str, shares: dict[str, float], seed: int = 0) ->
 
 
 def one_of_each(df: DataFrame, by: str, *ids: str, seed: int = 0) -> DataFrame:
-    """One pseudo-random row for each value of ``by``."""
-    w = Window.partitionBy(by).orderBy(draw(*[F.col(i) for i in ids], seed=seed), *ids)
+    """One pseudo-random row for each value of ``by``; rows of equal ids go by their other columns."""
+    rest = [c for c in df.columns if c != by and c not in ids]
+    w = Window.partitionBy(by).orderBy(draw(*[F.col(i) for i in ids], seed=seed), *ids, *rest)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

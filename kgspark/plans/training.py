@@ -161,7 +161,7 @@ def hint_union(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(X.union_ordered(hints, found), "|").alias("united"), F.array_join(X.hints_in_front(hints, found), "|").alias("fronted"))
 
 
-@query(f"""SELECT rel, subj, obj FROM (SELECT l_returnflag || l_linestatus AS rel, 'o' || l_orderkey AS subj, 'p' || l_partkey AS obj, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY {draw_sql('l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
+@query(f"""SELECT rel, subj, obj FROM (SELECT l_returnflag || l_linestatus AS rel, 'o' || l_orderkey AS subj, 'p' || l_partkey AS obj, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY {draw_sql('l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber, 'p' || l_partkey) AS r FROM lineitem) WHERE r = 1""")
 def relation_examples(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("rel"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("o"), "l_orderkey").alias("subj"), F.concat(F.lit("p"), "l_partkey").alias("obj"))
     docs = li.select("doc_id", F.lit("t").alias("text")).distinct()
@@ -202,10 +202,11 @@ def strict_canonical_fold(spark: SparkSession, sf: str) -> DataFrame:
     return C.canonicalize_ordered(rows, opened, 0.3)
 
 
-@query("SELECT ord, rels FROM (SELECT l_orderkey AS ord, l_shipmode AS rels, row_number() OVER (PARTITION BY l_shipmode ORDER BY l_orderkey) AS r, dense_rank() OVER (ORDER BY first) AS k FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, min(l_orderkey) OVER (PARTITION BY l_returnflag) AS first FROM lineitem WHERE l_linenumber = 1)) WHERE r = 1 AND k <= 5")
+@query("SELECT ord, rels FROM (SELECT ord, rels, row_number() OVER (PARTITION BY rels ORDER BY ord) AS r, min(ord) OVER (PARTITION BY rels) AS first FROM (SELECT l_orderkey AS ord, min(l_returnflag) AS rels FROM lineitem GROUP BY l_orderkey)) WHERE r = 1 ORDER BY first LIMIT 5")
 def relation_crawl(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("long").alias("ord"), F.array("l_returnflag").alias("rels"), F.lit(True).alias("well_formed"))
-    return C.crawl(rows).select("ord", F.array_join("rels", "|").alias("rels"))
+    """Orders as sentences, each with its smallest return flag as relation; five relations at most are crawled."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.min("l_returnflag").alias("rel"))
+    return C.crawl(rows.select("ord", F.array("rel").alias("rels"), F.lit(True).alias("well_formed"))).select("ord", F.array_join("rels", "|").alias("rels"))
 
 
 def short_docs(spark: SparkSession, sf: str) -> DataFrame:
