@@ -122,13 +122,13 @@ def parse_mentions(text: Column, wanted: Column) -> Column:
     """
     get = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
     said = F.transform(json_objects(text), lambda v: F.struct(get(v, "entity").alias("e"), get(v, "definition").alias("d"), get(v, "type").alias("t")))
-    last = lambda e: F.try_element_at(F.filter(said, lambda s: s.e == e), F.lit(-1))
-    return F.transform(
-        wanted,
-        lambda e: F.struct(
-            e.alias("entity"), F.coalesce(last(e).d, F.lit("")).alias("definition"), F.coalesce(last(e).t, F.lit("")).alias("type"), last(e).isNull().alias("stub")
-        ),
+    # arrays of one element bind what is parsed to a variable, so that it is parsed once and not for each use
+    last = lambda said, e: F.array(F.try_element_at(F.filter(said, lambda s: s.e == e), F.lit(-1)))
+    one = lambda e: lambda x: F.struct(
+        e.alias("entity"), F.coalesce(x.d, F.lit("")).alias("definition"), F.coalesce(x.t, F.lit("")).alias("type"), x.isNull().alias("stub")
     )
+    bound = F.array(F.struct(said.alias("said"), wanted.alias("wanted")))
+    return F.flatten(F.transform(bound, lambda b: F.flatten(F.transform(b.wanted, lambda e: F.transform(last(b.said, e), one(e))))))
 
 
 def parse_generated(text: Column, required: list[str]) -> Column:
