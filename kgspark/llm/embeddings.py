@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by NN-descent.
 
 A neighbour graph starts from sorted random projections and is refined by joins of neighbours' neighbours until few lists change. Links
-at the threshold give components. A list whose every entry passes the threshold is saturated and may hide more links: for its component
-lists are enlarged to the whole component, as counts from block products that never leave as pairs. Recall is audited
-against brute force for a fixed number of vectors, and refinement goes on with new projections where it falls short.
+at the threshold give components. A list whose every entry passes the threshold is saturated and may hide more links: saturated vectors are
+compared with those of all other components, exactly, which joins components that short lists leave apart; within a component
+counts come from block products that never leave as pairs. Recall is audited against brute force for a fixed number of vectors;
+refinement goes on with new projections where it falls short, and at last all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BITS = 12
 #: Rows compared on either side in a sorted projection.
 REACH = 4
 BLOCK = 512
+#: Blocks whose centres are compared with as many others in one task.
+TILE = 1024
 AUDITED = 512
 RECALL = 0.98
 ATTEMPTS = 3
@@ -183,6 +186,71 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """``(u, v)``: for every two components with a link at ``threshold`` between their ``members``, some such links; exact.
+
+    ``members`` is (node, raw, component). A component is dealt into blocks of about 512. By the triangle inequality of angles, blocks whose
+    centres are further apart than both radii and the threshold's angle have no link; the other pairs of blocks are multiplied.
+    """
+    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = written(dealt.select("node", "raw", "component", F.xxhash64("component", "own").alias("block")), "bridged")
+
+    def centred(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, component, block = _matrix(rows.column("raw")), rows.column("component").to_numpy(), rows.column("block").to_numpy()
+        centres, radii = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            c = x[a:b].sum(axis=0)
+            c = c / n if (n := np.sqrt((c * c).sum())) > 1e-9 else x[a]
+            centres.append(c.tobytes())
+            radii.append(float(np.arccos(np.clip(x[a:b] @ c, -1.0, 1.0)).max()))
+        at = bounds[:-1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(component[at]), pa.array(block[at]), pa.array(centres, pa.binary()), pa.array(radii, pa.float64())], ["component", "block", "raw", "radius"]
+        )
+
+    blocks = written(by_key(dealt, ["component", "block"], centred, "component long, block long, raw binary, radius double"), "blocks")
+    tiles = max(1, -(-blocks.count() // TILE))
+    each = blocks.withColumn("tile", F.pmod(F.xxhash64(F.lit(9), "block"), F.lit(tiles)).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    each = each.select("component", "block", "raw", "radius", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+
+    def close(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, radius, tile = _matrix(rows.column("raw")), rows.column("radius").to_numpy(), rows.column("tile").to_numpy()
+        component, block, low, high = (rows.column(k).to_numpy() for k in ("component", "block", "low", "high"))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            mine = tile[a:b] == low[a]
+            p = a + np.flatnonzero(mine)
+            q = p if low[a] == high[a] else a + np.flatnonzero(~mine)
+            near = np.arccos(np.clip(x[p] @ x[q].T, -1.0, 1.0)) <= radius[p][:, None] + radius[q] + limit
+            near &= component[p][:, None] != component[q]
+            if p is q:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(block[p[i]]), pa.array(block[q[j]])], ["first", "second"])
+
+    pairs = written(by_key(each, ["low", "high"], close, "first long, second long"), "close")
+    sides = pairs.select("first", "second", F.explode(F.array("first", "second")).alias("block"))
+    met = sides.join(dealt, "block").select("first", "second", "block", "node", "raw")
+
+    def linked(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, x, first, block = rows.column("node").to_numpy(), _matrix(rows.column("raw")), rows.column("first").to_numpy(), rows.column("block").to_numpy()
+        us, vs = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            mine = block[a:b] == first[a]
+            p, q = a + np.flatnonzero(mine), a + np.flatnonzero(~mine)
+            # a block is of one component, so one link joins both; all that it joins is counted afterwards
+            near = x[p] @ x[q].T >= threshold
+            if near.any():
+                i, j = np.unravel_index(int(near.argmax()), near.shape)
+                us.append(ids[p[i]])
+                vs.append(ids[q[j]])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return written(by_key(met, ["first", "second"], linked, "u long, v long"), "bridges")
+
+
 def audit(named: DataFrame, threshold: float, count: int = AUDITED) -> tuple[int, int]:
     """Links of ``count`` vectors, chosen by hash, against all vectors by brute force: how many there are, and how many join one component.
 
@@ -216,6 +284,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int
     node of the graph and link with each other. Vectors that are null, zero, of another length than most, or hold null or non-finite
     components link with nothing. A null id is never a component's name unless the component has no other. An empty table gives no rows.
     """
+
+    def named_by(links: DataFrame) -> DataFrame:
+        out = nodes.join(links, F.col("node") == F.col("id"), "left")
+        return written(out.select("node", "raw", "least", "n", F.coalesce("component", "node").alias("component")), "named")
+
+    def with_bridges(links: DataFrame, named: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = bridges(members.select("node", "raw", "component"), threshold)
+        if more.isEmpty():
+            return links, named
+        links = connected_components(links.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), "u", "v")
+        return links, named_by(links)
+
     rows = written(encode(vectors), "vectors")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.any_value("raw").alias("raw"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "nodes")
     graph, links = None, None
@@ -230,12 +310,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int
             if changed <= 0.02 * total:
                 break
         links = connected_components(graph.where(F.col("sim") >= threshold), "u", "v")
-        named = written(
-            nodes.join(links, F.col("node") == F.col("id"), "left").select("node", "raw", "least", "n", F.coalesce("component", "node").alias("component")), "named"
-        )
+        named = named_by(links)
+        # a link that neither list has room for is one between two saturated vectors
+        full = graph.where(F.col("sim") >= threshold).groupBy("u").count().where(F.col("count") >= neighbours).select(F.col("u").alias("node"))
+        links, named = with_bridges(links, named, named.join(full, "node", "left_semi"))
         true, found = audit(named, threshold)
         if found >= target * true:
             break
+    else:
+        links, named = with_bridges(links, named, named)
     joined = F.col("component").isNotNull()
     several = named.join(links.select(F.col("id").alias("node")), "node", "left_semi")
     counted = _counted(several, threshold)

@@ -140,3 +140,35 @@ def test_recall_on_isolated_pairs(spark, seed):
     got = {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()}
     assert all(got[i] <= near[i].sum() for i in got)
     assert sum(got.values()) >= 0.9 * near.sum()
+
+
+def tight_groups():
+    """Two groups of 20 different vectors, every cosine between the groups from 0.96 up: lists of eight never leave a group."""
+    draw = np.random.default_rng(8)
+    a, b = np.zeros(64), np.zeros(64)
+    a[0] = 1
+    b[:2] = np.cos(0.24), np.sin(0.24)
+    x = np.concatenate([c + draw.standard_normal((20, 64)) * 0.001 for c in (a, b)])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def frame_of(spark, x):
+    return spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_tight_groups_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 8)
+    monkeypatch.setattr(E, "TILE", 2, raising=False)
+    x = tight_groups()
+    assert (x @ x.T).min() > 0.96
+    monkeypatch.setattr(E, "audit", lambda *a: (0, 0))  # as if it had met none of them
+    got = E.near_duplicates(frame_of(spark, x)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
+
+
+def test_failed_audits_end_in_an_exact_comparison(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    x = np.repeat(draw.standard_normal((30, 64)), 2, axis=0) + draw.standard_normal((60, 64)) * 0.02
+    monkeypatch.setattr(E, "projected", lambda nodes, seed: spark.createDataFrame([], "u long, v long, sim double"))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame_of(spark, x)).collect())
+    assert got == [(i, 1, i // 2 * 2) for i in range(60)]
