@@ -1,9 +1,9 @@
 """HTML extraction with removal of site templates.
 
-Every element subtree outside a page's own article is hashed; Spark counts on how many pages of a host each hash occurs, and subtrees that recur
-on many pages of their host are deleted before the text is taken. What stands in an ``article`` or ``main`` is that page's
-content and isn't counted: passages that many articles share are no template. Menus, notices and the like that markup
-names as such go as well, so that hosts with few pages come out clean too.
+Every element subtree outside a page's own article and every box inside of it is hashed; Spark counts on how many pages of a host each hash
+occurs, and subtrees that recur on many pages of their host are deleted before the text is taken. In an ``article`` or ``main`` paragraphs,
+headings, quotes and list items are that page's content and aren't counted: passages that many articles share are no template. Menus, notices and
+the like that markup names as such go as well, so that hosts with few pages come out clean too.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import chunks, small_batches
 from kgspark.session import cut
 
-#: A subtree is a template if it occurs on so many pages of its host, and on this share of them.
+#: A subtree is a template if it occurs on so many pages of its host, and on this share of them or on ``MANY_PAGES``.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.2
+MANY_PAGES = 50
 #: Template hashes that are sent to the tasks, at most: 16 MB.
 SENT = 2_000_000
 
@@ -37,6 +38,9 @@ BLOCK = frozenset(
 #: A start tag of a block ends an open paragraph; these also end an open element of their own kind, up to the nearest scope.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Inside an article: what may be a template, and what is never taken apart.
+BOX = frozenset("a address center details div dl fieldset figure menu ol section span table ul".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary".split())
 NEVER = frozenset("head script style noscript template iframe nav footer aside form button select option textarea input svg canvas object embed audio video dialog menu search".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 NEVER_NAME = frozenset(
@@ -187,6 +191,47 @@ def subtrees(root: Node) -> dict[int, list[int]]:
     return {k: v for k, v in out.items() if v}
 
 
+def boxes(root: Node) -> dict[int, list[int]]:
+    """Like ``subtrees``, of the boxes with text inside the page's own content; their hashes differ from those of the same subtrees outside.
+
+    Boxes are containers, and links that stand for themselves, outside of prose and lists' items. What ``text_of`` leaves out anyway isn't hashed.
+    """
+    asked: set[int] = set()
+    order: list[Node] = []
+    for top in content(root):
+        todo = [(top, True)]
+        while todo:
+            node, may = todo.pop()
+            order.append(node)
+            may = may and node.tag not in PROSE
+            spoken = any(isinstance(c, str) and not c.isspace() for c in node.children)
+            for c in node.children:
+                if isinstance(c, Node) and not boilerplate(c, True):
+                    # a link or span within a sentence is part of it
+                    if may and c.tag in BOX and not (spoken and c.tag in ("a", "span")):
+                        asked.add(id(c))
+                    todo.append((c, may))
+        if not asked:
+            order.clear()
+    out: dict[int, list[int]] = {}
+    done: dict[int, tuple[bytes, bool]] = {}
+    for node in reversed(order):
+        parts, text = [node.tag.encode(), " ".join(node.names).encode("utf-8", "surrogatepass")], False
+        for c in node.children:
+            if isinstance(c, str):
+                own = SPACE.sub(" ", c).strip()
+                parts.append(own.encode("utf-8", "surrogatepass"))
+                text = text or bool(own)
+            elif id(c) in done:
+                parts.append(done[id(c)][0])
+                text = text or done[id(c)][1]
+        value = xxhash.xxh64_intdigest(b"\0".join(parts))
+        done[id(node)] = value.to_bytes(8, "little"), text
+        if text and id(node) in asked:
+            out.setdefault(_signed(xxhash.xxh64_intdigest(done[id(node)][0], 1)), []).append(node.number)
+    return out
+
+
 def _holders(root: Node, own: set[int]) -> list[Node]:
     """Elements that contain one of ``own``."""
     out = []
@@ -250,27 +295,33 @@ def _site_hash(site: bytes, value: int) -> int:
 
 
 def occurrences(pages: DataFrame, numbers: bool) -> DataFrame:
-    """``(key, host, hash[, numbers])``: each page's different subtrees, and one row of hash 0 for the page itself.
+    """``(key, host, hash, unit[, numbers])``: each page's different subtrees, and one row of hash 0 for the page itself.
 
-    Pages are known by a hash of url and html, so that repeated rows count once; host is a hash of the url's host.
+    Pages are known by a hash of url and html, so that repeated rows count once; host is a hash of the url's host. ``unit`` is what counts: the
+    page, but for boxes inside an article the text, so that one article under many urls isn't a template of its host.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 256):
-            keys, hosts, hashes, places = [], [], [], []
+            keys, hosts, hashes, units, places = [], [], [], [], []
             for key, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
                 site = host(url).encode("utf-8", "surrogatepass")
                 own = _signed(xxhash.xxh64_intdigest(site))
-                rows = {0: []} | {_site_hash(site, v): at for v, at in subtrees(parse(source or "")).items()}
+                root = parse(source or "")
+                rows = {0: []} | {_site_hash(site, v): at for v, at in subtrees(root).items()}
+                units += [key] * len(rows)
+                if inner := boxes(root):
+                    rows |= {_site_hash(site, v): at for v, at in inner.items()}
+                    units += [_signed(xxhash.xxh64_intdigest(text_of(root).encode("utf-8", "surrogatepass")))] * (len(rows) - len(units) + len(keys))
                 keys += [key] * len(rows)
                 hosts += [own] * len(rows)
                 hashes += rows
                 places += rows.values()
-            out = [pa.array(keys, pa.int64()), pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out[: 3 + numbers], ["key", "host", "hash", "numbers"][: 3 + numbers])
+            out = [pa.array(keys, pa.int64()), pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(units, pa.int64()), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(out[: 4 + numbers], ["key", "host", "hash", "unit", "numbers"][: 4 + numbers])
 
-    return pages.select(F.xxhash64("url", "html").alias("key"), "url", "html").mapInArrow(run, "key long, host long, hash long" + ", numbers array<int>" * numbers)
+    return pages.select(F.xxhash64("url", "html").alias("key"), "url", "html").mapInArrow(run, "key long, host long, hash long, unit long" + ", numbers array<int>" * numbers)
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -278,10 +329,10 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 
     Counting is a partial aggregate by host and hash; no host's pages come together in one task.
     """
-    counted = occurrences(pages, False).groupBy("host", "hash").agg(F.count_distinct("key").alias("pages")).where((F.col("hash") == 0) | (F.col("pages") >= least_pages))
+    counted = occurrences(pages, False).groupBy("host", "hash").agg(F.count_distinct("unit").alias("pages")).where((F.col("hash") == 0) | (F.col("pages") >= least_pages))
     counted = cut(counted)
     all_ = counted.where("hash = 0").select(F.col("host").alias("of"), F.col("pages").alias("all"))
-    often = counted.where("hash <> 0").join(all_, F.col("host") == F.col("of")).where(F.col("pages") >= least_share * F.col("all"))
+    often = counted.where("hash <> 0").join(all_, F.col("host") == F.col("of")).where((F.col("pages") >= MANY_PAGES) | (F.col("pages") >= least_share * F.col("all")))
     return cut(often.select("hash").distinct())
 
 
@@ -309,7 +360,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
         def cleaned(source: str, url: str | None, known: np.ndarray) -> str:
             root = parse(source)
             deleted: list[int] = []
-            if len(known) and (own := subtrees(root)):
+            if len(known) and (own := subtrees(root) | boxes(root)):
                 site = host(url).encode("utf-8", "surrogatepass")
                 asked = np.array([_site_hash(site, v) for v in own])
                 hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked

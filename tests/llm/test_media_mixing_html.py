@@ -165,6 +165,20 @@ def test_shared_passages_of_articles_stay(spark):
     assert all(r.text == f"shared passage\nown {r.page_id}" and r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_site_templates_inside_articles_go(spark, monkeypatch, sent):
+    monkeypatch.setattr(H, "SENT", sent)
+    box = '<div class="zz"><p>Tell your friends</p><ul><li>one</li><li>two</li></ul></div>'
+    page = lambda i, inner, host="h.example.org": (i, f"https://{host}/{i}", f"<body><article><h2>Facts</h2>{inner}</article></body>")
+    rows = [page(i, f'<div>own {i} by <a href="/a">me</a></div><ul><li>salt</li><li>item {i}</li></ul>{box}<a href="/all">All stories</a>') for i in range(12)]
+    rows += [page(100 + i, "<div>one article</div><div>under many urls</div>", "same.example.org") for i in range(12)]
+    rows += [page(1000 + i, f"<p>own {i}</p>" + "<section>In this series</section>" * (i < 55), "hot.example.org") for i in range(300)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Facts\nown 3 by me\nsalt\nitem 3"
+    assert got[103] == "Facts\none article\nunder many urls"
+    assert got[1003] == "Facts\nown 3" and got[1200] == "Facts\nown 200"
+
+
 def test_page_rows(spark):
     rows = [(1, "https://a/b", "<p>x</p>", 1)] * 2 + [(2, None, None, 1), (3, "no url", "", 1), (None, "https://a/c", "<article>é</article>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
