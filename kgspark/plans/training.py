@@ -209,9 +209,9 @@ def relation_crawl(spark: SparkSession, sf: str) -> DataFrame:
     return C.crawl(rows.select("ord", F.array("rel").alias("rels"), F.lit(True).alias("well_formed"))).select("ord", F.array_join("rels", "|").alias("rels"))
 
 
-def short_docs(spark: SparkSession, sf: str) -> DataFrame:
+def input_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as inputs of the model stages: whole texts of one table."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def small_schema(spark: SparkSession) -> DataFrame:
@@ -220,13 +220,13 @@ def small_schema(spark: SparkSession) -> DataFrame:
 
 @query()
 def refine_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """Extraction, definition, canonicalisation and one refinement, with stand-in models, over all benchmark passages."""
-    return K.extract_kg(short_docs(spark, sf), small_schema(spark), K.Config(initial_refine=True), iterations=1)[0]
+    """Extraction, definition, canonicalisation and one refinement, with stand-in models, over all documents."""
+    return K.extract_kg(input_docs(spark, sf), small_schema(spark), K.Config(initial_refine=True), iterations=1)[0]
 
 
 @query()
 def extract_and_link(spark: SparkSession, sf: str) -> DataFrame:
-    docs, known = short_docs(spark, sf), small_schema(spark)
+    docs, known = input_docs(spark, sf), small_schema(spark)
     config = K.Config.documented()
     triples, opened = K.extract_kg(docs, known, config)
     p = table(spark, sf, "part")

@@ -293,3 +293,21 @@ def test_sums_in_tasks_are_sums_of_entries(spark):
     df = spark.createDataFrame(rows, "entry_id long, gold array<array<string>>, said array<array<string>>")
     key = lambda x: sorted((r.scheme, r.tag, r.correct, r.incorrect, r.partial, r.missed, r.spurious, round(r.precision, 9), round(r.recall, 9), round(r.f1, 9)) for r in x.collect())
     assert key(spans.system_scores_of(df)) == key(spans.system_scores(spans.entry_scores(df)))
+
+
+@pytest.mark.parametrize("name", ["refine_loop", "extract_and_link"])
+def test_model_stages_read_all_documents(spark, monkeypatch, name):
+    from kgspark import catalogue
+    from kgspark.plans import training
+
+    class Seen(Exception):
+        pass
+
+    def seen(docs, *args, **kwargs):
+        raise Seen(sorted(map(tuple, docs.collect()), key=str))
+
+    monkeypatch.setattr(training.K, "extract_kg", seen)
+    sf = "/root/testdata/sf0.001"
+    with pytest.raises(Seen) as met:
+        catalogue.queries()[name](spark, sf)
+    assert met.value.args[0] == sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()), key=str)
