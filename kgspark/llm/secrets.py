@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and runs that a Markov model of random strings explains better than one of identifiers.
 
 Both models are first-order character chains with add-one smoothing, trained from labelled samples. A run is reported
-where the log-likelihood ratio for each character exceeds a threshold and no base span overlaps it.
+where the log-likelihood ratio for each character exceeds a threshold, which is higher for short runs. Of a run that base
+spans overlap, what they leave is judged.
 """
 
 from __future__ import annotations
@@ -24,10 +25,15 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Rules and padding count as one character.
+REPEATED = re.compile(r"([+/_=-])\1{2,}")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats for each character that a run must be likelier under the random model.
 MARGIN = 0.35
+#: Characters from which on the margin holds as it is; shorter runs need as many nats in all.
+FULL = 20
 
 #: Words that ordinary identifiers are built from.
 WORDS = (
@@ -108,6 +114,17 @@ def default_model() -> Markov:
     return Markov(labelled_samples())
 
 
+def _left(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of ``a`` to ``b`` that no span of ``taken`` covers."""
+    for c, d, _ in sorted(taken):
+        if c < b and a < d:
+            if a < c:
+                yield a, c
+            a = max(a, d)
+    if a < b:
+        yield a, b
+
+
 _HEX_AS_X = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _RUN_AS_X = bytes(120 if chr(c) in LETTERS else 32 for c in range(256))
 
@@ -125,15 +142,15 @@ def spans(text: str | None, model: Markov | None = None, margin: float = MARGIN)
     # a quick look whether there is any run long enough; the patterns then give exact places
     if b"x" * 16 in raw.translate(_HEX_AS_X):
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    if b"x" * 20 in raw.translate(_RUN_AS_X):
+    if b"x" * SHORTEST in raw.translate(_RUN_AS_X):
         base = list(found)
         model = model or default_model()
         for m in RUN.finditer(text):
-            run = m[0]
-            if any(a < m.end() and m.start() < b for a, b, _ in base) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-                continue
-            if model.score(run) > margin:
-                found.append((m.start(), m.end(), "markov"))
+            for start, end in _left(m.start(), m.end(), base):
+                run = REPEATED.sub(r"\1", text[start:end])
+                # digits and signs alone are dates and numbers, or hex
+                if len(run) >= SHORTEST and re.search("[A-Za-z]", run) and model.score(run) > margin * max(1.0, FULL / len(run)):
+                    found.append((start, end, "markov"))
     found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found
 
