@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.plans import generation, graphs, links, registry, texts, training  # noqa: F401
+from kgspark.plans import generation, graphs, io, links, registry, texts, training  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,6 +155,20 @@ def last_token_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return states[np.arange(len(states)), mask.sum(axis=1) - 1]
 
 
+def pooled(states: Column, tokens: Column, size: int) -> Column:
+    """Embeddings at length 1 from token states laid end to end, ``size`` numbers a token, of which the first ``tokens`` count."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for flat, count in batches:
+            x = np.stack(flat.to_numpy()).astype(np.float64).reshape(len(flat), -1, size) if len(flat) else np.zeros((0, 1, size))
+            last = last_token_pool(x, (np.arange(x.shape[1]) < count.to_numpy()[:, None]).astype(int))
+            norm = np.linalg.norm(last, axis=1, keepdims=True)
+            yield pd.Series(list((last / np.where(norm > 0, norm, 1)).astype(np.float32)))
+
+    return run(states, tokens)
+
+
 def score_pairs(model: PairScorer, a: Column, b: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

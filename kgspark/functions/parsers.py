@@ -51,6 +51,21 @@ def triples_of(text: str | None) -> list[list[str]]:
     return out
 
 
+def literal_triples(text: str | None) -> list[list[str]] | None:
+    """A line that as a whole is a literal list of triples of strings; None for anything else."""
+    try:
+        value = ast.literal_eval((text or "").strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+        return None
+    fine = isinstance(value, list) and all(isinstance(t, list | tuple) and len(t) == 3 and all(isinstance(x, str) for x in t) for t in value)
+    return [list(t) for t in value] if fine else None
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def strict_triples(texts: pd.Series) -> pd.Series:
+    return texts.map(literal_triples)
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def parse_triples(texts: pd.Series) -> pd.Series:
     return texts.map(triples_of)

@@ -73,6 +73,32 @@ def canonicalize(
     return out, cut(opened.select("label", "definition", "ord").unionAll(added))
 
 
+class _Rows:
+    """Vectors in order of arrival in one growing matrix, and the first nearest of them."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.count = 0
+        self.rows = np.zeros((0, 0))
+        for x in rows:
+            self.add(x)
+
+    def add(self, x: np.ndarray) -> None:
+        if self.count == len(self.rows):
+            grown = np.zeros((max(64, 2 * self.count), len(x)))
+            if self.count:
+                grown[: self.count] = self.rows
+            self.rows = grown
+        self.rows[self.count] = x
+        self.count += 1
+
+    def nearest(self, x: np.ndarray) -> tuple[int, float]:
+        if not self.count:
+            return -1, -np.inf
+        scores = self.rows[: self.count] @ x
+        best = int(scores.argmax())
+        return best, float(scores[best])
+
+
 def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -> DataFrame:
     """The strict fold: ``(doc_id, pos, rel, canonical)``; each relation that is added can be chosen by the next row.
 
@@ -80,11 +106,11 @@ def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -
     nearest open relation above ``threshold`` or joins the schema. Its state goes from row to row, so this runs in one task by nature: give it only
     the rows that need it; ``canonicalize`` is the form that scales.
     """
-    start = opened.select("label", "embedding").toPandas()  # a schema, not data: the caller's relations
+    start = opened.select("label", "embedding").orderBy("label").toPandas()  # a schema, not data: the caller's relations
     labels, vectors = start["label"].tolist(), [np.asarray(v, dtype=np.float64) for v in start["embedding"]]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, known = list(labels), list(vectors)
+        names, known = list(labels), _Rows(vectors)
         have = set(names)
         for df in batches:
             out = []
@@ -93,14 +119,13 @@ def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -
                 if rel in have:
                     out.append(rel)
                     continue
-                scores = np.stack(known) @ x if known else np.zeros(0)
-                best = int(scores.argmax()) if len(scores) else -1
-                if best >= 0 and scores[best] > threshold:
+                best, score = known.nearest(x)
+                if score > threshold:
                     out.append(names[best])
                 else:
                     names.append(rel)
                     have.add(rel)
-                    known.append(x)
+                    known.add(x)
                     out.append(rel)
             yield df[["doc_id", "pos", "rel"]].assign(canonical=out)
 
@@ -122,24 +147,25 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
         rows = rows.withColumn("kg", F.lit(None).cast("string")).withColumn("kg_score", F.lit(None).cast("double"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store: list[tuple[int, np.ndarray]] = []
+        store, owners = _Rows([]), []
         waiting: list[tuple[int, np.ndarray]] = []
         doc, count = None, 0
         for df in batches:
             out = []
             for d, v, kg, kg_score in zip(df["doc_id"], df["embedding"], df["kg"], df["kg_score"]):
                 if d != doc:
-                    store += waiting
+                    for owner, x in waiting:
+                        store.add(x)
+                        owners.append(owner)
                     waiting, doc = [], d
                 x = np.asarray(v, dtype=np.float64)
-                scores = np.array([s @ x for _, s in store])
-                top = int(scores.argmax()) if len(scores) else -1
-                own = float(scores[top]) if top >= 0 and scores[top] > threshold else -np.inf
+                top, score = store.nearest(x)
+                own = score if score > threshold else -np.inf
                 if kg is not None and kg == kg and kg_score >= own:
                     out.append(str(kg))
-                elif top >= 0 and own > -np.inf:
-                    waiting.append((store[top][0], x))
-                    out.append(f"{NEW_ENTITY}{store[top][0]}")
+                elif own > -np.inf:
+                    waiting.append((owners[top], x))
+                    out.append(f"{NEW_ENTITY}{owners[top]}")
                 else:
                     waiting.append((count, x))
                     out.append(f"{NEW_ENTITY}{count}")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import normalise_term, split_tag
@@ -14,6 +16,12 @@ TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 COMMENT = "http://www.w3.org/2000/01/rdf-schema#comment"
 ALIAS = "http://www.w3.org/2004/02/skos/core#altLabel"
+#: The element that stands for the class of classes.
+CLASS_OF_CLASSES = (
+    "http://www.w3.org/2002/07/owl#Class",
+    "concept",
+    "semantic unit understood in different ways, e.g. as mental representation, ability or abstract object (philosophy)",
+)
 #: Later kinds win where an identifier occurs in several.
 KINDS = ("entity", "relation", "class")
 
@@ -56,6 +64,27 @@ def container(entities: DataFrame, relations: DataFrame, classes: DataFrame) ->
     return best.select("identifier", "e.*")
 
 
+def with_class_of_classes(elements_: DataFrame) -> DataFrame:
+    """``elements_`` and the class of classes, which replaces an element of its identifier."""
+    identifier, label, definition = CLASS_OF_CLASSES
+    none = F.array().cast("array<string>")
+    one = elements_.sparkSession.range(1).select(
+        F.lit(identifier).alias("identifier"), F.lit("class").alias("kind"), F.lit(label).alias("label"), F.lit(definition).alias("definition"), none.alias("aliases"), none.alias("types")
+    )
+    return elements_.where(F.col("identifier") != identifier).unionByName(one)
+
+
+def stored(build: Callable[[], DataFrame], spark: SparkSession, path: str) -> DataFrame:
+    """The container at ``path``; where there is none yet it is built and written first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def type_labels(elements_: DataFrame) -> DataFrame:
     """``(identifier, type_labels)``: labels of an element's types in its order; unknown types and empty labels are dropped."""
     each = elements_.select("identifier", F.posexplode_outer("types").alias("pos", "type"))

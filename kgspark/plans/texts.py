@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import parsers as P
 from kgspark.functions import text as X
 from kgspark.operators import container as C
+from kgspark.operators import linking as L
 from kgspark.plans.registry import query, table
 from kgspark.sources import readers as R
 
@@ -58,7 +59,7 @@ def lang_tag_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", X.split_tag(v).alias("x")).select("c_custkey", "x.text", "x.tag")
 
 
-def _container(spark: SparkSession, sf: str) -> DataFrame:
+def container_of(spark: SparkSession, sf: str) -> DataFrame:
     line = lambda df, expr: df.select(F.expr(expr).alias("value"))
     n, p = table(spark, sf, "nation"), table(spark, sf, "part")
     brands = p.select("p_brand").distinct()
@@ -79,17 +80,17 @@ CONTAINER_SQL = """el AS (
 
 @query(f"WITH {CONTAINER_SQL} SELECT * FROM el")
 def kg_container(spark: SparkSession, sf: str) -> DataFrame:
-    return _container(spark, sf).select("identifier", "kind", "label", "definition", F.array_join("aliases", "|").alias("aliases"), F.array_join("types", "|").alias("types"))
+    return container_of(spark, sf).select("identifier", "kind", "label", "definition", F.array_join("aliases", "|").alias("aliases"), F.array_join("types", "|").alias("types"))
 
 
 @query(f"WITH {CONTAINER_SQL} SELECT identifier, label FROM el WHERE kind <> 'relation'")
 def label_select(spark: SparkSession, sf: str) -> DataFrame:
-    return C.index_candidates(_container(spark, sf)).select("identifier", "label")
+    return C.index_candidates(container_of(spark, sf)).select("identifier", "label")
 
 
 @query(f"WITH {CONTAINER_SQL} SELECT e.identifier, coalesce(t.label, '') AS type_labels FROM el e LEFT JOIN el t ON e.types = t.identifier")
 def type_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return C.type_labels(_container(spark, sf)).select("identifier", F.array_join("type_labels", "|").alias("type_labels"))
+    return C.type_labels(container_of(spark, sf)).select("identifier", F.array_join("type_labels", "|").alias("type_labels"))
 
 
 @query("""SELECT label, arg_max(uri, ord) AS uri, arg_max(definition, ord) AS definition, max(ord) AS ord FROM (
@@ -224,10 +225,12 @@ def webnlg_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", X.webnlg(x).alias("term"))
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT doc_id % 40 AS k, doc_id FROM documents) x ON d.doc_id = x.doc_id JOIN benchmark b ON b.item_id = x.k
+@query("""WITH b AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark)
+SELECT d.doc_id, b.item_id FROM documents d JOIN b ON d.doc_id % b.n = b.k
 WHERE contains(lower(d.text), lower(split_part(b.text, ' ', 1))) AND contains(lower(d.text), lower(split_part(b.text, ' ', 3)))""")
 def tekgen_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents against passages, dealt out by the number of passages, so that every passage meets its share."""
     word = lambda i: F.split_part("b", F.lit(" "), F.lit(i))
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
-    rows = d.join(b, F.col("doc_id") % 40 == F.col("item_id")).withColumn("triples", F.array(F.array(word(1), word(2), word(3))))
+    d, b = table(spark, sf, "documents"), L.dense_numbers(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b")), "item_id", "k")
+    rows = d.join(b, F.pmod("doc_id", F.lit(max(1, b.count()))) == F.col("k")).withColumn("triples", F.array(F.array(word(1), word(2), word(3))))
     return rows.where(R.in_sentence(F.col("text"), F.col("triples"))).select("doc_id", "item_id")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import models as M
 from kgspark.functions import text as X
-from kgspark.names import NEW_RELATION
+from kgspark.names import NEW_ENTITY, NEW_RELATION
 from kgspark.operators import canonical as C
 from kgspark.operators import linking as L
 from kgspark.operators import metrics
 from kgspark.operators import sampling as S
 from kgspark.operators import spans
+from kgspark.operators import vectors as V
 from kgspark.plans import graphs as G
 from kgspark.plans import pipeline as K
 from kgspark.plans.graphs import rounded
@@ -127,7 +128,7 @@ def relevant_documents(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.relevant_documents(rows).select("query", F.array_join(F.col("documents").cast("array<string>"), ",").alias("documents"))
 
 
-RELS = f"WITH {G.SYSTEM_SQL}, t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, p, o) AS pos, s, p, o FROM (SELECT DISTINCT * FROM system0))"
+RELS = f"WITH {G.SYSTEM_SQL}, t AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, p, o) AS pos, s, p, o FROM (SELECT DISTINCT * FROM system0))"
 
 
 def positioned(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +146,7 @@ def relation_uri_map(spark: SparkSession, sf: str) -> DataFrame:
     return L.relation_uris(positioned(spark, sf), opened, known)
 
 
-@query(f"""{RELS}, ids AS (SELECT DISTINCT doc_id, x AS entity, 'http://kg/' || x AS identifier FROM (SELECT doc_id, s AS x FROM t UNION SELECT doc_id, o FROM t) WHERE NOT contains(x, 'createdby'))
+@query(f"""{RELS}, ids AS MATERIALIZED (SELECT DISTINCT doc_id, x AS entity, 'http://kg/' || x AS identifier FROM (SELECT doc_id, s AS x FROM t UNION SELECT doc_id, o FROM t) WHERE NOT contains(x, 'createdby'))
 SELECT t.doc_id, t.pos, a.identifier AS s, 'http://kg/rel/' || t.p AS p, b.identifier AS o FROM t JOIN ids a ON a.doc_id = t.doc_id AND a.entity = t.s JOIN ids b ON b.doc_id = t.doc_id AND b.entity = t.o WHERE t.p IN ('placed', 'has_part')""")
 def linked_triples(spark: SparkSession, sf: str) -> DataFrame:
     t = positioned(spark, sf)
@@ -187,17 +188,48 @@ def enrich_fold(spark: SparkSession, sf: str) -> DataFrame:
     return C.canonicalize(docs, t, defs, opened, known, M.HashEmbedder(16), Never())[1]
 
 
-@query()
-def nil_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequential linking of odd vectors, five to a document, against new entities only."""
-    e = table(spark, sf, "embeddings").where("vec_id % 2 = 1")
-    return C.nil_fold(e.select(F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).cast("int").alias("ent_pos"), "embedding"), 0.3)
+#: The fold step by step: the list of earlier mentions' entity numbers, -1 for those linked to the graph, goes from row to row.
+NIL_SQL = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id // 10 AS doc_id, vec_id % 10 AS ent_pos, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
+kg AS MATERIALIZED (SELECT m.i, b.vec_id AS cand, list_dot_product(m.e, b.embedding::DOUBLE[]) AS score FROM m, embeddings b WHERE b.vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY m.i ORDER BY score DESC, b.vec_id) = 1),
+sims AS MATERIALIZED (SELECT a.i, list(list_dot_product(a.e, b.e) ORDER BY b.i) AS s FROM m a JOIN m b ON b.doc_id < a.doc_id GROUP BY a.i),
+r AS MATERIALIZED (SELECT m.i, m.doc_id, m.ent_pos, coalesce(s, []) AS s, CASE WHEN score > 0.35 THEN cand END AS kg, score FROM m JOIN kg ON kg.i = m.i LEFT JOIN sims ON sims.i = m.i),
+fold AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS doc_id, 0::BIGINT AS ent_pos, []::BIGINT[] AS nums, 0::BIGINT AS n, '' AS identifier
+  UNION ALL SELECT i, doc_id, ent_pos, list_append(nums, num), n + (num = n)::INT, CASE WHEN num < 0 THEN kg::VARCHAR ELSE '{NEW_ENTITY}' || num END FROM (
+    SELECT *, CASE WHEN kg IS NOT NULL AND score >= coalesce(own, -2) THEN -1 WHEN own IS NOT NULL THEN nums[list_position(held, own)] ELSE n END AS num FROM (
+      SELECT *, CASE WHEN list_max(held) > 0.3 THEN list_max(held) END AS own FROM (
+        SELECT r.*, f.nums, f.n, list_transform(range(1, len(r.s) + 1), lambda j: CASE WHEN f.nums[j] >= 0 THEN r.s[j] ELSE -9 END) AS held FROM fold f JOIN r ON r.i = f.i + 1))))
+SELECT doc_id, ent_pos::INT AS ent_pos, identifier FROM fold WHERE i > 0"""
 
 
-@query()
+@query(NIL_SQL)
+def nil_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequential linking of odd vectors, five to a document, against even ones and new entities."""
+    e = table(spark, sf, "embeddings")
+    odd, even = (e.where(f"vec_id % 2 = {k}").select(F.col("vec_id").alias("id"), "embedding") for k in (1, 0))
+    place = lambda c: (F.floor(F.col(c) / 10).alias("doc_id"), (F.col(c) % 10).cast("int").alias("ent_pos"))
+    near = V.top_k(odd, even, 10).select(*place("query_id"), "cand_id", "score")
+    return C.nil_fold(odd.select(*place("id"), "embedding"), 0.3, near, 0.35)
+
+
+STRICT_SQL = """WITH RECURSIVE o AS MATERIALIZED (SELECT 'open' || vec_id AS label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id // 10 AS doc_id, vec_id % 10 AS pos, 'r' || label || '_' || vec_id % 50 AS rel, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 <> 0),
+far AS MATERIALIZED (SELECT i, list(list_dot_product(m.e, o.e) ORDER BY o.label) AS s, list(o.label ORDER BY o.label) AS names FROM m, o GROUP BY i),
+sims AS MATERIALIZED (SELECT a.i, list(list_dot_product(a.e, b.e) ORDER BY b.i) AS s FROM m a JOIN m b ON b.i < a.i GROUP BY a.i),
+r AS MATERIALIZED (SELECT m.i, m.doc_id, m.pos, m.rel, far.s AS o, far.names, coalesce(sims.s, []) AS s FROM m JOIN far ON far.i = m.i LEFT JOIN sims ON sims.i = m.i),
+fold AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS doc_id, 0::BIGINT AS pos, '' AS rel, ''::VARCHAR AS canonical, []::VARCHAR[] AS added
+  UNION ALL SELECT i, doc_id, pos, rel, coalesce(chosen, rel), list_append(added, CASE WHEN chosen IS NULL THEN rel END) FROM (
+    SELECT *, CASE WHEN list_contains(added, rel) THEN rel WHEN list_max(held) > 0.3 THEN list_concat(names, added)[list_position(held, list_max(held))] END AS chosen FROM (
+      SELECT r.*, f.added, list_concat(r.o, list_transform(range(1, len(r.s) + 1), lambda j: CASE WHEN f.added[j] IS NOT NULL THEN r.s[j] ELSE -9 END)) AS held FROM fold f JOIN r ON r.i = f.i + 1)))
+SELECT doc_id, pos, rel, canonical FROM fold WHERE i > 0"""
+
+
+@query(STRICT_SQL)
 def strict_canonical_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors but the open relations' own, ten to a document."""
     e = table(spark, sf, "embeddings")
-    rows = e.where("vec_id % 2 = 1").select(F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).alias("pos"), F.concat(F.lit("r"), F.col("label").cast("string"), F.lit("_"), (F.col("vec_id") % 50).cast("string")).alias("rel"), "embedding")
+    rows = e.where("vec_id % 100 <> 0").select(F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).alias("pos"), F.concat(F.lit("r"), F.col("label").cast("string"), F.lit("_"), (F.col("vec_id") % 50).cast("string")).alias("rel"), "embedding")
     opened = e.where("vec_id % 100 = 0").select(F.concat(F.lit("open"), "vec_id").alias("label"), "embedding")
     return C.canonicalize_ordered(rows, opened, 0.3)
 

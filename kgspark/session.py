@@ -30,13 +30,15 @@ def build_session(app: str = "kgspark", cpus: str = "*", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (single-machine tests only) a temporary folder is made and set for the session's life.
+    Where it is unset a temporary folder is made and set for the session's life if everything runs on one machine; on a cluster that raises.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = made.get() if made.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kgspark-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

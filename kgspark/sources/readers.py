@@ -24,17 +24,21 @@ NT = r"^\s*(\S+)\s+(\S+)\s+(.*?)\s*\.\s*$"
 
 
 def numbered(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    """A dense number for each row in file order: partitions are counted first, so nothing comes together in one task."""
+    """A dense number for each row of a scan, in order of file names and places in them, however the splits are dealt to tasks.
+
+    Splits are counted first, so nothing comes together in one task; the driver holds one row a split.
+    """
     spark = df.sparkSession
-    tagged = df.withColumn("__row", F.monotonically_increasing_id())
+    tagged = df.withColumn("__file", F.input_file_name()).withColumn("__at", F.input_file_block_start()).withColumn("__row", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("__row", 33)
-    sizes = {r.p: r.n for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    splits = tagged.groupBy("__file", "__at", part.alias("part")).agg(F.count("*").alias("n"), F.min("__row").alias("first")).collect()
     base, rows = 0, []
-    for p in sorted(sizes):
-        rows.append((p, base))
-        base += sizes[p]
-    starts = F.broadcast(spark.createDataFrame(rows, "__p long, __base long"))
-    return tagged.join(starts, part == F.col("__p")).withColumn(name, F.col("__base") + F.col("__row").bitwiseAND((1 << 33) - 1)).drop("__row", "__p", "__base")
+    for r in sorted(splits, key=lambda r: (r["__file"], r["__at"], r.part)):
+        rows.append((r.part, r["__file"], r["__at"], base - r["first"]))
+        base += r.n
+    starts = F.broadcast(spark.createDataFrame(rows, "__p long, __f string, __a long, __base long"))  # one row a split
+    same = (part == F.col("__p")) & (F.col("__file") == F.col("__f")) & (F.col("__at") == F.col("__a"))
+    return tagged.join(starts, same).withColumn(name, F.col("__base") + F.col("__row")).drop("__row", "__file", "__at", "__p", "__f", "__a", "__base")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +99,12 @@ def definitions_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DEFINITIONS).csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
+def splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """All splits of a stored dataset with their names, or one of them."""
+    rows = spark.read.parquet(path)
+    return rows if split is None else rows.where(F.col("split") == split)
+
+
 def in_sentence(sentence: Column, triples: Column) -> Column:
     """Every triple has three parts, and its subject and object stand in the sentence in either case."""
     low = F.lower(sentence)

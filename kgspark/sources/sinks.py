@@ -31,8 +31,20 @@ def relation_csv(schema: DataFrame, path: str) -> None:
     schema.select("uri", "label", "definition").write.mode("errorifexists").csv(path, quote='"', escape='"')
 
 
+def definitions_csv(rows: DataFrame, path: str) -> None:
+    rows.select("text", "triplets", "relations", "definitions").write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
+
+
+def entries_xml(rows: DataFrame, path: str) -> None:
+    """Benchmark XML, one ``entry`` for each row ``(entry_id, triples)``."""
+    entry = rows.select(F.col("entry_id").alias("_eid"), F.struct(F.col("triples").alias("mtriple")).alias("modifiedtripleset"))
+    entry.write.mode("errorifexists").format("xml").option("rootTag", "entries").option("rowTag", "entry").save(path)
+
+
 def texts(docs: DataFrame, path: str) -> None:
-    docs.orderBy("doc_id").select(F.regexp_replace("text", "\n", " ").alias("value")).write.mode("errorifexists").text(path)
+    """One text a line in order of documents: line ends become spaces, null is an empty line."""
+    value = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\n|\r", " ")
+    docs.orderBy("doc_id", "text").select(value.alias("value")).write.mode("errorifexists").text(path)
 
 
 def json_rows(rows: DataFrame, path: str) -> None:
