@@ -141,7 +141,7 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
     """
     rows = mentions.select("doc_id", "ent_pos", "embedding")
     if kg_candidates is not None:
-        best = V.argmax_above(kg_candidates, ["doc_id", "ent_pos"], kg_threshold, "cand_id").select("doc_id", "ent_pos", F.col("cand_id").alias("kg"), F.col("score").alias("kg_score"))
+        best = V.argmax_above(kg_candidates, ["doc_id", "ent_pos"], kg_threshold, "cand_id").select("doc_id", "ent_pos", F.col("cand_id").cast("string").alias("kg"), F.col("score").alias("kg_score"))
         rows = rows.join(best, ["doc_id", "ent_pos"], "left")
     else:
         rows = rows.withColumn("kg", F.lit(None).cast("string")).withColumn("kg_score", F.lit(None).cast("double"))
