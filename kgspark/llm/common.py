@@ -9,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgspark.session import cut
+
 #: Rows of one Arrow batch: long documents keep a batch's memory small.
 BATCH_ROWS = 1024
 
@@ -86,6 +89,29 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray]
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
+#: Bits of the filter that ``flagged`` sends to all tasks: 16 MB in 4,096 pieces.
+FILTER_BITS = 1 << 27
+PIECE_BITS = 1 << 15
+
+
+def flagged(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the flag ``name``: false where ``key`` certainly isn't among ``ids``, a frame of one column; null keys aren't.
+
+    A filter of a fixed number of bits, one hash an id, is all that is broadcast, however many ids there are. With very many ids more rows are
+    flagged than need be; joins behind it stay exact.
+    """
+    own = rows.schema[key].dataType
+    place = lambda c: F.pmod(F.xxhash64(F.lit(11), c.cast(own)), F.lit(FILTER_BITS))
+    spot = place(F.col(ids.columns[0]))
+    piece, bit, bits = unused("piece", rows.columns), unused("bit", rows.columns), unused("bits", rows.columns)
+    pieces = ids.select(F.floor(spot / PIECE_BITS).alias(piece), (spot % PIECE_BITS).alias("at")).groupBy(piece).agg(F.bitmap_construct_agg("at").alias(bits))
+    spot = place(F.col(f"`{key}`"))
+    marked = rows.withColumn(bit, spot).join(F.broadcast(cut(pieces, FILTER_BITS // PIECE_BITS)), F.floor(F.col(bit) / PIECE_BITS) == F.col(piece), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(F.col(bit) % PIECE_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1
+    return marked.withColumn(name, F.coalesce(hit & F.col(f"`{key}`").isNotNull(), F.lit(False))).drop(piece, bit, bits)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores behind it if a column already has it."""
     taken = {c.lower() for c in columns}

@@ -1,79 +1,69 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text and quantiles of perplexity by language.
 
-The model is one of characters, in 64 classes and of order 4, so that an n-gram is a 24-bit number. Trusted documents are
-counted where they lie, pre-aggregated in every task; the counts are sharded by n-gram, and joins of count tables (n-gram
-with context, n-gram with its lower order) turn them into interpolated probabilities. What the joins yield has at most
-64^4 entries whatever the corpus holds, and it alone is sent to the scoring tasks: documents are not shuffled for scoring.
+The model is one of byte n-grams of order 5. Trusted documents are counted in each task and the counts summed in shards by
+n-gram; continuation counts, discounts and joins with the counts of contexts turn them into tables of discounted probabilities and of left-over masses, which
+grow with the trusted text and stay sharded: no task, and not the driver, holds the model.
+
+Scoring joins those tables with the n-grams of the documents. Every task packs its documents into blocks in the shared folder
+and sends each block's distinct n-grams, sorted and compressed, to the shards; a shard holds its part of the tables and answers one
+block after the other; the answers meet at the block, whose texts are read where they were written. So neither texts nor
+repeated n-grams are shuffled, and memory is bounded by a block and a shard.
+
 Two models of half the trusted text each are fitted, and every document is scored by the one that hasn't seen it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import extended, small_batches, unused
-from kgspark.session import cut, written
+from kgspark.llm.common import extended, flagged, open_fs, small_batches, unused
+from kgspark.session import cut, fresh_dir, written
 
-ORDER = 4
-BITS = 6
-CLASSES = 1 << BITS
+ORDER = 5
+SYMBOLS = 256
 #: Share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
-#: Characters at the language's mean that every document is scored with besides its own: short texts stay near the mean.
-PRIOR_CHARS = 48
+#: Bytes at the language's mean that every document is scored with besides its own: short texts stay near the mean.
+PRIOR_BYTES = 48
 #: Trusted documents that a language needs for a threshold of its own.
 LEAST_TRUSTED = 50
 STEP = 1e-3
-_START = 41
-
-
-@cache
-def class_table() -> np.ndarray:
-    """Class of every code point below U+3000: 26 small letters, 13 for capitals, digits, space, other white space, full stop, comma, 10 for other ASCII, 10 for the rest."""
-    out = np.empty(0x3000, dtype=np.uint8)
-    for c in range(0x3000):
-        x = chr(c)
-        if "a" <= x <= "z":
-            k = c - 97
-        elif "A" <= x <= "Z":
-            k = 26 + (c - 65) // 2
-        elif "0" <= x <= "9":
-            k = 39
-        elif x == " ":
-            k = 40
-        elif x.isspace():
-            k = _START
-        elif x in ".,":
-            k = 42 + (x == ",")
-        elif c < 128:
-            k = 44 + c % 10
-        else:
-            k = 54 + c % 10
-        out[c] = k
-    return out
+#: Bytes of text that a block holds, about; one longer document is a block of its own.
+BLOCK_BYTES = 16_000_000
+#: Entries of the model's tables in a shard, about.
+SHARD_ROWS = 500_000
+#: Distinct n-grams that a counting task holds before it passes them on.
+HELD = 4_000_000
+_PIECE = 4_000_000
+_BEGIN = b"\n" * (ORDER - 1)
+
+
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """The n-gram of order 5 that ends at each byte of each text, as a number of 40 bits; a text begins after line ends."""
+    raw = np.frombuffer(_BEGIN + b"".join(t + _BEGIN for t in texts), np.uint8).astype(np.int64)
+    n = len(raw) - ORDER + 1
+    out = raw[:n].copy()
+    for i in range(1, ORDER):
+        out <<= 8
+        out |= raw[i : i + n]
+    # what ends in the padding between texts isn't counted
+    ends = np.cumsum([len(t) for t in texts]) + np.arange(len(texts)) * (ORDER - 1)
+    keep = np.ones(n, bool)
+    for i in range(ORDER - 1):
+        at = ends + i
+        keep[at[at < n]] = False
+    return out[keep]
 
 
-def codes(text: str) -> np.ndarray:
-    """The n-gram of order 4 that ends at each character, as a number of 24 bits; the text begins after three line ends."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table = class_table()
-    small = points < len(table)
-    k = np.where(small, table[np.where(small, points, 0)], 54 + points % 10).astype(np.int32)
-    k = np.concatenate([np.full(ORDER - 1, _START, np.int32), k])
-    n = len(points)
-    out = k[:n].copy()
-    for i in range(1, ORDER):
-        out <<= BITS
-        out |= k[i : i + n]
-    return out
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def fold() -> Column:
@@ -81,69 +71,52 @@ def fold() -> Column:
     return F.pmod(F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
 
 
+def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of a few megabytes."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > _PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def count(docs: DataFrame) -> DataFrame:
     """``(fold, gram, n)`` of all rows' whole texts: counted in each task first, then summed in shards by n-gram."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        grams, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            both = np.concatenate([grams, g])
-            u, at = np.unique(both, return_inverse=True)
-            return u, np.bincount(at, np.concatenate([sums, n])).astype(np.int64)
-
+        grams, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            for t, f in zip(b.column(0), b.column(1)):
-                if text := t.as_py():
-                    held.append(codes(text) | f.as_py() << BITS * ORDER)
-                    size += len(text)
-                    if size > 4_000_000:
-                        grams, sums = merged()
-                        held, size = [], 0
-        if held:
-            grams, sums = merged()
+            folds = b.column(1).to_numpy()
+            texts = [encoded(t) for t in b.column(0).to_pylist()]
+            for f in (0, 1):
+                for piece in _pieces([t for t, k in zip(texts, folds) if k == f and t]):
+                    g, n = np.unique(grams_of(piece), return_counts=True)
+                    both = np.concatenate([grams, g | f << 8 * ORDER])
+                    grams, at = np.unique(both, return_inverse=True)
+                    sums = np.bincount(at, np.concatenate([sums, n])).astype(np.int64)
+                    if len(grams) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums)], ["gram", "n"])
+                        grams, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(sums)], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums)], ["gram", "n"])
 
-    sums = docs.select("text", fold()).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return sums.select(F.shiftright("gram", BITS * ORDER).alias("fold"), F.col("gram").bitwiseAND(CLASSES**ORDER - 1).alias("gram"), "n")
+    sums = docs.select("text", fold()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return sums.select(F.shiftright("gram", 8 * ORDER).cast("int").alias("fold"), F.col("gram").bitwiseAND((1 << 8 * ORDER) - 1).alias("gram"), "n")
 
 
-@dataclass
-class Model:
-    """Probabilities of seen n-grams of the highest order, and what unseen ones back off to."""
-
-    grams: np.ndarray
-    probs: np.ndarray
-    gamma: np.ndarray  # by context of three classes
-    lower: np.ndarray  # by n-gram of order 3
-
-    def table(self) -> np.ndarray:
-        """Negative log probability of every possible n-gram, 64 MB; made in slices, so that little more is ever held."""
-        out = np.empty(CLASSES**ORDER, dtype=np.float32)
-        lower = self.lower.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)
-        rows = out.reshape(CLASSES, CLASSES * CLASSES, CLASSES)  # contexts abc: first class, then the context bc of the lower order
-        gamma = self.gamma.reshape(CLASSES, CLASSES * CLASSES, 1).astype(np.float32)
-        for first in range(CLASSES):
-            np.multiply(gamma[first], lower, out=rows[first])
-        out[self.grams] = self.probs
-        np.log(out, out=out)
-        np.negative(out, out=out)
-        return out
-
-
-def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
     """The three discounts of modified Kneser-Ney by fold, from the counts of counts; absolute ones where those are degenerate."""
-    found: dict[int, dict[int, int]] = {}
+    found: dict[int, dict[int, int]] = {0: {}, 1: {}}
     for r in counts.where("n <= 4").groupBy("fold", "n").agg(F.count("*").alias("k")).collect():  # four rows a fold
-        found.setdefault(r.fold, {})[r.n] = r.k
+        found[r.fold][r.n] = r.k
     out = {}
-    for f in (0, 1):
-        n1, n2, n3, n4 = (found.get(f, {}).get(i, 0) for i in range(1, 5))
+    for f, of in found.items():
+        n1, n2, n3, n4 = (of.get(i, 0) for i in range(1, 5))
         out[f] = 0.5, 0.75, 0.9
         if all((n1, n2, n3, n4)):
             y = n1 / (n1 + 2 * n2)
@@ -152,107 +125,271 @@ def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
-def fit(counts: DataFrame) -> dict[int, Model]:
-    """A model for each fold of ``(fold, gram, n)``; folds without counts have none.
+def _key(f, kind: int, gram):
+    """Fold, kind of entry and bytes as one long: kind is twice the order, for left-over masses one more."""
+    return ((f << 4 | kind) << 8 * ORDER) | gram
+
+
+def fit(counts: DataFrame) -> DataFrame:
+    """The sharded tables ``(key, value)`` of all orders and both folds of ``(fold, gram, n)``.
 
-    Order 4 has raw counts, lower orders have continuation counts: in how many contexts an n-gram follows. Both folds go through the same
-    joins, with the fold as part of every key.
+    An n-gram of order k has a discounted probability, a context of k - 1 bytes a left-over mass for the order below. The highest order has raw
+    counts, lower ones have continuation counts: in how many contexts an n-gram follows. All joins are of count tables, by context.
     """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-        levels[k] = cut(levels[k + 1].groupBy("fold", tail.alias("gram")).agg(F.count("*").alias("n")), 2 * CLASSES**k)
-    probs: DataFrame | None = None
-    lower: dict[int, np.ndarray] = {}
-    out: dict[int, Model] = {}
-    for k in range(1, ORDER + 1):
-        d = _discounts(levels[k])
+        levels[k] = cut(levels[k + 1].groupBy("fold", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n")))
+    out: DataFrame | None = None
+    for k, level in levels.items():
+        d = discounts(level)
         by = lambda i: F.when(F.col("fold") == 0, d[0][i]).otherwise(d[1][i])  # noqa: B023, E731
         off = F.when(F.col("n") == 1, by(0)).when(F.col("n") == 2, by(1)).otherwise(by(2))
-        head = F.shiftright("gram", BITS)
-        # the count table of contexts: total and left-over mass
-        contexts = levels[k].groupBy("fold", head.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("over"))
-        own = levels[k].withColumn("context", head).join(contexts, ["fold", "context"])
-        if probs is None:
-            joined = own.withColumn("low", F.lit(1.0 / CLASSES))
-        else:
-            tail = F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)
-            joined = own.withColumn("short", tail).join(probs.select("fold", F.col("gram").alias("short"), F.col("p").alias("low")), ["fold", "short"])
-        p = (F.col("n") - off) / F.col("total") + F.col("over") / F.col("total") * F.col("low")
-        probs = cut(joined.select("fold", "gram", p.alias("p")), 2 * min(CLASSES**k, 1 << 20))
-        rows = probs.toArrow()  # at most 64^k n-grams of a fold
-        left = contexts.select("fold", "context", (F.col("over") / F.col("total")).alias("g")).toArrow()
-        for f in (0, 1):
-            mine = rows.filter(pa.compute.equal(rows.column("fold"), f))
-            if not mine.num_rows:
-                continue
-            gamma = np.ones(CLASSES ** (k - 1))
-            g = left.filter(pa.compute.equal(left.column("fold"), f))
-            gamma[g.column("context").to_numpy()] = g.column("g").to_numpy()
-            grams, values = mine.column("gram").to_numpy(), mine.column("p").to_numpy()
-            if k == ORDER:
-                out[f] = Model(grams, values, gamma, lower[f])
-            else:
-                dense = _backed_off(gamma, lower.get(f))
-                dense[grams] = values
-                lower[f] = dense
+        head = F.shiftright("gram", 8)
+        contexts = cut(level.groupBy("fold", head.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("over")))
+        own = level.withColumn("context", head).join(contexts, ["fold", "context"])
+        key = lambda kind, gram: F.shiftleft(F.shiftleft(F.col("fold").cast("long"), 4).bitwiseOR(F.lit(kind).cast("long")), 8 * ORDER).bitwiseOR(F.col(gram)).alias("key")
+        rows = own.select(key(2 * k, "gram"), ((F.col("n") - off) / F.col("total")).alias("value"))
+        rows = rows.unionAll(contexts.select(key(2 * k + 1, "context"), (F.col("over") / F.col("total")).alias("value")))
+        out = rows if out is None else out.unionAll(rows)
+    return written(out, "kneser-ney")
+
+
+def asked(grams: np.ndarray, f: int) -> list[np.ndarray]:
+    """What a block's sorted distinct n-grams need of fold ``f``: for each order the n-grams' and the contexts' keys, ascending."""
+    out = []
+    for k in range(1, ORDER + 1):
+        own = np.unique(grams & ((1 << 8 * k) - 1)) if k < ORDER else grams
+        out += [_key(f, 2 * k, own), _key(f, 2 * k + 1, np.unique(own >> 8))]
     return out
 
 
-def _backed_off(gamma: np.ndarray, lower: np.ndarray | None) -> np.ndarray:
-    """Probabilities of all n-grams of a lower order as if none had been seen."""
-    if lower is None:
-        return np.full(CLASSES, gamma[0] / CLASSES)
-    context = np.arange(len(gamma))
-    rows = (context % max(1, len(lower) // CLASSES)) * CLASSES
-    return (gamma[:, None] * lower[rows[:, None] + np.arange(CLASSES)]).ravel()
+def log_probabilities(grams: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities of sorted distinct n-grams from the answers to ``asked``; NaN stands for what the tables don't hold."""
+    lower, short = np.full(1, 1.0 / SYMBOLS), np.zeros(1, np.int64)
+    for k in range(1, ORDER + 1):
+        own = np.unique(grams & ((1 << 8 * k) - 1)) if k < ORDER else grams
+        mass = np.nan_to_num(values[2 * k - 1].astype(np.float64), nan=1.0)
+        back = lower[np.searchsorted(short, own & ((1 << 8 * (k - 1)) - 1))]
+        lower = np.nan_to_num(values[2 * k - 2].astype(np.float64)) + mass[np.searchsorted(np.unique(own >> 8), own >> 8)] * back
+        short = own
+    return np.log(lower)
 
 
-def fit_folds(trusted: DataFrame) -> list[Model] | None:
-    """Two models, each of one half of the trusted texts; None where there is no trusted text.
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
-    A document is scored by the half that it isn't in, whether it is trusted or not, so trusted documents' scores are those of unseen text and their
-    quantiles hold for others. Where one half is empty the other serves for all.
-    """
-    models = fit(cut(count(trusted), 1 << 20))
-    return [models.get(1, models.get(0)), models.get(0, models.get(1))] if models else None
 
+def _packed(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
 
-_tables: list[tuple[list[Model], list[np.ndarray]]] = []
 
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=size * np.dtype(kind).itemsize, asbytes=True), kind) if size else np.zeros(0, kind)
 
-def _tables_of(sent) -> list[np.ndarray]:
-    """The broadcast models' tables, made once in each worker."""
-    models = sent.value
-    if not (_tables and _tables[0][0] is models):
-        _tables.clear()
-        _tables.append((models, [m.table() for m in models]))
-    return _tables[0][1]
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, which pack well."""
+    return np.diff(x, prepend=np.int64(0))
 
-def scored(docs: DataFrame, models: list[Model], columns: list[str], nll: str = "nll", length: str = "length") -> DataFrame:
-    """``columns`` of ``docs`` with ``nll`` (sum over the whole text, nats) and ``length`` (characters); these mustn't be among ``columns``."""
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by 64^4 entries each
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of ``keys`` by shard, in order of keys within each."""
+    of = _shard(keys, shards)
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)):
+        yield int(s), order[bounds[s] : bounds[s + 1]]
+
+
+def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards: int) -> DataFrame:
+    """``(block, shard, part, keys, values)``: documents (text and fold last) written as blocks, and what these ask of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, folder = open_fs(folder_uri)
+        disk.create_dir(folder, recursive=True)
+        held: list[pa.RecordBatch] = []
+        grams, texts, size = [np.zeros(0, np.int64)] * 2, ([], []), 0
+
+        def merge() -> None:
+            for f in (0, 1):
+                for piece in _pieces(texts[f]):
+                    grams[f] = np.union1d(grams[f], grams_of(piece))
+                texts[f].clear()
+
+        def close() -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            meta = {f"grams{f}": _packed(_steps(grams[f])) for f in (0, 1)}
+            schema = held[0].schema.with_metadata(meta)
+            with disk.open_output_stream(f"{folder}/{name}.arrow", compression=None) as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=schema))
+            keys = np.concatenate([k for f in (0, 1) for k in asked(grams[f], model_of[f])])
+            parts = list(_dealt(keys, shards)) or [(0, np.zeros(0, np.int64))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(parts)), pa.array([s for s, _ in parts], pa.int32()), pa.array([1] * len(parts), pa.int32()), pa.array([_packed(_steps(keys[at])) for _, at in parts], pa.binary()), pa.nulls(len(parts), pa.binary())],
+                ["block", "shard", "part", "keys", "values"],
+            )
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            start = 0
+            for i, (t, f) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+                raw = encoded(t)
+                texts[f].append(raw)
+                size += len(raw)
+                if size > BLOCK_BYTES:
+                    held.append(b.slice(start, i + 1 - start))
+                    merge()
+                    yield close()
+                    held, grams, size, start = [], [np.zeros(0, np.int64)] * 2, 0, i + 1
+            if start < b.num_rows:
+                held.append(b.slice(start))
+            if sum(map(len, texts[0])) + sum(map(len, texts[1])) > _PIECE:
+                merge()
+        if held:
+            merge()
+            yield close()
+
+    return docs.mapInArrow(run, "block string, shard int, part int, keys binary, values binary")
+
+
+def _parts_of(model: DataFrame, shards: int) -> DataFrame:
+    """The model's tables in the same form, part 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, values = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            parts = list(_dealt(keys, shards))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(parts), pa.string()), pa.array([s for s, _ in parts], pa.int32()), pa.array([0] * len(parts), pa.int32()), pa.array([_packed(_steps(keys[at])) for _, at in parts], pa.binary()), pa.array([_packed(values[at]) for _, at in parts], pa.binary())],
+                ["block", "shard", "part", "keys", "values"],
+            )
+
+    packed = model.select("key", "value").repartition(max(1, shards // 4)).mapInArrow(run, "block string, shard int, part int, keys binary, values binary")
+    return packed
+
+
+def _answers(rows: DataFrame, shards: int) -> DataFrame:
+    """``(block, shard, values)``: a shard's tables come first, then it answers block by block; NaN for what they don't hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, loaded = -1, True
+        keys: list[np.ndarray] | np.ndarray = []
+        values: list[np.ndarray] | np.ndarray = []
+        for b in batches:
+            blocks, shards_, out = [], [], []
+            for block, s, part, k, v in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if s != shard:
+                    shard, loaded, keys, values = s, False, [], []
+                mine = np.cumsum(_unpacked(k, np.int64))
+                if part == 0:
+                    keys.append(mine)
+                    values.append(_unpacked(v, np.float32))
+                    continue
+                if not loaded:
+                    keys, values = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (values, np.float32)))
+                    order = np.argsort(keys)
+                    keys, values, loaded = keys[order], values[order], True
+                got = np.full(len(mine), np.nan, np.float32)
+                if len(keys) and len(mine):
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    hit = keys[at] == mine
+                    got[hit] = values[at[hit]]
+                blocks.append(block)
+                shards_.append(s)
+                out.append(_packed(got))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(shards_, pa.int32()), pa.array(out, pa.binary())], ["block", "shard", "values"])
+
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "part", "block").mapInArrow(run, "block string, shard int, values binary")
+
+
+@dataclass
+class Model:
+    """The sharded tables, and which fold's model scores the documents of fold 0 and of fold 1."""
+
+    tables: DataFrame
+    model_of: tuple[int, int]
+
+
+def fit_folds(trusted: DataFrame) -> Model | None:
+    """Two models, each of one half of the trusted texts; None where there is no trusted text.
+
+    A document is scored by the half that it isn't in, whether it is trusted or not, so trusted documents' scores are those of unseen text and their
+    quantiles hold for others. Where one half is empty the other serves for all.
+    """
+    counts = cut(count(trusted))
+    there = {r.fold for r in counts.select("fold").distinct().collect()}  # two at most
+    if not there:
+        return None
+    return Model(fit(counts), (1 if 1 in there else 0, 0 if 0 in there else 1))
+
+
+def scored(docs: DataFrame, model: Model, columns: list[str], nll: str = "nll", length: str = "length") -> DataFrame:
+    """``columns`` of ``docs`` with ``nll`` (sum over the whole text, nats) and ``length`` (bytes of UTF-8); these mustn't be among ``columns``."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rest = docs.select(*[F.col(f"`{c}`") for c in columns])
-    picked = docs.select(F.col("text").alias(unused("text", columns)), fold().alias(unused("fold", columns)), *[F.col(f"`{c}`") for c in columns])
+    picked = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(unused("text", columns)), fold().alias(unused("fold", columns)))
+    if "text" in columns:  # carried once
+        picked = docs.select(*[F.col(f"`{c}`") for c in columns if c != "text"], "text", fold().alias(unused("fold", columns)))
+    folder_uri = fresh_dir(spark, "quality-blocks")
+    shards = max(8, -(-model.tables.count() // SHARD_ROWS))
+    blocks = written(_blocks(picked, folder_uri, model.model_of, shards), "quality-asked")
+    answers = _answers(blocks.unionAll(_parts_of(model.tables, shards)), shards)
+    model_of, names = model.model_of, [*columns, nll, length]
+
+    def finish(block: str, parts: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        disk, folder = open_fs(folder_uri)
+        with disk.open_input_file(f"{folder}/{block}.arrow") as f:
+            file = pa.ipc.open_file(f)
+            grams = [np.cumsum(_unpacked(file.schema.metadata[b"grams%d" % k], np.int64)) for k in (0, 1)]
+            sets = [asked(grams[k], model_of[k]) for k in (0, 1)]
+            keys = np.concatenate([x for own in sets for x in own])
+            values = np.full(len(keys), np.nan, np.float32)
+            for s, at in _dealt(keys, shards):
+                values[at] = _unpacked(parts[s], np.float32)
+            cuts = np.split(values, np.cumsum([len(x) for own in sets for x in own])[:-1])
+            logs = [log_probabilities(grams[k], cuts[2 * ORDER * k : 2 * ORDER * (k + 1)]) if len(grams[k]) else np.zeros(0) for k in (0, 1)]
+            for i in range(file.num_record_batches):
+                b = file.get_batch(i)
+                texts = [encoded(t) for t in b.column(b.num_columns - 2).to_pylist()]
+                folds = b.column(b.num_columns - 1).to_numpy()
+                lengths = np.array([len(t) for t in texts], np.int64)
+                sums = np.zeros(len(texts))
+                for k in (0, 1):
+                    mine = np.flatnonzero((folds == k) & (lengths > 0))
+                    for piece in np.split(mine, np.flatnonzero(np.diff(np.cumsum(lengths[mine]) // _PIECE)) + 1) if len(mine) else ():
+                        found = logs[k][np.searchsorted(grams[k], grams_of([texts[j] for j in piece]))]
+                        sums[piece] = -np.add.reduceat(found, np.cumsum(lengths[piece]) - lengths[piece])
+                given = {n: b.column(b.schema.get_field_index(n)) for n in columns}
+                yield pa.RecordBatch.from_arrays([*given.values(), pa.array(sums), pa.array(lengths)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables_of(sent)
+        block, parts = None, {}
         for b in batches:
-            sums, lengths = [], []
-            for t, f in zip(b.column(0), b.column(1)):
-                text = t.as_py() or ""
-                lengths.append(len(text))
-                sums.append(float(tables[f.as_py()][codes(text)].sum(dtype=np.float64)) if text else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(sums, pa.float64()), pa.array(lengths, pa.int64())], [*b.schema.names[2:], nll, length])
+            for name, s, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if name != block:
+                    if block is not None:
+                        yield from finish(block, parts)
+                    block, parts = name, {}
+                parts[s] = v
+        if block is not None:
+            yield from finish(block, parts)
 
-    return picked.mapInArrow(run, extended(rest.schema, f"`{nll}` double, `{length}` long"))
+    return answers.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, extended(rest.schema, f"`{nll}` double, `{length}` long"))
 
 
 @dataclass
 class Limits:
-    """Mean and threshold of nats a character by language; ``None`` holds for other languages."""
+    """Mean and threshold of nats a byte by language; ``None`` holds for other languages."""
 
     by_lang: dict[str | None, tuple[float, float]]
     other: tuple[float, float]
@@ -264,18 +401,20 @@ class Limits:
         return out
 
     def shrunk(self, nll: str = "nll", length: str = "length") -> Column:
-        return (F.col(nll) + PRIOR_CHARS * self.column(0)) / (F.col(length) + PRIOR_CHARS)
+        return (F.col(nll) + PRIOR_BYTES * self.column(0)) / (F.col(length) + PRIOR_BYTES)
 
 
-def limits(scores: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> Limits | None:
+def limits(scores: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, nll: str = "nll", length: str = "length") -> Limits | None:
     """Thresholds from all trusted documents' scores, by exact quantiles of a histogram of fixed step for each language."""
-    own = scores.where("length > 0").join(trusted_ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    rows = scores.select("doc_id", "lang", F.col(nll).alias("nll"), F.col(length).alias("length")).where("length > 0")
+    own = rows.join(trusted_ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
     means = own.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("length").alias("length"), F.count("*").alias("rows")).collect()
     if not means:
         return None
     all_mean = sum(r.nll for r in means) / sum(r.length for r in means)
     first = Limits({r.lang: (r.nll / r.length, 0.0) for r in means if r["rows"] >= LEAST_TRUSTED}, (all_mean, 0.0))
     bins = own.groupBy("lang", F.floor(first.shrunk() / STEP).alias("bin")).agg(F.count("*").alias("n")).collect()  # bounded by the step
+
     def at(rows: list) -> float:
         need, seen = quantile * sum(r.n for r in rows), 0
         for r in sorted(rows, key=lambda r: r.bin):
@@ -283,9 +422,8 @@ def limits(scores: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
             if seen >= need:
                 return (r.bin + 1) * STEP
         raise AssertionError
-    return Limits(
-        {lang: (pair[0], at([r for r in bins if r.lang == lang])) for lang, pair in first.by_lang.items()}, (all_mean, at(bins))
-    )
+
+    return Limits({lang: (pair[0], at([r for r in bins if r.lang == lang])) for lang, pair in first.by_lang.items()}, (all_mean, at(bins)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -293,31 +431,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select("trusted_id")
 
 
-def _prepared(docs: DataFrame, labels: DataFrame, quantile: float) -> tuple[list[Model], Limits, DataFrame] | None:
-    good = trusted_ids(labels)
-    # labels grow with the documents, so the join is never a broadcast, at any size; hashing them spares a sort of the texts
-    models = fit_folds(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
-    if models is None:
+def _prepared(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: float, nll: str, length: str) -> tuple[Limits, DataFrame] | None:
+    good = cut(trusted_ids(labels))
+    # the filter lets few others pass, so the exact join, which is never a broadcast, shuffles little more than the trusted texts
+    maybe = flagged(docs.select("doc_id", "text"), "doc_id", good, "maybe").where("maybe")
+    model = fit_folds(maybe.join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    if model is None:
         return None
-    scores = written(scored(docs, models, ["doc_id", "lang"]), "quality")
-    found = limits(scores, good, quantile)
-    return None if found is None else (models, found, scores)
+    scores = written(scored(docs, model, columns, nll, length), "quality")
+    found = limits(scores, good, quantile, nll, length)
+    return None if found is None else (found, scores)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(doc_id, lang, length, log_perplexity, score, threshold, kept)``, one row for each row of ``docs``.
 
-    ``log_perplexity`` is the mean of nats a character, ``score`` the same with a prior at the language's mean, and a document is
+    ``log_perplexity`` is the mean of nats a byte, ``score`` the same with a prior at the language's mean, and a document is
     kept if its score is at most its language's threshold. Null and empty texts have no perplexity and are rejected. Documents
     of a language, or of none, with few trusted documents are held to the threshold over all trusted documents. Without
     trusted text there is no model and all documents are kept, with null figures. Ties with the threshold are kept; repeated rows repeat;
     an empty table gives no rows.
     """
-    ready = _prepared(docs, labels, quantile)
+    ready = _prepared(docs, labels, ["doc_id", "lang"], quantile, "nll", "length")
     if ready is None:
         none = F.lit(None).cast("double")
-        return docs.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"), none.alias("log_perplexity"), none.alias("score"), none.alias("threshold"), F.lit(True).alias("kept"))
-    _, found, scores = ready
+        return docs.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"), none.alias("log_perplexity"), none.alias("score"), none.alias("threshold"), F.lit(True).alias("kept"))
+    found, scores = ready
     some = F.col("length") > 0
     return scores.select(
         "doc_id", "lang", "length", F.when(some, F.col("nll") / F.col("length")).alias("log_perplexity"),
@@ -326,11 +465,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns; nothing but scores and counts is shuffled to apply it."""
-    ready = _prepared(docs, labels, quantile)
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; without trusted text all rows stay; an empty table stays empty.
+    """
+    nll, length = unused("nll", docs.columns), unused("length", docs.columns)
+    ready = _prepared(docs, labels, docs.columns, quantile, nll, length)
     if ready is None:
         return docs
-    models, found, _ = ready
-    nll, length = unused("nll", docs.columns), unused("length", docs.columns)
-    out = scored(docs, models, docs.columns, nll, length)
-    return out.where((F.col(length) > 0) & (found.shrunk(nll, length) <= found.column(1))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, scores = ready
+    return scores.where((F.col(length) > 0) & (found.shrunk(nll, length) <= found.column(1))).select(*[F.col(f"`{c}`") for c in docs.columns])

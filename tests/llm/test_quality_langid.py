@@ -7,19 +7,19 @@ import pytest
 
 from kgspark.llm import langid as L
 from kgspark.llm import quality as Q
+from kgspark.llm.common import flagged
 
 
-def test_kneser_ney_like_brute_force(spark):
-    draw = random.Random(1)
-    texts = ["".join(draw.choice("abcab A.") for _ in range(draw.randint(0, 80))) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    counts_of_all = Q.count(docs).groupBy("gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").selectExpr("1 AS fold", "gram", "n")
-    model = Q.fit(counts_of_all)[1]
-    table = model.table()
-    assert np.allclose(np.exp(-table.astype(float)).reshape(-1, Q.CLASSES).sum(1), 1, atol=1e-5)
-    counts = {4: collections.Counter(g for t in texts for g in Q.codes(t).tolist())}
-    for k in (3, 2, 1):
-        counts[k] = collections.Counter(g & ((1 << 6 * k) - 1) for g in counts[k + 1])
+def slow_perplexities(trusted, asked):
+    """Sums of nats of ``asked`` under the model of ``trusted``, both bytes, by the formulas."""
+    gram = lambda t, i, k: (b"\n" * 4 + t)[i + 5 - k : i + 5]
+    counts = {5: collections.Counter(gram(t, i, 5) for t in trusted for i in range(len(t)))}
+    for k in (4, 3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    after = {k: collections.defaultdict(list) for k in counts}
+    for k, own in counts.items():
+        for g, n in own.items():
+            after[k][g[:-1]].append(n)
 
     def discount(k, n):
         c = collections.Counter(counts[k].values())
@@ -30,18 +30,43 @@ def test_kneser_ney_like_brute_force(spark):
         d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)[min(n, 3) - 1]
         return min(max(d, 0.05), min(n, 3) - 0.05)
 
-    def p(g, k):
+    def p(g):
+        k = len(g)
         if not k:
-            return 1 / Q.CLASSES
-        same = {q: n for q, n in counts[k].items() if q >> 6 == g >> 6}
-        low = p(g & ((1 << 6 * (k - 1)) - 1), k - 1)
+            return 1 / 256
+        same = after[k].get(g[:-1])
+        low = p(g[1:])
         if not same:
             return low
-        n = same.get(g, 0)
-        return ((n - discount(k, n) if n else 0) + sum(discount(k, m) for m in same.values()) * low) / sum(same.values())
+        n = counts[k][g]
+        return ((n - discount(k, n) if n else 0) + sum(discount(k, m) for m in same) * low) / sum(same)
+
+    assert math.isclose(sum(p(next(iter(counts[5]))[:-1] + bytes([x])) for x in range(256)), 1)
+    return [-sum(math.log(p(gram(t, i, 5))) for i in range(len(t))) for t in asked]
 
-    for g in [*list(counts[4])[:30], *(draw.randrange(64**4) for _ in range(30))]:
-        assert math.isclose(p(g, 4), math.exp(-table[g]), rel_tol=1e-4)
+
+@pytest.mark.parametrize("block", [16_000_000, 300])
+def test_perplexity_like_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(Q, "BLOCK_BYTES", block)
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abcab A.é") for _ in range(draw.randint(0, 80))) for _ in range(80)] + ["", None, "x" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", Q.fold().alias("f")).collect()}
+    got = {r.doc_id: r for r in Q.scored(docs, Q.fit_folds(docs.where("doc_id < 60")), ["doc_id"]).collect()}
+    assert len(got) == len(texts)
+    for f in (0, 1):
+        mine = [i for i in folds if folds[i] == f]
+        want = slow_perplexities([Q.encoded(texts[i]) for i in folds if folds[i] != f and i < 60], [Q.encoded(texts[i]) for i in mine])
+        assert np.allclose([got[i].nll for i in mine], want, rtol=1e-4)
+        assert [got[i].length for i in mine] == [len(Q.encoded(texts[i])) for i in mine]
+
+
+def test_flagged(spark):
+    ids = spark.createDataFrame([(3,), (5,), (None,), (5,)], "i int")
+    rows = spark.createDataFrame([(i if i < 1000 else None, "x") for i in range(1002)], "doc_id long, piece string")
+    got = flagged(rows, "doc_id", ids, "maybe")
+    assert got.columns == ["doc_id", "piece", "maybe"] and got.count() == 1002
+    assert [r.doc_id for r in got.where("maybe").orderBy("doc_id").collect()] == [3, 5]
 
 
 def test_held_out_quality(spark):
