@@ -89,8 +89,8 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray]
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
-#: Bits of the filter that ``flagged`` sends to all tasks: 16 MB in 4,096 pieces.
-FILTER_BITS = 1 << 27
+#: Bits of the filter that ``flagged`` sends to all tasks: 4 MB in 1,024 pieces.
+FILTER_BITS = 1 << 25
 PIECE_BITS = 1 << 15
 
 
@@ -112,6 +112,43 @@ def flagged(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
     return marked.withColumn(name, F.coalesce(hit & F.col(f"`{key}`").isNotNull(), F.lit(False))).drop(piece, bit, bits)
 
 
+def _sorted_out(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, str, str, bool]:
+    """``rows`` with two flags: may be among ``ids``, and may be there wrongly; and whether any is there wrongly."""
+    maybe, wrong = unused("maybe", rows.columns), unused("wrong", rows.columns)
+    first = flagged(rows, key, ids, maybe)
+    own = unused("of", [key])
+    astray = cut(first.where(F.col(maybe)).select(F.col(f"`{key}`")).distinct().join(ids.select(F.col(ids.columns[0]).alias(own)), F.col(f"`{key}`") == F.col(own), "left_anti"))
+    if astray.isEmpty():
+        return first.withColumn(wrong, F.lit(False)), maybe, wrong, False
+    return flagged(first, key, astray, wrong), maybe, wrong, True
+
+
+def members(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among ``ids``, a frame of one column: a semi join that shuffles keys instead of rows.
+
+    Rows that pass the filter of ``ids``, but not one of those keys that pass it wrongly, are members for certain; only the rest of whole rows goes through
+    a join. Null keys are no members.
+    """
+    marked, maybe, wrong, any_wrong = _sorted_out(rows, key, ids)
+    sure = marked.where(F.col(maybe) & ~F.col(wrong)).select(*rows.columns)
+    if not any_wrong:
+        return sure
+    of = unused("of", rows.columns)
+    unsure = marked.where(F.col(maybe) & F.col(wrong)).select(*rows.columns)
+    return sure.unionAll(unsure.join(ids.select(F.col(ids.columns[0]).alias(of)).hint("shuffle_hash"), F.col(f"`{key}`") == F.col(of), "left_semi"))
+
+
+def others(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows that ``members`` leaves, null keys among them."""
+    marked, maybe, wrong, any_wrong = _sorted_out(rows, key, ids)
+    sure = marked.where(~F.col(maybe)).select(*rows.columns)
+    if not any_wrong:
+        return sure
+    of = unused("of", rows.columns)
+    unsure = marked.where(F.col(maybe) & F.col(wrong)).select(*rows.columns)
+    return sure.unionAll(unsure.join(ids.select(F.col(ids.columns[0]).alias(of)).hint("shuffle_hash"), F.col(f"`{key}`") == F.col(of), "left_anti"))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores behind it if a column already has it."""
     taken = {c.lower() for c in columns}

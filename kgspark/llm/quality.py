@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import extended, flagged, open_fs, small_batches, unused
+from kgspark.llm.common import extended, members, open_fs, small_batches, unused
 from kgspark.session import cut, fresh_dir, written
 
 ORDER = 5
@@ -433,9 +433,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def _prepared(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: float, nll: str, length: str) -> tuple[Limits, DataFrame] | None:
     good = cut(trusted_ids(labels))
-    # the filter lets few others pass, so the exact join, which is never a broadcast, shuffles little more than the trusted texts
-    maybe = flagged(docs.select("doc_id", "text"), "doc_id", good, "maybe").where("maybe")
-    model = fit_folds(maybe.join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    model = fit_folds(members(docs.select("doc_id", "text"), "doc_id", good))
     if model is None:
         return None
     scores = written(scored(docs, model, columns, nll, length), "quality")

@@ -1,21 +1,20 @@
 """SimHash near-duplicates, found with pivot distance tables.
 
-Every fingerprint gets its Hamming distances to a fixed set of reference fingerprints (the pivots), once. By the
-triangle inequality two fingerprints within ``radius`` bits differ by at most ``radius`` in every coordinate, so a
-pair with a larger difference in any coordinate is discarded without looking at the fingerprints; survivors are
-verified bit by bit.
-
-Coordinates alone can't deal rows out to tasks: each is a binomial count with few likely values. So that no two
-fingerprints of different tasks need comparing, rows are first dealt by pigeonhole: of eight bands of eight bits, two
-fingerprints within two bits agree in at least six, so they meet under one of the 28 choices of six bands. A
-group has 48 equal bits, hence at most 65,536 different fingerprints however often each occurs, and each group's
-links are reduced to a spanning forest before they leave the task.
+Every fingerprint gets its Hamming distances to a set of reference fingerprints (the pivots), once. By the triangle
+inequality two fingerprints within ``radius`` bits differ by at most ``radius`` in every coordinate, so a pair with a
+larger difference in any coordinate is discarded without looking at the fingerprints; survivors are verified bit by
+bit.
+
+The first coordinates also deal the rows out to tasks: each splits the rows at half the bits, and rows at the lower edge of the upper
+side, which may have partners on the lower one, go to both. So two fingerprints within ``radius`` bits always meet
+in a cell, and there are as many splits as the number of fingerprints asks for. A cell that stays large, such as one of a large group of near copies, is
+cut into blocks of which every two are compared in a task of their own. Links are reduced to a spanning forest before they leave a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import small_batches, unused
+from kgspark.llm.common import by_key, members, others, small_batches, unused
 from kgspark.operators.graph import connected_components
 from kgspark.session import written
 
 BITS = 64
 SEED = 42
-BANDS = 8
-PIVOTS = 16
+#: Coordinates that only discard pairs, besides those that deal rows out.
+DISCARDING = 8
+#: Fingerprints of a cell that are compared in one task, about.
+CELL = 2048
+#: Pairs that a task holds before it reduces them to a forest.
+HELD = 1 << 21
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
+def pivots(count: int) -> np.ndarray:
     """Reference fingerprints by rule: the hashes of their numbers."""
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(count)], dtype=np.uint64)
 
@@ -72,96 +75,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs (a, b)."""
-    up: dict[int, int] = {}
+class _Forest:
+    """A spanning forest of pairs of rows that come in any number."""
+
+    def __init__(self, rows: int) -> None:
+        self.label = np.arange(rows)
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.label[a], self.label[b]
+            new = x != y
+            if not new.any():
+                return
+            a, b, x, y = a[new], b[new], x[new], y[new]
+            # every tree hooks to one smaller tree, by a pair that joins them
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.r_[True, np.diff(high[order]) != 0])]
+            self.left.append(a[first])
+            self.right.append(b[first])
+            self.label[high[first]] = low[first]
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+
+def splits(count: int, radius: int) -> int:
+    """How many coordinates deal ``count`` fingerprints out so that cells of evenly spread ones hold about ``CELL``."""
+    chance = [math.comb(BITS, d) / 2**BITS for d in range(BITS + 1)]
+    half = BITS // 2
+    shared = sum(chance[half : half + radius])
+    upper = sum(chance[half:])
+    mean = upper**2 + (1 - upper + shared) * (1 - upper)  # how much of the rows the cell of a row holds
+    return max(0, math.ceil(math.log(max(1, count) / CELL) / -math.log(mean)))
+
+
+def tables(fps: DataFrame, dealing: int, radius: int) -> DataFrame:
+    """``(fp, far, cell)``: every fingerprint's distances to all pivots, a byte each, once for each of its cells."""
+    ref = pivots(dealing + DISCARDING)
 
-    def find(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy()
+            far = np.bitwise_count(fp.view(np.uint64)[:, None] ^ ref)
+            row, cell = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+            for k in range(dealing):
+                d = far[row, k]
+                both = np.flatnonzero((d >= BITS // 2) & (d < BITS // 2 + radius))
+                cell = np.r_[cell << 1 | (d >= BITS // 2), cell[both] << 1]
+                row = np.r_[row, row[both]]
+            packed = pa.array([x.tobytes() for x in far], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), packed.take(pa.array(row)), pa.array(cell)], ["fp", "far", "cell"])
 
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            left.append(x)
-            right.append(y)
-    return left, right
+    return fps.select("fp").mapInArrow(run, "fp long, far binary, cell long")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links between different fingerprints at ``radius`` or fewer differing bits, thinned to a spanning forest a group.
+    """Links between different fingerprints at ``radius`` or fewer differing bits, thinned to a spanning forest a task.
 
     ``fps`` has one row for each different ``fp``. Returns ``(src, dst)``, repeats possible, every pair verified.
     """
-    if not 0 < radius < BANDS:
-        raise ValueError(f"radius must be between 1 and {BANDS - 1}")
-    ref = pivots()
-    masks = []
-    for free in combinations(range(BANDS), radius):
-        mask = (1 << BITS) - 1
-        for band in free:
-            mask &= ~(0xFF << (8 * band))
-        masks.append(mask - (1 << BITS) if mask >= 1 << 63 else mask)
-    # each coordinate fits a byte, eight to a long
-    packed = []
-    for half in range(0, PIVOTS, 8):
-        column = F.lit(0).cast("long")
-        for k, pivot in enumerate(ref[half : half + 8].view(np.int64).tolist()):
-            column = column.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot))).cast("long"), 8 * k))
-        packed.append(column.alias(f"far{half // 8}"))
-    dealt = (
-        fps.select("fp", *packed)
-        .select("fp", "far0", "far1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "same"))
-        .repartition("choice", "same")
-        .sortWithinPartitions("choice", "same", "far0")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            rest = now if rest is None else pa.concat_tables([rest, now])
-            if rest.num_rows < 20_000:
-                continue
-            choice, same = rest.column("choice").to_numpy(), rest.column("same").to_numpy()
-            # the last group may go on in the next batch
-            cut = int(np.flatnonzero((choice != choice[-1]) | (same != same[-1]))[-1] + 1) if (choice[0], same[0]) != (choice[-1], same[-1]) else 0
-            if cut:
-                yield from pairs(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest)
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        choice, same = rows.column("choice").to_numpy(), rows.column("same").to_numpy()
-        fp = rows.column("fp").to_numpy().view(np.uint64)
-        far = np.hstack([rows.column(f"far{k}").to_numpy().view(np.uint8).reshape(-1, 8) for k in range(PIVOTS // 8)]).astype(np.int8)
-        new = np.r_[True, (choice[1:] != choice[:-1]) | (same[1:] != same[:-1])]
-        group = np.cumsum(new)
-        sizes = np.bincount(group)
-        alive = np.flatnonzero(sizes[group] > 1)
-        left, right = [], []
-        step = 1
+    if not 0 < radius < BITS // 2:
+        raise ValueError(f"radius must be between 1 and {BITS // 2 - 1}")
+    small_batches(fps.sparkSession)
+    dealing = splits(fps.count(), radius)
+    dealt = written(tables(fps, dealing, radius), "pivots")
+    # blocks of the cells: one for most; of more, every two meet once
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("blocks"))
+    each = dealt.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    partners = F.when(F.col("blocks") > 1, F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own"))).otherwise(F.array("own"))
+    each = each.withColumn("other", F.explode(partners))
+    each = each.select("fp", "far", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(bounds)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        far = np.frombuffer(b"".join(rows.column("far").to_pylist()), np.uint8).reshape(len(group), -1).astype(np.int8)
+        order = np.lexsort((far[:, -1], group))  # the last coordinate dealt nothing
+        fp, far = rows.column("fp").to_numpy()[order], far[order]
+        bits = fp.view(np.uint64)
+        forest = _Forest(len(fp))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        alive, step = np.arange(len(fp)), 1
         while len(alive):
             alive = alive[alive + step < len(fp)]
-            alive = alive[group[alive + step] == group[alive]]
-            for at in range(0, len(alive), 1 << 16):
-                i = alive[at : at + (1 << 16)]
-                near = np.abs(far[i] - far[i + step]).max(axis=1) <= radius
-                i = i[near]
-                true = np.bitwise_count(fp[i] ^ fp[i + step]) <= radius
-                left.append(i[true])
-                right.append(i[true] + step)
+            # rows are sorted, so what is too far in this coordinate stays so
+            alive = alive[(group[alive + step] == group[alive]) & (far[alive + step, -1] - far[alive, -1] <= radius)]
+            i = alive
+            for k in range(far.shape[1] - 1):
+                i = i[np.abs(far[i, k] - far[i + step, k]) <= radius]
+            i = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= radius]
+            if len(i):
+                held.append((i, i + step))
             step += 1
-        if left and sum(map(len, left)):
-            values = fp.view(np.int64)
-            a, b = _roots(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], ["src", "dst"])
+            if sum(len(x) for x, _ in held) > HELD:
+                forest.add(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+        if held:
+            forest.add(*(np.concatenate(x) for x in zip(*held)))
+        if forest.left:
+            yield pa.RecordBatch.from_arrays([pa.array(fp[np.concatenate(forest.left)]), pa.array(fp[np.concatenate(forest.right)])], ["src", "dst"])
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return by_key(each, ["cell", "low", "high"], work, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
@@ -184,21 +200,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """One document of each group of near copies stays: the row with the group's smallest id; all columns are kept as they are.
+def keep_one(docs: DataFrame, radius: int = 2, words: int = 5) -> DataFrame:
+    """One row of each group of near copies stays, that of the smallest id, with all columns as they are.
+
+    Rows of one id but other texts are documents of their own: of those in one group the one of the smaller hash of the text stays. Of rows that agree
+    in id and text the one stays whose other columns hash to the smallest number. A row without an id can't be named as anyone's copy and stays.
+    Null and empty texts are copies of each other. An empty table stays empty. Whatever names the other columns of ``docs`` have, they don't
+    clash with this operator's.
 
-    Rows that repeat that id collapse to one of them. A row without an id can't be named as anyone's copy and stays.
-    An empty table stays empty. Whatever names the other columns of ``docs`` have, they don't clash with this operator's.
+    Texts aren't shuffled but for rows that repeat: what goes is known by hashes of id and text, which are joined alone.
     """
-    marks = near_duplicates(docs.select("doc_id", "text"), radius=radius, words=words)
-    name = unused("kept", docs.columns)
-    kept = marks.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"))
-    kept = written(kept, "simhash-kept")
-    nameless = docs.where(F.col("doc_id").isNull())
-    again = kept.where("rows > 1").select(name)
-    # the ids grow with the documents, so these joins are never broadcasts, at any size; hashing them spares a sort of the texts
-    once = docs.join(kept.where("rows = 1").select(name).hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_semi")
-    if again.isEmpty():
-        return once.unionAll(nameless)
-    repeated = docs.join(again.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionAll(repeated).unionAll(nameless)
+    key = unused("key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(17), "doc_id", "text"))
+    some = keyed.where("doc_id IS NOT NULL")
+    prints = written(fingerprints(some, key, "text", words).withColumnRenamed("doc_id", "key"), "simhash")
+    ids = some.select(F.col(key).alias("row"), "doc_id")
+    found = connected_components(links(prints.select("fp").distinct(), radius))
+    classes = prints.groupBy("key", "fp").agg(F.count("*").alias("rows")).join(found, F.col("fp") == found.id, "left").select("key", "rows", F.coalesce("component", "fp").alias("class"))
+    named = written(classes.join(ids.distinct(), F.col("key") == F.col("row")).select("key", "rows", "class", "doc_id"), "simhash-classes")
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("first"))
+    stays = written(named.join(first, F.col("key") == F.col("first"), "left").select("key", "rows", F.col("first").isNotNull().alias("stays")), "simhash-kept")
+    # a row without an id has a key too, which is no key of these
+    once = others(keyed, key, stays.where("NOT stays OR rows > 1").select("key"))
+    again = stays.where("stays AND rows > 1").select("key")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*columns)
+    repeated = members(keyed, key, again).groupBy(key).agg(F.min_by(whole, F.xxhash64(*columns)).alias("whole")).select("whole.*")
+    return once.select(*columns).unionAll(repeated)

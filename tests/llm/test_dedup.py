@@ -3,7 +3,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from kgspark.llm import common as K
 from kgspark.llm import embeddings as E
 from kgspark.llm import simhash as S
 
@@ -78,6 +80,26 @@ def test_simhash_rows(odd, empty):
     assert {r.component_id for r in got if r.doc_id in (0, 5)} == {0}
 
 
+def test_links_in_many_cells_and_blocks(spark, monkeypatch):
+    """A large group of near prints in one place, whose cells need blocks, among evenly spread ones."""
+    monkeypatch.setattr(S, "CELL", 32)
+    draw = np.random.default_rng(9)
+    prints = set(draw.integers(0, 1 << 63, 1500, dtype=np.uint64).tolist())
+    for _ in range(700):
+        x = 12345678901234567
+        for bit in draw.integers(0, 14, 3):
+            x ^= 1 << int(bit)
+        prints.add(x)
+    u = np.array(sorted(prints), np.uint64)
+    near = np.bitwise_count(u[:, None] ^ u) <= 2
+    true = list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    at = {v: i for i, v in enumerate(u.view(np.int64).tolist())}
+    assert S.splits(len(u), 2) > 3
+    got = [(at[r.src], at[r.dst]) for r in S.links(spark.createDataFrame([(v,) for v in at], "fp long")).collect()]
+    assert all(near[a, b] for a, b in got) and len(true) > 2 * len(u)
+    assert components(len(u), got) == components(len(u), true)
+
+
 def test_keep_one(odd, empty):
     out = S.keep_one(odd)
     assert out.schema.simpleString() == odd.schema.simpleString() and S.keep_one(empty).count() == 0
@@ -86,6 +108,24 @@ def test_keep_one(odd, empty):
     assert out.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Other texts under one id are other documents; rows that differ elsewhere only are copies, and reruns agree."""
+    rows = [(1, "one text about things that are here", "a"), (1, "some other text, of which nothing is the same", "b"), (1, "one text about things that are here", "c"), (2, "one text about things that are here", "d")]
+    once = [sorted(tuple(r) for r in S.keep_one(spark.createDataFrame(rows[::k], "doc_id long, text string, lang string").repartition(3)).collect()) for k in (1, -1)]
+    assert once[0] == once[1] and [(i, t) for i, t, _ in once[0]] == sorted({rows[0][:2], rows[1][:2]})
+
+
+def test_members_and_others(spark, monkeypatch):
+    monkeypatch.setattr(K, "FILTER_BITS", 1 << 15)  # many pass the filter wrongly
+    monkeypatch.setattr(K, "PIECE_BITS", 1 << 15)
+    rows = spark.createDataFrame([(i if i < 60_000 else None, i % 7) for i in range(60_010)], "of long, bit int")
+    ids = spark.range(0, 60_000, 11).select(F.col("id").alias("x"))
+    inside, outside = K.members(rows, "of", ids), K.others(rows, "of", ids)
+    assert inside.columns == outside.columns == ["of", "bit"]
+    assert sorted(r.of for r in inside.collect()) == list(range(0, 60_000, 11))
+    assert outside.count() == 60_010 - len(range(0, 60_000, 11)) and outside.where("of % 11 = 0").count() == 0
+
+
 def brute_vectors(rows, threshold=0.95):
     good, ids = [], []
     for i, (_, v) in enumerate(rows):

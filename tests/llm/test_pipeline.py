@@ -15,7 +15,7 @@ def test_like_the_stages_by_hand(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     kept = {r.doc_id for r in quality.classify(docs, labels).collect() if r.kept}
     rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in kept}
-    prints = {i: simhash.fingerprint(r["text"]) for i, r in rows.items()}
+    prints = {i: simhash.fingerprint(r["text"], 5) for i, r in rows.items()}
     names = {i: i for i in rows}
     changed = True
     while changed:
