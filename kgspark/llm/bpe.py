@@ -206,7 +206,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 
 def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All columns but the text, ``ids`` and ``n_tokens``; every text is decoded again, and one that doesn't come back raises."""
+    """All columns but the text, ``ids`` and ``n_tokens``; every text is decoded again, and one that doesn't come back raises.
+
+    Null and empty texts have no ids; repeated rows repeat; an empty table gives no rows; texts are encoded whole. Columns named ``ids`` and
+    ``n_tokens`` are replaced.
+    """
     small_batches(docs.sparkSession)
     rest = docs.drop(text_col, "ids", "n_tokens")
     picked = docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(f"`{text_col}`"))
@@ -247,7 +251,8 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Digests of the ids and of the text decoded from them, in one pass: ``keep``, n_tokens, ids_sha256, decoded_sha256.
 
-    The ids themselves stay in the worker; nothing is shuffled. One result row for each row.
+    The ids themselves stay in the worker; nothing is shuffled. One result row for each row, repeated ones too; null texts count as empty, whose
+    digests are those of no bytes; texts are encoded whole, however long; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

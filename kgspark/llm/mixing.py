@@ -5,7 +5,7 @@ their sizes are summed up to the source's budget. Whole passes (epochs) over a s
 
 No source is sorted in one piece. Keys are dealt into ordered bins; the sums of the bins give the bin in which a
 source's budget runs out, and only that bin's rows are sorted and summed. The document that doesn't fit any more is passed over, and
-a few more rounds fill the rest of the budget from the smaller documents behind it; at last the one whose size is nearest to the rest goes in. The outcome is a few ranges of keys for each source, so
+more rounds fill the rest of the budget from the smaller documents behind it; at last the one whose size is nearest to the rest goes in. The outcome is a few ranges of keys for each source, so
 documents themselves are never shuffled: the decision is a comparison with their source's ranges.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import members, others, unused
 from kgspark.session import written
 
 #: Fixed value: the pattern of a word.
@@ -27,8 +28,7 @@ WEIGHTS = {1: 1.0, None: 0.5, 0: 0.1}
 MOST = 3.0
 #: Rows of a bin, about, that are sorted at once.
 BIN_ROWS = 20_000
-#: Documents that a source passes over because they don't fit the rest of its budget, at most; and the share of the target that may stay open.
-ROUNDS = 6
+#: The share of a source's target that may stay open; until then documents that don't fit the rest are passed over.
 OPEN = 0.001
 _FIRST = (-1.0, -(1 << 63))
 
@@ -78,14 +78,17 @@ def targets(sources: list[tuple[float, int]], most: float = MOST) -> list[float]
     return out
 
 
-def keyed(docs: DataFrame, weights: DataFrame | None, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """``docs`` as (doc_id, source, size, weight, key, tie) and the columns ``carry``: key is the exponential key, tie breaks equal keys.
+def tie(seed: int = SEED) -> Column:
+    """A row's own random number."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def keyed(docs: DataFrame, weights: DataFrame | None, seed: int = SEED) -> DataFrame:
+    """``docs`` as (doc_id, source, size, weight, key, tie): key is the exponential key, tie breaks equal keys.
 
     ``weights`` is (doc_id, quality) or None; several labels of one document count by their mean.
     """
-    base = docs.select(
-        "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie"), *carry
-    )
+    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), tie(seed).alias("tie"))
     if weights is None:
         base = base.withColumn("weight", F.lit(WEIGHTS[None]))
     else:
@@ -124,10 +127,7 @@ def decide(rows: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: float = M
     share = sum((F.lit(n / sum(mass.values())) * F.exp(-F.lit(w) * F.col("key")) for w, n in sorted(mass.items())), F.lit(0.0))
     binned = rows.select("source", "size", "key", "tie", F.floor((1 - share) * bins).cast("int").alias("bin"))
     closed: dict[int, float] = {}
-    for _ in range(ROUNDS):
-        live = [i for i, n in left.items() if n >= 1 and n > OPEN * found[i].target]
-        if not live:
-            break
+    while live := [i for i, n in left.items() if n >= 1 and n > OPEN * found[i].target]:
         for i, (rule, rest, crossing) in _fill(binned, [(i, found[i].source, left[i], *low[i], most_size[i]) for i in live]).items():
             if rule is not None:
                 found[i].rules.append((*low[i], *rule, most_size[i]))
@@ -239,8 +239,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, sha
 
 
 def resample(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, shares: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it is taken, with the columns of ``docs``."""
-    found = decide(written(keyed(docs, weights, seed), "mix"), shares)
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
-    taken = counts(keyed(docs, weights, seed, (held,)), found).where("copies > 0")
-    return taken.select("held", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("held.*")
+    """The mix itself: every row of ``docs`` as many times as it is taken, with the columns of ``docs``.
+
+    Null texts and texts without words are rows of size 0 that go with their key: once more than the whole epochs where a range takes them. Null sources are a source of
+    their own. Rows that agree in id and text are taken or left together. Empty tables give no rows. Reruns agree. Texts aren't shuffled: the
+    rows that the fractional selection takes are known by their ties.
+    """
+    rows = written(keyed(docs, weights, seed), "mix")
+    found = decide(rows, shares)
+    taken = written(counts(rows, found).where("copies > epochs").select("tie").distinct(), "mix-taken")
+    own, name, epochs = unused("tie", docs.columns), unused("s", docs.columns), unused("epochs", docs.columns)
+    plan = rows.sparkSession.createDataFrame([(s.source, s.epochs) for s in found], f"`{name}` string, `{epochs}` int")  # one row a source
+    marked = docs.withColumn(own, tie(seed))
+    out = None
+    for part, more in ((members(marked, own, taken), 1), (others(marked, own, taken), 0)):
+        copies = F.explode(F.array_repeat(F.lit(True), F.col(epochs) + more)).alias(unused("copy", docs.columns))
+        part = part.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(name))).where(F.col(epochs) + more > 0)
+        part = part.select(*[F.col(f"`{c}`") for c in docs.columns], copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -207,7 +207,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 def redact(docs: DataFrame, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with every secret replaced by ``<secret>``; all rows and columns stay, and ``n_chars``, where there is one, follows the text.
 
-    Null texts stay null.
+    Null texts stay null, empty ones empty; repeated rows are changed alike; an empty table stays empty; texts are read whole, however long.
     """
     small_batches(docs.sparkSession)
     columns = docs.columns

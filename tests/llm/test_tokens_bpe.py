@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -93,3 +94,13 @@ def test_scan_refuses_broken_files(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole ids"):
         K.scan(spark.createDataFrame([(f"file://{tmp_path}/f.bin", 3)], "file string, bytes long"), 1).collect()
+
+
+def test_both_forms_of_the_tree_give_the_same_ids():
+    own = B.Bpe(vocabulary())
+    draw = random.Random(3)
+    for _ in range(2000):
+        piece = bytes(draw.choice(b"thenation ab\xc3\xa9\xffxyz0") for _ in range(draw.randint(2, 40)))
+        ids = [own.of_byte[b] for b in piece]
+        ranks = [own.ranks.get(a * own.size + b, B.NONE) for a, b in zip(ids, ids[1:])]
+        assert own._one_node(list(ids), list(ranks)) == own._tree(list(ids), list(ranks))
