@@ -2,15 +2,18 @@
 
 Every element subtree outside a page's own article and every box inside of it is hashed; Spark counts on how many pages of a host each hash
 occurs, and subtrees that recur on many pages of their host are deleted before the text is taken. In an ``article`` or ``main`` paragraphs,
-headings, quotes and list items are that page's content and aren't counted: passages that many articles share are no template. Menus, notices and
-the like that markup names as such go as well, so that hosts with few pages come out clean too.
+headings, quotes and list items are that page's content and aren't counted: passages that many articles share are no template. Elements whose tag or
+role says that they are a menu, header, footer, form or the like go as well, and boxes whose whole name says advert, notice or comments, so that hosts with few pages come out clean too.
+
+All steps take time in proportion to a page's length, also where its markup is broken on purpose.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +46,19 @@ BOX = frozenset("a address center details div dl fieldset figure menu ol section
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary".split())
 NEVER = frozenset("head script style noscript template iframe nav footer aside form button select option textarea input svg canvas object embed audio video dialog menu search".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-NEVER_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter "
-    "subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar share sharing social related recommended "
-    "comment comments disqus respond pagination pager toolbar widget".split()
+#: Whole names of boxes that aren't the article; prose keeps its names.
+NEVER_NAME = re.compile(
+    r"(?:ads?|advert|adverts|advertisement|advertisements|advertising|sponsored)(?:[-_].*)?|(?:reader|user|article|blog)?[-_]?comments?(?:[-_](?:list|section|area|thread))?"
+    r"|(?:cookie|site|privacy|consent)[-_]?(?:notice|banner)|notices?|menu|nav|navbar|sidebar|newsletter"
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Articles of these names announce other pages.
+NOT_OWN = frozenset(["teaser", "related", "comment", "promo"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_END = re.compile(r"--!?>")
+#: The rest of a tag up to its end; quoted values may hold any character.
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -66,66 +75,109 @@ class Node:
             for m in NAMED.finditer(attributes):
                 key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
                 if key in ("class", "id"):
-                    self.names += re.findall(r"[a-z0-9]+", value)
+                    self.names += value.split()
                 elif key == "role":
                     self.role = value.strip()
                 elif key == "hidden" or value == "true":
                     self.hidden = True
 
 
+class _Open:
+    """The open elements, with the depths of each kind, so that no rule has to look through them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        """End the element at ``depth`` and all within it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.of[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+
 def parse(source: str) -> Node:
-    """The element tree of a page; forgiving: missing end tags end with what surrounds them, unknown end tags are ignored."""
-    root = Node("#root", "", 0)
-    stack, number, at = [root], 0, 0
-    size = len(source)
+    """The element tree of a page; forgiving: missing end tags end with what surrounds them, unknown end tags are ignored.
+
+    A tag whose quotes never close ends at the next ``>``, and so do all tags behind it; one that never ends is no text.
+    """
+    opened = _Open(root := Node("#root", "", 0))
+    stack, number, at, quotes, size = opened.stack, 0, 0, True, len(source)
     while at < size:
-        m = TAG.search(source, at)
-        if m is None:
+        start = source.find("<", at)
+        if start < 0:
             stack[-1].children.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if start > at:
+            stack[-1].children.append(source[at:start])
+        sign = source[start + 1 : start + 2]
+        if source.startswith("<!--", start):
+            end = COMMENT_END.search(source, start + 2)
+            at = end.end() if end else size
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag not in BLOCK and stack[depth].tag in ("article", "main", "body"):
-                    break
+        ending = sign == "/"
+        name = NAME.match(source, start + 1 + ending)
+        if name is None:
+            if sign in ("!", "?") or ending:
+                end = source.find(">", start)
+                at = end + 1 if end >= 0 else size
+            else:  # a sign in the text
+                stack[-1].children.append("<")
+                at = start + 1
             continue
-        if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in BLOCK:
-                    break
+        rest = REST.match(source, name.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            if (end := source.find(">", name.end())) < 0:
+                break
+            attributes, at = source[name.end() : end], end + 1
+        else:
+            attributes, at = rest[1], rest.end()
+        tag = name[0].lower()
+        if ending:
+            depth = opened.deepest([tag])
+            if depth and (tag in BLOCK or depth > opened.deepest(("article", "main", "body"))):
+                opened.close(depth)
+            continue
+        if tag in BLOCK and opened.blocks and stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         if tag in ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in SCOPE[tag]:
+            scope = opened.deepest(SCOPE[tag])
+            while (depth := opened.deepest(ENDS[tag])) > scope:
+                opened.close(depth)
+                if tag != "tr":
                     break
-                if stack[depth].tag in ENDS[tag]:
-                    del stack[depth:]
-                    if tag != "tr":
-                        break
         number += 1
-        node = Node(tag, m[3], number)
+        node = Node(tag, attributes, number)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            end = _raw_end(tag).search(source, at)
             node.children.append(source[at : end.start() if end else size])
             at = end.end() if end else size
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
 def _walk(root: Node) -> Iterator[Node]:
     todo = [root]
     while todo:
@@ -135,10 +187,12 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether markup names the element as something else than the article; ``inside`` an article, a header may hold its title."""
+    """Whether markup says that the element is something else than the article; ``inside`` an article, a header may hold its title."""
     if node.tag in NEVER or node.hidden or node.role in NEVER_ROLE or (node.tag == "header" and not inside):
         return True
-    return node.tag not in ("html", "body", "main", "article") and not NEVER_NAME.isdisjoint(node.names) or (node.tag == "article" and inside and not NEVER_NAME.isdisjoint(node.names))
+    if node.tag == "article":
+        return inside and not NOT_OWN.isdisjoint(node.names)
+    return node.tag in BOX and any(NEVER_NAME.fullmatch(n) for n in node.names)
 
 
 def content(root: Node) -> list[Node]:
@@ -150,7 +204,7 @@ def content(root: Node) -> list[Node]:
         node = todo.pop()
         if boilerplate(node, False):
             continue
-        if node.tag == "article" and NEVER_NAME.isdisjoint(node.names):
+        if node.tag == "article" and NOT_OWN.isdisjoint(node.names):
             found.append(node)
             continue
         if node.tag == "main" or node.role == "main":
@@ -167,28 +221,32 @@ def subtrees(root: Node) -> dict[int, list[int]]:
     own = {id(n) for n in content(root)}
     out: dict[int, list[int]] = {}
     done: dict[int, bytes] = {}
+    holds: set[int] = set()
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         if id(node) not in own:
             todo += [c for c in node.children if isinstance(c, Node)]
-    for node in reversed(order):
+    for node in reversed(order):  # children before their parents
         if id(node) in own:
             done[id(node)] = b"own %d" % node.number
+            holds.add(id(node))
             continue
         parts = [node.tag.encode(), " ".join(node.names).encode("utf-8", "surrogatepass")]
-        parts += [done[id(c)] if isinstance(c, Node) else SPACE.sub(" ", c).strip().encode("utf-8", "surrogatepass") for c in node.children]
+        for c in node.children:
+            if isinstance(c, Node):
+                parts.append(done[id(c)])
+                if id(c) in holds:
+                    holds.add(id(node))
+            else:
+                parts.append(SPACE.sub(" ", c).strip().encode("utf-8", "surrogatepass"))
         value = xxhash.xxh64_intdigest(b"\0".join(parts))
         done[id(node)] = value.to_bytes(8, "little")
         # elements that hold the content aren't candidates
-        if node.number and node.tag not in ("html", "body", "head"):
+        if node.number and id(node) not in holds and node.tag not in ("html", "body", "head"):
             out.setdefault(_signed(value), []).append(node.number)
-    for node in _holders(root, own):
-        for numbers in out.values():
-            if node.number in numbers:
-                numbers.remove(node.number)
-    return {k: v for k, v in out.items() if v}
+    return out
 
 
 def boxes(root: Node) -> dict[int, list[int]]:
@@ -232,19 +290,6 @@ def boxes(root: Node) -> dict[int, list[int]]:
     return out
 
 
-def _holders(root: Node, own: set[int]) -> list[Node]:
-    """Elements that contain one of ``own``."""
-    out = []
-    todo: list[tuple[Node, tuple[Node, ...]]] = [(root, ())]
-    while todo:
-        node, above = todo.pop()
-        if id(node) in own:
-            out += above
-        else:
-            todo += [(c, (*above, node)) for c in node.children if isinstance(c, Node)]
-    return list({id(n): n for n in out}.values())
-
-
 def text_of(root: Node, deleted: frozenset[int] = frozenset()) -> str:
     """The main text: blocks in page order joined by line ends, white space within a block as one space."""
     parts = content(root)
@@ -269,7 +314,9 @@ def text_of(root: Node, deleted: frozenset[int] = frozenset()) -> str:
             elif item.number in deleted or (item is not top and boilerplate(item, inside)) or (not inside and item.tag == "title"):
                 continue
             elif item.tag == "br":
-                close()
+                run.append(" ")
+            elif item.tag == "header":  # of an article: its title
+                todo += reversed([n for n in _walk(item) if n.tag in HEADINGS])
             else:
                 block = item.tag in BLOCK
                 if block:

@@ -1,6 +1,9 @@
+import collections
 import hashlib
 import math
+import random
 import tarfile
+import time
 import zlib
 
 import pytest
@@ -85,16 +88,14 @@ def test_mix_like_sorting_everything(spark, sf, monkeypatch, bin_rows):
         own = sorted((r for r in rows if r.source == source), key=lambda r: (r.key, r.tie))
         epochs = int(target // sizes[source])
         left = most = target - epochs * sizes[source]
-        passed, taken = 0, set()
+        done, taken = False, set()
         for r in own:
-            if left >= 1 and r["size"] <= left and passed < X.ROUNDS:
+            if left >= 1 and r["size"] <= left and not done:
                 left -= r["size"]
                 taken.add(r.doc_id)
             elif r["size"] <= most:  # it would have fitted when the round began
-                passed += 1
                 most = left
-                if left <= X.OPEN * target:
-                    passed = X.ROUNDS
+                done = left <= X.OPEN * target
         if left >= 1 and left > X.OPEN * target:
             rest = [r for r in own if r.doc_id not in taken and 0 < r["size"] < 2 * left]
             taken |= {r.doc_id for r in sorted(rest, key=lambda r: (abs(r["size"] - left), r.key, r.tie))[:1]}
@@ -139,13 +140,45 @@ def test_text_of_a_page():
 
 
 def test_broken_markup():
-    assert H.text_of(H.parse("<div>x<p>y</div>z<br>w</i>")) == "x\ny\nz\nw"
+    assert H.text_of(H.parse("<div>x<p>y</div>z<br>w</i>")) == "x\ny\nz w"
     assert H.text_of(H.parse("a < b & c <!-- open")) == "a < b & c"
     assert H.text_of(H.parse("<div>" * 20_000 + "deep")) == "deep"
 
 
+def test_names_of_prose_and_parts_of_names_delete_nothing():
+    page = '<article><p class="notice-board">A</p><div id="related-work">B</div><p class="comment">C</p><div class="ad">D</div><div class="comments">E</div>one<br>two</article>'
+    assert H.text_of(H.parse(page)) == "A\nB\nC\none two"
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, '<a "' * 300_001, "<div>" * 100_000 + "</i>" * 100_000, "<i><article>" + "<div>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<hr>" * 50_000,
+    "<ul><li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<div>" * 50_000 + "<td></td>" * 50_000, "<!--" * 100_000, "<script>" * 100_000, "</" * 300_000, "<p class=" * 100_000,
+])
+def test_hostile_pages_take_seconds(page):
+    began = time.time()
+    root = H.parse(page)
+    H.subtrees(root), H.boxes(root), H.text_of(root)
+    assert time.time() - began < 15
+
+
+def test_templates_like_brute_force(spark):
+    """Boxes inside and outside of articles, some on many pages of their host: the texts are those left by counting rendered boxes."""
+    draw = random.Random(8)
+    shared = [f"<div class='b{k}'>Box {k} <a href='/{k}'>more</a></div>" for k in range(12)]
+    rows, expected = [], {}
+    for i in range(120):
+        host = f"h{i % 3}.example.org"
+        inner, outer = draw.sample(range(12), 2), draw.sample(range(12), 2)
+        rows.append((i, f"https://{host}/{i}", f"<body>{''.join(shared[k] for k in outer)}<article><p>own {i}</p>{''.join(shared[k] for k in inner)}</article></body>"))
+        expected[i] = (host, inner)
+    seen = collections.Counter((h, k) for h, inner in expected.values() for k in inner)
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n".join([f"own {i}"] + [f"Box {k} more" for k in inner if seen[h, k] < 0.2 * 40]) for i, (h, inner) in expected.items()}
+    assert got == want and any("Box" in t for t in got.values()) and sum("Box" in t for t in got.values()) < 120
+
+
 def test_articles_without_reader_comments():
-    page = '<article><header><h1>A</h1></header><p>text</p><article class="comment"><p>me too</p></article></article><article class="teaser related"><p>other</p></article>'
+    page = '<article><header><h1>A</h1><p>by somebody</p></header><p>text</p><article class="comment"><p>me too</p></article></article><article class="teaser related"><p>other</p></article>'
     assert H.text_of(H.parse(page)) == "A\ntext"
 
 
