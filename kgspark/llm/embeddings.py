@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by NN-descent.
 
 A neighbour graph starts from sorted random projections and is refined by joins of neighbours' neighbours until few lists change. Links
-at the threshold give components. A list whose every entry passes the threshold is saturated and may hide more links: saturated vectors are
-compared with those of all other components, exactly, which joins components that short lists leave apart; within a component
-counts come from block products that never leave as pairs. Recall is audited against brute force for a fixed number of vectors;
+at the threshold give components. A list whose every entry passes the threshold is saturated and may hide more links: saturated vectors' lists are enlarged to
+all vectors, exactly, which joins components that short lists leave apart; within a component all lists are enlarged to the whole component, as
+block products of which only counts are kept, so that they never become pairs. Blocks are neighbourhoods: two of them whose centres and radii
+leave no doubt aren't multiplied. Recall is audited against brute force until enough true links were seen, half of it among the vectors that came closest to a link;
 refinement goes on with new projections where it falls short, and at last all vectors are compared with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import by_key, small_batches
+from kgspark.llm.common import by_key, extended, small_batches
 from kgspark.operators.graph import connected_components
 from kgspark.session import cut, written
 
@@ -27,10 +29,15 @@ TABLES = 12
 BITS = 12
 #: Rows compared on either side in a sorted projection.
 REACH = 4
-BLOCK = 512
+#: Neighbours further below the threshold than this lead nowhere and aren't kept.
+SLACK = 0.35
+#: Vectors of a block of a component.
+BLOCK = 2048
 #: Blocks whose centres are compared with as many others in one task.
 TILE = 1024
-AUDITED = 512
+#: Vectors of the steps of the audit, and links that it wants to see before it ends.
+AUDITED = (512, 1024, 2048)
+LINKS_SEEN = 200
 RECALL = 0.98
 ATTEMPTS = 3
 
@@ -118,13 +125,13 @@ def projected(nodes: DataFrame, seed: int, tables: int = TABLES, reach: int = RE
     return dealt.repartitionByRange("t", "sign", "place").sortWithinPartitions("t", "sign", "place").mapInArrow(near, "u long, v long, sim double")
 
 
-def best(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of every node; ties by id."""
+def best(edges: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+    """The ``k`` nearest of every node, of similarity ``least`` or more; ties by id."""
     ranked = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.dropDuplicates(["u", "v"]).withColumn("rank", ranked).where(F.col("rank") <= k).drop("rank")
+    return edges.where(F.col("sim") >= least).dropDuplicates(["u", "v"]).withColumn("rank", ranked).where(F.col("rank") <= k).drop("rank")
 
 
-def refine(graph: DataFrame, nodes: DataFrame, k: int, reverse: int | None = None) -> DataFrame:
+def refine(graph: DataFrame, nodes: DataFrame, k: int, reverse: int | None = None, least: float = -2.0) -> DataFrame:
     """One round: every node introduces its neighbours, and some that have it as neighbour, to each other."""
     reverse = reverse or k
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
@@ -146,22 +153,41 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, reverse: int | None = Non
             w = np.argpartition(-sim, keep - 1, axis=1)[:, :keep] if keep < n - 1 else np.argsort(-sim, axis=1)[:, :keep]
             rows_ = np.repeat(np.arange(n), keep)
             w = w.ravel()
+            near = sim[rows_, w] >= least
+            rows_, w = rows_[near], w[near]
             out.append((ids[a + rows_], ids[a + w], sim[rows_, w]))
         if out:
             yield _edges(*(np.concatenate(c) for c in zip(*out)))
 
-    return best(graph.unionAll(by_key(seated, ["u"], work, "u long, v long, sim double")), k)
+    return best(graph.unionAll(by_key(seated, ["u"], work, "u long, v long, sim double")), k, least)
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
     """``(node, links)``: for every node, the vectors of its component at ``threshold``, whatever the length of its list.
 
-    ``members`` is (node, raw, n, component). A component is dealt into blocks of about 512; every pair of blocks is one
-    product, of which only counts remain.
+    ``members`` is (node, raw, n, component). A component is dealt into blocks of about 2,048 by one projection, so that blocks are neighbourhoods; every pair of blocks is one
+    product, of which only counts remain, unless centres and radii show that all or none of its pairs are links.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = dealt.select("component", "node", "raw", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    small = members.join(sizes, "component")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane = None
+        for b in batches:
+            x = _matrix(b.column(b.schema.get_field_index("raw")))
+            if len(x):
+                plane = np.random.default_rng(17).standard_normal(x.shape[1]) if plane is None else plane
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x @ plane)], [*b.schema.names, "place"])
+
+    ranked = small.mapInArrow(placed, extended(small.schema, "place double"))
+    # quantiles of a component's places by its own extent: equal steps, so no component is sorted in one task
+    extent = ranked.where("blocks > 1").groupBy("component").agg(F.percentile_approx("place", [i / 64 for i in range(1, 64)], 1000).alias("marks"))
+    dealt = ranked.join(extent, "component", "left")
+    rank = F.coalesce(F.size(F.filter("marks", lambda m: m < F.col("place"))), F.lit(0))
+    part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("blocks") / 64))).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("blocks") == 1, 0).when(F.col("blocks") < 64, F.floor(rank * F.col("blocks") / 64).cast("int")).otherwise(rank * F.greatest(F.lit(1), F.ceil(F.col("blocks") / 64)).cast("int") + part))
+    count = F.when(F.col("blocks") < 64, F.col("blocks")).otherwise(64 * F.ceil(F.col("blocks") / 64).cast("int"))
+    each = dealt.select("component", "node", "raw", "n", "own", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     each = each.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -172,20 +198,48 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
             mine = own[a:b] == low[a]
             p = a + np.flatnonzero(mine)
             q = p if low[a] == high[a] else a + np.flatnonzero(~mine)
-            near = x[p] @ x[q].T >= threshold
-            if p is q:
-                np.fill_diagonal(near, False)
+            if not len(p) or not len(q):
+                continue
+            sure = _certain(x[p], x[q], threshold)
+            if sure is not None:
+                to_p, to_q = (np.full(len(p), n[q].sum()), np.full(len(q), n[p].sum())) if sure else (np.zeros(len(p), np.int64), np.zeros(len(q), np.int64))
+                if p is q and sure:
+                    to_p = to_p - n[p]
             else:
-                nodes.append(ids[q])
-                links.append(n[p] @ near)
+                near = x[p] @ x[q].T >= threshold
+                if p is q:
+                    np.fill_diagonal(near, False)
+                to_p, to_q = near @ n[q], n[p] @ near
             nodes.append(ids[p])
-            links.append(near @ n[q])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(links), pa.int64())], ["node", "links"])
+            links.append(to_p)
+            if p is not q:
+                nodes.append(ids[q])
+                links.append(to_q)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(links), pa.int64())], ["node", "links"])
 
     parts = by_key(each, ["component", "low", "high"], work, "node long, links long")
     return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _certain(x: np.ndarray, y: np.ndarray, threshold: float) -> bool | None:
+    """True if all pairs of two neighbourhoods are links for certain, False if none is, None if that must be looked at."""
+    angles = []
+    for rows in (x, y):
+        c = rows.sum(axis=0)
+        size = np.sqrt((c * c).sum())
+        c = c / size if size > 1e-9 else rows[0]
+        angles.append((c, float(np.arccos(np.clip(rows @ c, -1.0, 1.0)).max())))
+    (c, r), (d, s) = angles
+    between = float(np.arccos(np.clip(c @ d, -1.0, 1.0)))
+    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    if between + r + s < limit - 1e-6:
+        return True
+    if between - r - s > limit + 1e-6:
+        return False
+    return None
+
+
 def bridges(members: DataFrame, threshold: float) -> DataFrame:
     """``(u, v)``: for every two components with a link at ``threshold`` between their ``members``, some such links; exact.
 
@@ -251,12 +305,24 @@ def bridges(members: DataFrame, threshold: float) -> DataFrame:
     return written(by_key(met, ["first", "second"], linked, "u long, v long"), "bridges")
 
 
-def audit(named: DataFrame, threshold: float, count: int = AUDITED) -> tuple[int, int]:
-    """Links of ``count`` vectors, chosen by hash, against all vectors by brute force: how many there are, and how many join one component.
+@dataclass
+class Audit:
+    """Vectors compared with all others, the links that they have, and how many of these the result joins."""
+
+    vectors: int = 0
+    true: int = 0
+    found: int = 0
 
-    ``named`` is (node, raw, component).
+    @property
+    def recall(self) -> float:
+        return self.found / self.true if self.true else 1.0
+
+
+def audit(named: DataFrame, asked: pa.Table, threshold: float) -> tuple[int, int]:
+    """Links of the vectors ``asked``, a bounded table, against all by brute force: how many there are, and how many join one component.
+
+    Both are (node, raw, component).
     """
-    asked = named.orderBy(F.xxhash64(F.lit(5), "node")).limit(count).select("node", "raw", "component").toArrow()
     if not asked.num_rows:
         return 0, 0
     ids, x, own = asked.column("node").to_numpy(), _matrix(asked.column("raw")).copy(), asked.column("component").to_numpy()
@@ -277,8 +343,34 @@ def audit(named: DataFrame, threshold: float, count: int = AUDITED) -> tuple[int
     return int(total.t or 0), int(total.f or 0)
 
 
+def audited(named: DataFrame, graph: DataFrame, threshold: float) -> Audit:
+    """Audit in steps until ``LINKS_SEEN`` true links were seen: half of a step's vectors by hash, half those closest below a link.
+
+    Where hardly a vector comes near a link the audit ends with its last step.
+    """
+    out = Audit()
+    closest = graph.where(F.col("sim") < threshold).groupBy("u").agg(F.max("sim").alias("sim")).orderBy(F.desc("sim"), "u").limit(sum(AUDITED) // 2)
+    close = named.join(F.broadcast(closest), F.col("node") == F.col("u")).orderBy(F.desc("sim"), "node").select("node", "raw", "component").toArrow()
+    drawn = named.orderBy(F.xxhash64(F.lit(5), "node")).select("node", "raw", "component").limit(sum(AUDITED)).toArrow()
+    for many in AUDITED:
+        mine, close = close.slice(0, many // 2), close.slice(many // 2)
+        size = many - mine.num_rows
+        asked = pa.concat_tables([mine, drawn.slice(0, size)])
+        drawn = drawn.slice(size)
+        true, found = audit(named, asked, threshold)
+        out = Audit(out.vectors + asked.num_rows, out.true + true, out.found + found)
+        if out.true >= LINKS_SEEN or not drawn.num_rows:
+            break
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, target: float = RECALL) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``.
+    """``search`` without its audit."""
+    return search(vectors, threshold, neighbours, rounds, target)[0]
+
+
+def search(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, target: float = RECALL) -> tuple[DataFrame, Audit]:
+    """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``, and the audit of its links.
 
     ``n_links`` counts other rows at cosine ``threshold`` or more, in double precision, all of them within the row's component; equal vectors are one
     node of the graph and link with each other. Vectors that are null, zero, of another length than most, or hold null or non-finite
@@ -298,13 +390,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int
 
     rows = written(encode(vectors), "vectors")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.any_value("raw").alias("raw"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "nodes")
-    graph, links = None, None
+    graph, links, report = None, None, Audit()
     for attempt in range(ATTEMPTS):
         start = projected(nodes, 100 + attempt)
-        graph = cut(best(start if graph is None else graph.unionAll(start), neighbours))
+        graph = cut(best(start if graph is None else graph.unionAll(start), neighbours, threshold - SLACK))
         total = graph.count()
         for _ in range(rounds):
-            new = cut(refine(graph, nodes, neighbours))
+            if not total:
+                break
+            new = cut(refine(graph, nodes, neighbours, least=threshold - SLACK))
             changed = new.join(graph, ["u", "v"], "left_anti").count()
             graph = new
             if changed <= 0.02 * total:
@@ -314,11 +408,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int
         # a link that neither list has room for is one between two saturated vectors
         full = graph.where(F.col("sim") >= threshold).groupBy("u").count().where(F.col("count") >= neighbours).select(F.col("u").alias("node"))
         links, named = with_bridges(links, named, named.join(full, "node", "left_semi"))
-        true, found = audit(named, threshold)
-        if found >= target * true:
+        report = audited(named, graph, threshold)
+        if report.found >= target * report.true:
             break
     else:
         links, named = with_bridges(links, named, named)
+        report = Audit(report.vectors, report.true, report.true)
     joined = F.col("component").isNotNull()
     several = named.join(links.select(F.col("id").alias("node")), "node", "left_semi")
     counted = _counted(several, threshold)
@@ -329,6 +424,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, neighbours: int
     )
     out = rows.join(by_node, F.col("node") == F.col("key"), "left")
     component = F.coalesce("name", "vec_id")
-    return out.select(
+    rows_out = out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
     )
+    return rows_out, report

@@ -206,6 +206,35 @@ def test_tight_groups_are_joined(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
 
 
+@pytest.mark.parametrize("size", [150, 600])
+def test_planted_groups_with_certain_blocks(spark, monkeypatch, size):
+    """A very tight group and a loose one in several blocks, and single vectors; the audit sees links and finds all."""
+    monkeypatch.setattr(E, "BLOCK", 64)
+    draw = np.random.default_rng(size)
+    centres = draw.standard_normal((3, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.concatenate([centres[0] + draw.standard_normal((size, 64)) * 0.002, centres[1] + draw.standard_normal((size, 64)) * 0.028, draw.standard_normal((size, 64))])
+    x = x[draw.permutation(len(x))]
+    found, report = E.search(frame_of(spark, x))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in found.collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == components(len(x), list(zip(*(c.tolist() for c in np.nonzero(near)))))
+    assert report.true >= min(E.LINKS_SEEN, near.sum()) and report.recall == 1.0
+
+
+def test_certain_pairs_of_neighbourhoods():
+    draw = np.random.default_rng(2)
+    for spread in (0.001, 0.02, 0.05, 0.3):
+        for apart in (0.0, 0.2, 0.5, 2.0):
+            x, y = (c + draw.standard_normal((9, 16)) * spread for c in (np.eye(16)[0], np.eye(16)[0] + apart * np.eye(16)[1]))
+            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+            near = x @ y.T >= 0.95
+            sure = E._certain(x, y, 0.95)
+            assert sure is None or (near.all() if sure else not near.any())
+
+
 def test_failed_audits_end_in_an_exact_comparison(spark, monkeypatch):
     draw = np.random.default_rng(9)
     x = np.repeat(draw.standard_normal((30, 64)), 2, axis=0) + draw.standard_normal((60, 64)) * 0.02
