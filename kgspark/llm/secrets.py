@@ -1,6 +1,7 @@
 """Secret scans: base patterns, and runs that a Markov model of random strings explains better than one of identifiers.
 
-Both models are first-order character chains with add-one smoothing, trained from labelled samples. A run is reported
+Both models are first-order character chains with add-one smoothing, trained on the driver from labelled samples: strings drawn at random, and the
+public names of Python's own library. A run is reported
 where the log-likelihood ratio for each character exceeds a threshold, which is higher for short runs. Of a run that base
 spans overlap, what they leave is judged.
 """
@@ -8,6 +9,7 @@ spans overlap, what they leave is judged.
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -33,53 +35,44 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats for each character that a run must be likelier under the random model.
 MARGIN = 0.35
 #: Characters from which on the margin holds as it is; shorter runs need as many nats in all.
-FULL = 20
-
-#: Words that ordinary identifiers are built from.
-WORDS = (
-    "account action active address admin after agent all alpha amount api app archive array async auth author backup base batch before begin block body "
-    "book bool border bottom buffer build button cache call cancel case category channel char check child class clean client close cluster code column "
-    "command comment config connection content context control copy count create cursor data database date debug default delete delta description device "
-    "dict directory disable document domain double driver edit element email empty enable encode end engine entry error event example execute export "
-    "factory field file filter final find first flag float folder font footer form format frame from function gateway get global graph group handler hash "
-    "header height helper history home host html http icon image import index info init input insert instance integer internal item iterator job json key "
-    "label language last layer layout left length level library line link list listener load local location lock log login long loop main manager map mask "
-    "master match max member memory menu merge message method min mode model module month mouse name network new next node number object offset open option "
-    "order output owner page panel parent parse part password path pattern payment permission phone pixel play point pool port position post prefix price "
-    "print private process product profile project property provider public query queue random range rank read record region remote remove render report "
-    "request reset resource response result return right role root route row rule run sample save scale schema screen script search second section select "
-    "sequence server service session set setting shape shared sheet short size sort source space split stack start state static status step stop storage "
-    "store stream string style submit subject sum switch symbol sync system table tag target task team template test text thread time title token tool top "
-    "total trace track transaction transform tree trigger type union unit update upload url user util valid value variable vector version video view visible "
-    "wait watch week weight width window word work worker wrapper write year zone"
+FULL = 24
+
+#: Modules of Python's library whose public names are the samples of ordinary identifiers.
+MODULES = (
+    "argparse ast asyncio base64 calendar codecs collections configparser contextlib csv ctypes datetime decimal difflib dis email.message enum fileinput fractions ftplib functools gettext "
+    "glob gzip hashlib html.parser http.client http.cookiejar imaplib inspect ipaddress itertools json locale logging logging.handlers mailbox mimetypes multiprocessing numbers operator "
+    "optparse os pathlib pdb pickle platform plistlib poplib pprint profile queue random re sched selectors shelve shutil signal smtplib socket socketserver sqlite3 ssl stat statistics string "
+    "struct subprocess symtable tarfile tempfile textwrap threading timeit token tokenize trace traceback types typing unicodedata unittest unittest.mock urllib.parse urllib.request uuid "
+    "warnings wave weakref webbrowser xml.dom.minidom xml.etree.ElementTree xml.sax zipfile zoneinfo"
 ).split()
 
 
-def labelled_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, int]]:
-    """Samples with label 1 (random strings of usual key alphabets) and 0 (identifiers in usual spellings, with numbers)."""
+@lru_cache(maxsize=1)
+def library_names() -> tuple[str, ...]:
+    """Public names of ``MODULES`` and of the classes in them, sorted: identifiers that people chose."""
+    names: set[str] = set()
+    for module in MODULES:
+        found = vars(importlib.import_module(module))
+        for name, thing in found.items():
+            if not name.startswith("_"):
+                names.add(name)
+                if isinstance(thing, type):
+                    names.update(n for n in vars(thing) if not n.startswith("_"))
+    return tuple(sorted(n for n in names if n.isascii()))
+
+
+def labelled_samples(seed: int = 7, each: int = 8000) -> list[tuple[str, int]]:
+    """Samples with label 1 (random strings of the usual key alphabets) and 0 (names of Python's library, alone and in usual compounds, some with numbers)."""
     draw = random.Random(seed)
-    out = []
-    alphabets = [LETTERS[:62], LETTERS[:62], LETTERS[:62] + "+/", LETTERS[:62] + "_-", LETTERS[:26] + LETTERS[52:62], LETTERS[26:62], "0123456789abcdef", "0123456789ABCDEF"]
+    alnum = LETTERS[:62]
+    alphabets = [alnum, alnum, alnum + "+/", alnum + "_-", LETTERS[:26] + LETTERS[52:62], LETTERS[26:62], LETTERS[26:52], LETTERS[:26], "0123456789abcdef", "0123456789ABCDEF"]
+    out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 64))), 1) for _ in range(each)]
+    names = library_names()
     for _ in range(each):
-        out.append(("".join(draw.choices(draw.choice(alphabets), k=draw.randint(20, 64))), 1))
-    for _ in range(each):
-        words = draw.choices(WORDS, k=draw.randint(2, 7))
-        style = draw.randrange(6)
-        if style == 0:
-            text = "_".join(words)
-        elif style == 1:
-            text = "-".join(words)
-        elif style == 2:
-            text = words[0] + "".join(w.capitalize() for w in words[1:])
-        elif style == 3:
-            text = "_".join(words).upper()
-        elif style == 4:
-            text = "/".join(words)
-        else:
-            text = "".join(words)
-        if draw.random() < 0.5:
+        text = draw.choice("_-/=+.").join(draw.choices(names, k=draw.randint(1, 5)))
+        if draw.random() < 0.3:
             text += draw.choice(["", "_", "-", "/"]) + str(draw.randrange(10 ** draw.randint(1, 8)))
-        out.append((text, 0))
+        out.append((draw.choice([text, text, text.lower(), text.upper()]), 0))
     return out
 
 
@@ -182,9 +175,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    model = Markov(samples) if samples is not None else default_model()  # a table of 68 x 67 numbers, the same for all tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Markov(samples) if samples is not None else default_model()
         for b in batches:
             rows: list[list] = [[] for _ in range(7)]
             for t in b.column(1):
@@ -213,9 +206,9 @@ def redact(docs: DataFrame, text_col: str = "text", margin: float = MARGIN) -> D
     columns = docs.columns
     text_at = columns.index(text_col)
     length_at = columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
+    model = default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = default_model()
         for b in batches:
             texts = b.column(text_at).to_pylist()
             arrays, changed = list(b.columns), {}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -96,3 +97,21 @@ def test_what_base_spans_leave_is_judged():
         for text in (f"{base}/{secret} end", f"{secret}_{base} end"):
             assert secret not in S.redacted(text, S.spans(text)) and base not in S.redacted(text, S.spans(text))
     assert [k for *_, k in S.spans("0123456789abcdef/some_ordinary_identifier_name")] == ["hex"]
+
+
+def test_held_out_samples_of_other_origin():
+    """Identifiers of other libraries, and secrets from the system's random source."""
+    import base64
+    import secrets
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    names = sorted({n for lib in (numpy, pandas, pyarrow) for n in dir(lib)} | {n for lib in (numpy, pandas, pyarrow) for c in vars(lib).values() if isinstance(c, type) for n in dir(c)})
+    draw = random.Random(4)
+    plain = [n for n in names if len(n) >= 16] + ["_".join(draw.choices(names, k=3)) for _ in range(1000)]
+    flagged = lambda text: any(k == "markov" for *_, k in S.spans(text))
+    assert sum(map(flagged, plain)) <= 0.002 * len(plain)
+    keys = [base64.b64encode(secrets.token_bytes(24)).decode() for _ in range(500)] + [secrets.token_urlsafe(15) for _ in range(500)]
+    assert sum(map(flagged, keys)) >= 0.99 * len(keys)
