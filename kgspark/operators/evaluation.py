@@ -14,6 +14,8 @@ from kgspark.names import GOLD_PREFIX, NEW_PREFIX
 from kgspark.session import cut
 
 PARTS = ("s", "p", "o")
+#: Aligned blanks that are sent to all tasks, at most: some tens of megabytes.
+SENT = 500_000
 
 
 def split_blank(triples: DataFrame, prefix: str) -> DataFrame:
@@ -64,21 +66,23 @@ def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False) -> Dat
 
 
 def renamed(system: DataFrame, alignment: DataFrame, local: bool) -> DataFrame:
-    """System triples with aligned blanks under their gold names, as a set.
+    """System triples with aligned blanks under their gold names; two triples may become one, so repeats are possible.
 
-    Terms that aren't blank can't match; they get a key of their own in the join, so that a predicate of many triples
-    doesn't come together in one task.
+    Up to ``SENT`` aligned blanks, which is counted, go to the tasks, and triples stay where they are. With more, triples meet them in a shuffle; terms
+    that aren't blank then get a key of their own, so that a predicate of many triples doesn't come together in one task.
     """
+    alignment = cut(alignment)
+    few = alignment.count() <= SENT
     out = system
-    apart = F.concat(F.lit("\0"), F.xxhash64("doc_id", *PARTS).cast("string"))
+    apart = F.lit(None) if few else F.concat(F.lit("\0"), F.xxhash64("doc_id", *PARTS).cast("string"))
     for c in PARTS:
         to = alignment.select(*(F.col(x).alias(f"_{x}") for x in alignment.columns))
         out = out.withColumn("_key", F.when(F.col(f"{c}b"), F.col(c)).otherwise(apart))
         on = F.col("_key") == F.col("_system_blank")
         if local:
             on = on & (F.col("doc_id") == F.col("_doc_id"))
-        out = out.join(to, on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop("_key", *to.columns)
-    return out.select("doc_id", *PARTS).distinct()
+        out = out.join(F.broadcast(to) if few else to.hint("merge"), on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop("_key", *to.columns)
+    return out.select("doc_id", *PARTS)
 
 
 def kg_nodes(*graphs: DataFrame) -> DataFrame:
@@ -101,13 +105,15 @@ def _sums(extra: Column | None = None) -> list[Column]:
 
 
 def counts(gold: DataFrame, mapped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(label, tp, fp, fn)`` for triple, entity and relation, and the last two split into known and new nodes."""
+    """``(label, tp, fp, fn)`` for triple, entity and relation, and the last two split into known and new nodes; both sides count as sets."""
     both = (
-        gold.select("doc_id", *PARTS).distinct().select("*", F.lit(True).alias("g"), F.lit(False).alias("y"))
+        gold.select("doc_id", *PARTS, F.lit(True).alias("g"), F.lit(False).alias("y"))
         .unionAll(mapped.select("doc_id", *PARTS, F.lit(False).alias("g"), F.lit(True).alias("y")))
     )
-    triples = _confusion(both, ["doc_id", *PARTS]).agg(*_sums()).select(F.lit("triple").alias("label"), "tp", "fp", "fn")
-    terms = both.select(
+    # the one shuffle of whole triples; terms are read from its result
+    met = cut(_confusion(both, ["doc_id", *PARTS]))
+    triples = met.agg(*_sums()).select(F.lit("triple").alias("label"), "tp", "fp", "fn")
+    terms = met.select(
         "doc_id", "g", "y",
         F.explode(F.array(
             F.struct(F.lit("entity").alias("kind"), F.col("s").alias("x")),

@@ -311,3 +311,35 @@ def test_model_stages_read_all_documents(spark, monkeypatch, name):
     with pytest.raises(Seen) as met:
         catalogue.queries()[name](spark, sf)
     assert met.value.args[0] == sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()), key=str)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_many_aligned_blanks_are_shuffled_to_the_same_scores(spark, monkeypatch, local):
+    sf = "/root/testdata/sf0.001"
+    rows = [sorted(map(tuple, E.evaluate(G.gold(spark, sf), G.system(spark, sf), local).collect()))]
+    monkeypatch.setattr(E, "SENT", 0)
+    assert rows == [sorted(map(tuple, E.evaluate(G.gold(spark, sf), G.system(spark, sf), local).collect()))]
+
+
+def test_numbers_follow_files_and_lines(spark, tmp_path):
+    for name, lines in (("a", 3), ("b", 4000), ("c", 1)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(lines)))
+    got = [r.text for r in R.text_lines(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(4000)] + ["c0"]
+    assert sorted(r.doc_id for r in R.text_lines(spark, str(tmp_path)).collect()) == list(range(4004))
+
+
+def test_strict_literals(spark):
+    assert P.literal_triples("[['a', 'b', 'c'], ('d', 'e', 'f')]") == [["a", "b", "c"], ["d", "e", "f"]]
+    assert P.literal_triples("[]") == []
+    for broken in (None, "", "x", "[['a', 'b']]", "[['a', 'b', 3]]", "{'a': 1}", "[" * 5000):
+        assert P.literal_triples(broken) is None
+
+
+def test_new_entities_grow_beyond_one_matrix(spark):
+    import numpy as np
+
+    x = np.eye(200)
+    rows = spark.createDataFrame([(i, 0, [float(v) for v in x[i % 200]]) for i in range(400)], "doc_id long, ent_pos int, embedding array<double>")
+    got = [r.identifier for r in C.nil_fold(rows, 0.5).orderBy("doc_id").collect()]
+    assert got == [f"{NEW_ENTITY}{i % 200}" for i in range(400)]
