@@ -36,12 +36,12 @@ PRIOR_BYTES = 48
 LEAST_TRUSTED = 50
 STEP = 1e-3
 #: Bytes of text that a block holds, about; one longer document is a block of its own.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Entries of the model's tables in a shard, about.
-SHARD_ROWS = 500_000
+SHARD_ROWS = 250_000
 #: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 4_000_000
-_PIECE = 4_000_000
+HELD = 1_000_000
+_PIECE = 1_000_000
 _BEGIN = b"\n" * (ORDER - 1)
 
 
@@ -369,6 +369,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], nll: str = "nll",
                     for piece in np.split(mine, np.flatnonzero(np.diff(np.cumsum(lengths[mine]) // _PIECE)) + 1) if len(mine) else ():
                         found = logs[k][np.searchsorted(grams[k], grams_of([texts[j] for j in piece]))]
                         sums[piece] = -np.add.reduceat(found, np.cumsum(lengths[piece]) - lengths[piece])
+                        del found
                 given = {n: b.column(b.schema.get_field_index(n)) for n in columns}
                 yield pa.RecordBatch.from_arrays([*given.values(), pa.array(sums), pa.array(lengths)], names)
 
