@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import extended, small_batches
+from kgspark.llm.common import extended, lean, small_batches
 
 #: White space of Unicode, which the splitting pattern's \s means (Python's \s has U+001C-001F besides).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
-    return docs.drop(ids_col).mapInArrow(run, schema)
+    return docs.drop(ids_col).mapInArrow(lean(run), schema)
 
 
 def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, pa.array(np.diff(ends), pa.int64())], [*b.schema.names[:-1], "ids", "n_tokens"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run), schema)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -245,7 +245,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
             out = [None if x is None else bpe.decode(x) for x in b.column(ids_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text_col])
 
-    return coded.drop(text_col).mapInArrow(run, schema)
+    return coded.drop(text_col).mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -273,5 +273,5 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[s
             )
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(
-        run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        lean(run), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

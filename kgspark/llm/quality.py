@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import extended, members, open_fs, small_batches, unused
+from kgspark.llm.common import extended, lean, let_go, members, open_fs, small_batches, unused
 from kgspark.session import cut, fresh_dir, written
 
 ORDER = 5
@@ -105,7 +105,7 @@ def count(docs: DataFrame) -> DataFrame:
         if len(grams):
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums)], ["gram", "n"])
 
-    sums = docs.select("text", fold()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = docs.select("text", fold()).mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return sums.select(F.shiftright("gram", 8 * ORDER).cast("int").alias("fold"), F.col("gram").bitwiseAND((1 << 8 * ORDER) - 1).alias("gram"), "n")
 
 
@@ -247,6 +247,7 @@ def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards:
                     held.append(b.slice(start, i + 1 - start))
                     merge()
                     yield close()
+                    let_go()
                     held, grams, size, start = [], [np.zeros(0, np.int64)] * 2, 0, i + 1
             if start < b.num_rows:
                 held.append(b.slice(start))
@@ -256,7 +257,7 @@ def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards:
             merge()
             yield close()
 
-    return docs.mapInArrow(run, "block string, shard int, part int, keys binary, values binary")
+    return docs.mapInArrow(lean(run), "block string, shard int, part int, keys binary, values binary")
 
 
 def _parts_of(model: DataFrame, shards: int) -> DataFrame:
@@ -273,7 +274,7 @@ def _parts_of(model: DataFrame, shards: int) -> DataFrame:
                 ["block", "shard", "part", "keys", "values"],
             )
 
-    packed = model.select("key", "value").repartition(max(1, shards // 4)).mapInArrow(run, "block string, shard int, part int, keys binary, values binary")
+    packed = model.select("key", "value").repartition(max(1, shards // 4)).mapInArrow(lean(run), "block string, shard int, part int, keys binary, values binary")
     return packed
 
 
@@ -308,7 +309,7 @@ def _answers(rows: DataFrame, shards: int) -> DataFrame:
                 out.append(_packed(got))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(shards_, pa.int32()), pa.array(out, pa.binary())], ["block", "shard", "values"])
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "part", "block").mapInArrow(run, "block string, shard int, values binary")
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "part", "block").mapInArrow(lean(run), "block string, shard int, values binary")
 
 
 @dataclass
@@ -380,12 +381,13 @@ def scored(docs: DataFrame, model: Model, columns: list[str], nll: str = "nll",
                 if name != block:
                     if block is not None:
                         yield from finish(block, parts)
+                        let_go()
                     block, parts = name, {}
                 parts[s] = v
         if block is not None:
             yield from finish(block, parts)
 
-    return answers.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, extended(rest.schema, f"`{nll}` double, `{length}` long"))
+    return answers.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(lean(run), extended(rest.schema, f"`{nll}` double, `{length}` long"))
 
 
 @dataclass

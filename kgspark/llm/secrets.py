@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import small_batches
+from kgspark.llm.common import lean, small_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns; ASCII letters of the first group in either case.
@@ -193,7 +193,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(rows, types))], ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string"
+        lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string"
     )
 
 
@@ -222,4 +222,4 @@ def redact(docs: DataFrame, text_col: str = "text", margin: float = MARGIN) -> D
                     arrays[length_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(lengths)], b.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import by_key, members, others, small_batches, unused
+from kgspark.llm.common import by_key, lean, members, others, small_batches, unused
 from kgspark.operators.graph import connected_components
 from kgspark.session import written
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 class _Forest:
@@ -128,7 +128,7 @@ def tables(fps: DataFrame, dealing: int, radius: int) -> DataFrame:
             packed = pa.array([x.tobytes() for x in far], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), packed.take(pa.array(row)), pa.array(cell)], ["fp", "far", "cell"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, far binary, cell long")
+    return fps.select("fp").mapInArrow(lean(run), "fp long, far binary, cell long")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
