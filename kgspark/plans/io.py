@@ -62,7 +62,6 @@ def dataset_json_array(spark: SparkSession, sf: str) -> DataFrame:
     """The same as gzipped JSON arrays, a thousand documents to a file."""
     path = fresh_dir(spark, "arrays") + ".json.gz"
     docs = order_docs(spark, sf)
-    number = F.row_number
     chunk = F.lpad(F.floor(F.col("index") / 4000).cast("string"), 12, "0").alias("chunk")
     rows = docs.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("index", F.col("input_text").alias("text"), F.col("linked_triplets").alias("triplets")))).alias("rows"))
     rows.select("chunk", F.to_json("rows").alias("value")).write.partitionBy("chunk").option("compression", "gzip").text(path)
