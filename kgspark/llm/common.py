@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from kgspark.session import cut
 
-#: Rows of one Arrow batch: long documents keep a batch's memory small.
+#: Rows and bytes of one Arrow batch; a single larger row is a batch of its own.
 BATCH_ROWS = 1024
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of Python stages by rows; a lower setting of the session's owner stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches of Python stages by rows and bytes; lower settings of the session's owner stay."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, number in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, int), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, size)):
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
