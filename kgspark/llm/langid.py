@@ -3,7 +3,8 @@
 For every language a suffix automaton holds labelled text. A document is parsed greedily into the longest phrases that
 occur in that text; the language that needs the fewest phrases, normalised by the lengths of both texts, wins.
 
-The automata are dense tables over 64 letter classes in which a missing transition already is the restart of the next phrase,
+Texts are the UTF-8 bytes of their lower-cased letters, so every letter of every alphabet is itself, and there are few different bytes. The
+automata are dense tables over the bytes of the labelled text in which a missing transition already is the restart of the next phrase,
 so a step is one table lookup, taken for all languages and thousands of documents at once.
 """
 
@@ -17,47 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import small_batches
+from kgspark.llm.common import lean, small_batches
 
-CLASSES = 64
-SEPARATOR = 63
-#: Characters of labelled text that a language's automaton holds at most: the documented bound of the fitted sample.
-TRAIN_CHARS = 32_768
-#: Long texts are parsed in pieces of so many letters; a phrase ends with its piece.
+#: Stands for all that isn't a letter; letters' bytes are never 0 or 1.
+BLANK, SEPARATOR = 0, 1
+#: Bytes of labelled text that a language's automaton holds at most: the documented bound of the fitted sample.
+TRAIN_BYTES = 32_768
+#: Long texts are parsed in pieces of so many bytes at once, which are fitted together afterwards.
 PIECE = 2048
+#: Bytes times languages that are parsed at a time; of longer texts the state is carried on.
+AT_ONCE = 1 << 22
 UNKNOWN = "und"
 
 
 @cache
-def _class_table() -> tuple[np.ndarray, np.ndarray]:
-    """Letter class of every code point below U+30000 (0: no letter), and whether it is a letter."""
-    top = 0x30000
-    letter = np.fromiter((chr(c).isalpha() for c in range(top)), dtype=bool, count=top)
-    points = np.arange(top)
-    kind = np.where(letter, 27 + points % (SEPARATOR - 27), 0).astype(np.uint8)
-    kind[ord("a") : ord("z") + 1] = range(1, 27)
-    return kind, letter
-
-
-def classes(text: str) -> tuple[np.ndarray, bool]:
-    """The lower-cased text as letter classes, every run of other characters as one 0; whether there is any letter."""
-    table, _ = _class_table()
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def letters_of(text: str) -> tuple[np.ndarray, bool]:
+    """UTF-8 bytes of the lower-cased letters, every run of other characters as one blank; whether there is any letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    got = table[np.minimum(points, len(table) - 1)]
-    high = points >= len(table)
-    if high.any():
-        got[high] = [27 + c % (SEPARATOR - 27) if chr(c).isalpha() else 0 for c in points[high].tolist()]
-    any_letter = bool(got.any())
-    if len(got) > 1:
-        keep = np.r_[True, (got[1:] != 0) | (got[:-1] != 0)]
-        got = got[keep]
-    return got, any_letter
+    letter = _is_letter()[points]
+    points = np.where(letter, points, BLANK).astype("<u4")
+    keep = letter | np.r_[True, letter[:-1]] if len(letter) else letter
+    flat = points[keep].tobytes().decode("utf-32-le").encode()
+    return np.frombuffer(flat, np.uint8), bool(letter.any())
 
 
-def automaton(letters: np.ndarray) -> np.ndarray:
-    """Transition table of the suffix automaton of ``letters``.
+def automaton(letters: np.ndarray, width: int) -> np.ndarray:
+    """Transition table of the suffix automaton of ``letters``, which are below ``width``, an even number.
 
-    Entry ``state * 64 + class`` is ``next state * 64 + started``: where there is no transition the next state is the root's, and
+    Entry ``state * width + letter`` is ``next state * width + started``: where there is no transition the next state is the root's, and
     started is 1 there and for all steps from the root, since those begin a phrase.
     """
     edges: list[dict[int, int]] = [{}]
@@ -86,71 +78,153 @@ def automaton(letters: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    root = np.full(CLASSES, 1, dtype=np.int64)
+    root = np.full(width, 1, dtype=np.int64)
     for c, to in edges[0].items():
         if c != SEPARATOR:
-            root[c] = to * CLASSES + 1
+            root[c] = to * width + 1
     table = np.tile(root, len(edges))
     for state, own in enumerate(edges[1:], 1):
         for c, to in own.items():
             if c != SEPARATOR:
-                table[state * CLASSES + c] = to * CLASSES
+                table[state * width + c] = to * width
     return table
 
 
 class Model:
     """Automata of all languages in one table."""
 
-    def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> None:
+    def __init__(self, samples: dict[str, list[str]], train_bytes: int = TRAIN_BYTES) -> None:
         self.langs = sorted(samples)
-        tables, roots, sizes, at = [], [], [], 0
+        held, sizes = [], []
         for lang in self.langs:
-            parts, used = [], 0
+            parts, used = [np.zeros(0, np.uint8)], 0
             for text in samples[lang]:
-                got, _ = classes(text)
-                if used and used + len(got) > train_chars:
+                got, _ = letters_of(text)
+                if used and used + len(got) > train_bytes:
                     continue
-                got = got[:train_chars]
+                got = got[:train_bytes]
                 parts += [got, np.array([SEPARATOR], dtype=np.uint8)]
                 used += len(got)
-            table = automaton(np.concatenate(parts) if parts else np.zeros(0, np.uint8))
+            held.append(np.concatenate(parts))
+            sizes.append(max(2, used))
+        # bytes of no labelled text are one column of the tables, without transitions
+        seen = np.setdiff1d(np.concatenate([*held, np.zeros(0, np.uint8)]), [BLANK, SEPARATOR])
+        self.width = len(seen) + 3 + (len(seen) + 3) % 2
+        self.column = np.full(256, len(seen) + 2, dtype=np.int64)
+        self.column[[BLANK, SEPARATOR, *seen.tolist()]] = np.arange(len(seen) + 2)
+        tables, roots, at = [], [], 0
+        for letters in held:
+            table = automaton(self.column[letters], self.width)
             roots.append(at)
             tables.append(table + at)
-            sizes.append(max(2, used))
             at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        kind = np.int32 if at < 1 << 31 else np.int64
+        self.table = np.concatenate([t.astype(kind) for t in tables]) if tables else np.zeros(0, kind)
         self.roots = np.array(roots, dtype=np.int64)
         self.bits = np.log2(np.array(sizes, dtype=np.float64))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text under each language, ``(texts, languages)``."""
-        owner, pieces = [], []
-        for i, text in enumerate(texts):
-            for a in range(0, len(text), PIECE):
-                owner.append(i)
-                pieces.append(text[a : a + PIECE])
+        """Phrases of each text under each language, ``(texts, languages)``, whole texts in one parse each."""
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        for at in range(0, len(order), 1024):
-            some = order[at : at + 1024]
-            lengths = np.array([len(pieces[k]) for k in some])
-            grid = np.zeros((lengths[0], len(some)), dtype=np.int64)
-            for j, k in enumerate(some):
-                grid[: lengths[j], j] = pieces[k]
+        most = max(1, AT_ONCE // max(1, len(self.langs)) // PIECE) * PIECE
+        group: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if group and size + len(text) > most:
+                self._whole(texts, group, most, out)
+                group, size = [], 0
+            group.append(i)
+            size += len(text)
+        self._whole(texts, group, most, out)
+        return out
+
+    def _whole(self, texts: list[np.ndarray], group: list[int], most: int, out: np.ndarray) -> None:
+        state = np.repeat(self.roots[None], len(texts), axis=0)
+        at = 0
+        while group := [i for i in group if len(texts[i]) > at]:
+            parts = [self.column[texts[i][at : at + most]] for i in group]
+            counts, state[group] = self._parse(parts, state[group])
+            out[group] += counts
+            at += most
+
+    def _parse(self, parts: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in each part and the state behind it, from the states before.
+
+        Pieces behind a part's first are parsed as if a phrase began there. A parse depends on nothing but where its phrase began, so
+        where a parse that enters from the piece before begins a phrase at the same place, both are one from there.
+        """
+        flat = np.concatenate(parts)
+        sizes = np.array([len(p) for p in parts])
+        pieces = -(-sizes // PIECE)
+        part = np.repeat(np.arange(len(parts)), pieces)
+        first = np.r_[0, np.cumsum(pieces)[:-1]]
+        number = np.arange(len(part)) - first[part]
+        begin = (np.cumsum(sizes) - sizes)[part] + number * PIECE
+        length = np.minimum(PIECE, sizes[part] - number * PIECE)
+        counts = np.zeros((len(part), len(self.langs)), dtype=np.int64)
+        ends = np.zeros_like(counts)
+        behind = np.flatnonzero(number)
+        self._run(flat, begin, length, np.flatnonzero(number == 0), state[part], counts, ends, None)
+        if len(behind):
+            started = np.zeros((len(self.langs), len(flat) + 1), dtype=np.int32)
+            self._run(flat, begin, length, behind, np.repeat(self.roots[None], len(part), axis=0), counts, ends, started)
+            upto = np.cumsum(started, axis=1, dtype=np.int32)
+            own = ends.copy()
+            while len(behind):
+                before, entered = ends[behind], ends[behind - 1]
+                ends[behind] = own[behind]
+                self._enter(flat, begin, length, behind, entered, counts, ends, started, upto)
+                # where no place was shared the state behind the piece is another, and the next piece is entered anew
+                other = behind[(ends[behind] != before).any(axis=1)] + 1
+                other = other[other < len(part)]
+                behind = other[number[other] > 0]
+        total = np.zeros((len(parts), len(self.langs)), dtype=np.int64)
+        np.add.at(total, part, counts)
+        return total, ends[first + pieces - 1]
+
+    def _run(self, flat, begin, length, which, state, counts, ends, started) -> None:  # noqa: ANN001
+        """Parse the pieces ``which`` from their states; ``started`` gets the places where phrases begin."""
+        which = which[np.argsort(-length[which], kind="stable")]
+        table = self.table
+        for at in range(0, len(which), 1024):
+            some = which[at : at + 1024]
+            lengths = length[some]
             active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-            state = np.repeat(self.roots[:, None], len(some), axis=1)
-            breaks = np.zeros(state.shape, dtype=np.int64)
-            table = self.table
+            places = begin[some]
+            now = np.ascontiguousarray(state[some].T)
+            breaks = np.zeros(now.shape, dtype=np.int64)
             for t, n in enumerate(active.tolist()):
-                got = table[state[:, :n] + grid[t, :n]]
-                breaks[:, :n] += got & 1
-                state[:, :n] = got & ~63
-            np.add.at(out, np.array([owner[k] for k in some]), breaks.T)
-        return out
+                got = table[now[:, :n] + flat[places[:n] + t]]
+                new = got & 1
+                breaks[:, :n] += new
+                now[:, :n] = got - new
+                if started is not None:
+                    started[:, places[:n] + t] = new
+            counts[some], ends[some] = breaks.T, now.T
+
+    def _enter(self, flat, begin, length, which, state, counts, ends, started, upto) -> None:  # noqa: ANN001
+        """Parse the pieces ``which`` from the states before them, up to the first place where their own parse begins a phrase too."""
+        langs = len(self.langs)
+        piece, lang = np.repeat(which, langs), np.tile(np.arange(langs), len(which))
+        now, n, t = state.reshape(-1).copy(), np.zeros(len(piece), np.int64), 0
+        while len(piece):
+            place = begin[piece] + t
+            got = self.table[now + flat[place]].astype(np.int64)
+            new = got & 1
+            now = got - new
+            met = (new == 1) & (started[lang, place] == 1)
+            rest = upto[lang, begin[piece] + length[piece] - 1] - np.where(place > 0, upto[lang, place - 1], 0)
+            n += np.where(met, rest, new)
+            t += 1
+            done = ~met & (length[piece] == t)
+            ends[piece[done], lang[done]] = now[done]
+            over = met | done
+            counts[piece[over], lang[over]] = n[over]
+            piece, lang, now, n = piece[~over], lang[~over], now[~over], n[~over]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and confidence of each text; ties go to the language that sorts first."""
-        got = [classes(t) if t else (np.zeros(0, np.uint8), False) for t in texts]
+        got = [letters_of(t) if t else (np.zeros(0, np.uint8), False) for t in texts]
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [k for k, (_, letters) in enumerate(got) if letters]
@@ -172,28 +246,29 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
-    """Fit on a bounded hash sample of the labelled rows that aren't held out.
+def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a bounded hash sample of the different labelled texts that aren't held out.
 
-    The driver gets, for each language, about twice ``train_chars`` characters of whole documents (20 documents at least);
-    all rows with a label have the same chance within their language. Null and empty texts and labels don't take part.
+    The driver gets, for each language, about twice ``train_bytes`` characters of whole documents (20 documents at least);
+    all different texts of a language have the same chance. Null and empty texts and labels don't take part.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    totals = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).collect()
+    known = known.select("lang", "text", F.xxhash64(F.lit(11), "text").alias("draw"))
+    each = known.groupBy("lang", "draw").agg(F.min(F.length("text")).alias("chars"))
+    totals = each.groupBy("lang").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows")).collect()
     if not totals:
-        return Model({}, train_chars)
+        return Model({}, train_bytes)
     share = F.lit(0.0)
     for r in totals:
-        share = F.when(F.col("lang") == r.lang, min(1.0, max(2 * train_chars / r.chars, 20 / r["rows"]))).otherwise(share)
-    draw = F.xxhash64(F.lit(11), "doc_id", "text")
-    u = F.shiftrightunsigned(draw, 11).cast("double") / float(1 << 53)
+        share = F.when(F.col("lang") == r.lang, min(1.0, max(2 * train_bytes / r.chars, 20 / r["rows"]))).otherwise(share)
+    u = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
     # substring only bounds what a single huge document sends to the driver; the model cuts there anyway
-    rows = known.withColumn("draw", draw).where(u < share).select("lang", "draw", F.substring("text", 1, 2 * train_chars).alias("text")).collect()
+    drawn = known.where(u < share).select("lang", "draw", F.substring("text", 1, 2 * train_bytes).alias("text"))
+    rows = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.text)):
-        if r.text not in samples.setdefault(r.lang, []):
-            samples[r.lang].append(r.text)
-    return Model(samples, train_chars)
+    for r in sorted(rows, key=lambda r: (r.lang, r.draw)):
+        samples.setdefault(r.lang, []).append(r.text)
+    return Model(samples, train_bytes)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -205,7 +280,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     model = model or fit(docs)
-    sent = spark.sparkContext.broadcast(model)  # at most train_chars * 2 states of 256 bytes for each language
+    sent = spark.sparkContext.broadcast(model)  # at most train_bytes * 2 states for each language, 4 bytes for each different byte of the sample
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +290,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

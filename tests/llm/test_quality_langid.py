@@ -101,21 +101,52 @@ def slow_phrases(train, text):
     return n
 
 
-def test_phrases_like_brute_force(monkeypatch):
+@pytest.mark.parametrize("piece,at_once", [(2048, 1 << 22), (3, 1 << 22), (7, 30), (1, 2)])
+def test_phrases_like_brute_force(monkeypatch, piece, at_once):
+    monkeypatch.setattr(L, "PIECE", piece)
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
     draw = random.Random(3)
-    for _ in range(100):
-        known = ["".join(draw.choice("ab é") for _ in range(draw.randint(1, 40))) for _ in range(2)]
+    for _ in range(60):
+        known = ["".join(draw.choice("ab éж") for _ in range(draw.randint(1, 40))) for _ in range(2)]
         model = L.Model({"x": known[:1], "y": known[1:]})
-        asked = [L.classes("".join(draw.choice("abc é") for _ in range(draw.randint(1, 60))))[0] for _ in range(5)]
+        asked = [L.letters_of("".join(draw.choice("abc éжи") for _ in range(draw.randint(0, 90))))[0] for _ in range(5)]
+        asked.append(np.tile(L.letters_of(known[0])[0], 4))
         got = model.phrases(asked)
         for i, t in enumerate(asked):
             for k in range(2):
-                assert got[i, k] == slow_phrases(L.classes(known[k])[0].tobytes(), t.tobytes())
+                assert got[i, k] == slow_phrases(L.letters_of(known[k])[0].tobytes(), t.tobytes())
 
 
 def test_no_phrase_crosses_documents():
     model = L.Model({"x": ["ab", "cd"]})
-    assert model.phrases([L.classes("bc")[0]])[0, 0] == 2
+    assert model.phrases([L.letters_of("bc")[0]])[0, 0] == 2
+
+
+def test_letters():
+    got = lambda t: L.letters_of(t)[0].tobytes().replace(b"\0", b" ").decode()
+    assert got("") == "" and got("Ab, 12 c!") == "ab c " and got("  ЖÉ\n日本") == " жé 日本"
+
+
+def test_other_alphabets():
+    """Letters of different alphabets never stand for each other."""
+    samples = {
+        "el": ["η γλώσσα είναι το μέσο με το οποίο οι άνθρωποι μιλούν μεταξύ τους"],
+        "en": ["language is the means by which people talk to each other"],
+        "ru": ["язык это средство с помощью которого люди говорят друг с другом"],
+        "zh": ["语言是人们互相交谈的工具和方法"],
+    }
+    model = L.Model(samples)
+    asked = ["люди и язык", "people and language", "οι άνθρωποι και η γλώσσα", "人们的语言", "שלום"]
+    langs, scores = model.predict(asked)
+    assert langs[:4] == ["ru", "en", "el", "zh"] and all(x > 0.3 for x in scores[:4])
+    assert langs[4] in samples and scores[4] < 0.1  # letters that no sample has
+
+
+def test_repeated_texts_count_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hot = docs.where("lang = 'en'").limit(1).crossJoin(spark.range(500)).drop("id")
+    key = lambda df: sorted({(r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(df).collect()})
+    assert key(docs.unionAll(hot)) == key(docs)
 
 
 def test_held_out_accuracy(spark, sf):
