@@ -100,6 +100,52 @@ def test_links_in_many_cells_and_blocks(spark, monkeypatch):
     assert components(len(u), got) == components(len(u), true)
 
 
+def replaced(draw, words, share):
+    """A copy with every word replaced at a chance of ``share``."""
+    return [f"w{draw.integers(1 << 40)}" if x < share else w for w, x in zip(words, draw.random(len(words)).tolist())]
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("cell", [2048, 8])
+def test_similar_like_brute_force(spark, monkeypatch, cell):
+    """Near copies of texts that all hold a common passage: all far above the bound are linked, none far below."""
+    monkeypatch.setattr(S, "CELL", cell)
+    draw = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        base = [f"w{draw.integers(1 << 40)}" for _ in range(int(draw.integers(150, 600)))] + passage
+        texts += [base, *(replaced(draw, base, share) for share in (0.004, 0.01, 0.03, 0.1))]
+    hot = [f"h{draw.integers(1 << 40)}" for _ in range(400)]
+    texts += [replaced(draw, hot, 0.005) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = S.sketches(df, "doc_id", "text", 5)
+    of = {}
+    for r in rows.collect():
+        of.setdefault(r.fp, []).append(r.doc_id)
+    got = [(a, b) for r in S.similar(rows).collect() for a in of[r.src] for b in of[r.dst]]
+    assert all(jaccard(texts[a], texts[b]) > 0.65 for a, b in got)
+    names = components(len(texts), got + [(v[0], x) for v in of.values() for x in v])
+    for family in [range(5 * k, 5 * k + 5) for k in range(60)] + [range(300, 360)]:
+        for a in family:
+            for b in family:
+                if jaccard(texts[a], texts[b]) >= 0.9:
+                    assert names[a] == names[b]
+
+
+def test_keep_one_of_near_copies(spark):
+    draw = np.random.default_rng(5)
+    texts = [[f"w{draw.integers(1 << 40)}" for _ in range(300)] for _ in range(20)]
+    copies = [t[:k] + ["other"] + t[k + 1 :] for k, t in enumerate(texts, 100)]  # a similarity of 0.97
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *copies])]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+
+
 def test_keep_one(odd, empty):
     out = S.keep_one(odd)
     assert out.schema.simpleString() == odd.schema.simpleString() and S.keep_one(empty).count() == 0

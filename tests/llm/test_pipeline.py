@@ -16,13 +16,15 @@ def test_like_the_stages_by_hand(spark, sf):
     kept = {r.doc_id for r in quality.classify(docs, labels).collect() if r.kept}
     rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in kept}
     prints = {i: simhash.fingerprint(r["text"], 5) for i, r in rows.items()}
+    shingles = {i: set(simhash.shingles(r["text"], 5).tolist()) for i, r in rows.items()}
+    similar = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * max(1, len(shingles[a] | shingles[b]))
     names = {i: i for i in rows}
     changed = True
     while changed:
         changed = False
         for a in rows:
             for b in rows:
-                if (prints[a] ^ prints[b]).bit_count() <= 2 and names[b] < names[a]:
+                if ((prints[a] ^ prints[b]).bit_count() <= 2 or similar(a, b)) and names[b] < names[a]:
                     names[a], changed = names[b], True
     rows = {i: r for i, r in rows.items() if names[i] == i}
     for r in rows.values():
