@@ -36,7 +36,7 @@ DISCARDING = 8
 #: Fingerprints of a cell that are compared in one task, about.
 CELL = 2048
 #: Places of a sketch: each holds a byte of the smallest shingle hash among those of its own range.
-PLACES = 128
+PLACES = 256
 #: Samples of a text's shingles, and shingles of a sample. Texts that share 0.8 of their shingles have a sample in common with 0.997, 0.9 with 0.99997.
 SAMPLES = 8
 SAMPLE = 3
@@ -200,7 +200,7 @@ def similar(texts: DataFrame, least: float = 0.8, radius: int = WIDE) -> DataFra
     """Links between fingerprints of texts that share ``least`` or more of their different shingles, thinned like those of ``links``.
 
     ``texts`` has ``fp``, ``sketch`` and ``keys``. Texts with a sample in common meet in a cell; pairs are discarded by their pivot distances, then by their
-    fingerprints, and verified by their sketches: the share of equal places among those that either has, whose deviation at 0.8 is 0.035.
+    fingerprints, and verified by their sketches: the share of equal places among those that either has, whose deviation at 0.8 is 0.025.
     """
     small_batches(texts.sparkSession)
     ref = pivots(DISCARDING)
