@@ -40,8 +40,8 @@ PLACES = 256
 #: Samples of a text's shingles, and shingles of a sample. Texts that share 0.8 of their shingles have a sample in common with 0.997, 0.9 with 0.99997.
 SAMPLES = 8
 SAMPLE = 3
-#: Bits that texts of a similarity of 0.8 may differ by: they differ by 9.7, with a deviation of 2.9.
-WIDE = 16
+#: Bits that fingerprints of the different shingles may differ by at a similarity of 0.8: they differ by 9.7, with a deviation of 2.9, so this is five away.
+WIDE = 24
 
 
 def pivots(count: int) -> np.ndarray:
@@ -77,11 +77,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return majority(shingles(text, words))
 
 
-def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
-    """A sketch of the different hashes, 0 where a place has none, and the keys of their samples."""
+def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
+    """The fingerprint of the different hashes, their sketch, 0 where a place has none, and the keys of their samples."""
     each = np.unique(hashes)
     if not len(each):
-        return bytes(PLACES), []
+        return 0, bytes(PLACES), []
     at = np.searchsorted(each, np.arange(PLACES, dtype=np.uint64) << np.uint64(BITS - PLACES.bit_length() + 1))
     ends = np.r_[at[1:], len(each)]
     held = each[np.minimum(at, len(each) - 1)]
@@ -91,7 +91,7 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
         mixed = each * turn
         low = np.sort(mixed if len(mixed) <= SAMPLE else np.partition(mixed, SAMPLE - 1)[:SAMPLE])
         keys.append(xxhash.xxh64_intdigest(low.astype("<u8").tobytes(), int(turn)))
-    return places.tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return majority(each), places.tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -108,22 +108,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(doc_id, fp, sketch, keys)`` of every row: its fingerprint, and sketch and samples of its different shingles."""
+    """``(doc_id, fp, wide, sketch, keys)`` of every row: its fingerprint, and fingerprint, sketch and samples of its different shingles."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, places, keys = [], [], []
-            for t in b.column(1):
-                hashes = shingles(t.as_py(), words)
-                prints.append(majority(hashes))
-                for out, got in zip((places, keys), sketch(hashes)):
-                    out.append(got)
-            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "keys"])
+            each = [(majority(h), *sketch(h)) for h in (shingles(t.as_py(), words) for t in b.column(1))]
+            fp, wide, places, keys = zip(*each) if each else ((), (), (), ())
+            prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, wide)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *prints, pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "wide", "sketch", "keys"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long, sketch binary, keys array<long>")
+    ddl = f"doc_id {kind}, fp long, wide long, sketch binary, keys array<long>"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), ddl)
 
 
 class _Forest:
@@ -199,22 +196,22 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 def similar(texts: DataFrame, least: float = 0.8, radius: int = WIDE) -> DataFrame:
     """Links between fingerprints of texts that share ``least`` or more of their different shingles, thinned like those of ``links``.
 
-    ``texts`` has ``fp``, ``sketch`` and ``keys``. Texts with a sample in common meet in a cell; pairs are discarded by their pivot distances, then by their
-    fingerprints, and verified by their sketches: the share of equal places among those that either has, whose deviation at 0.8 is 0.025.
+    ``texts`` has ``fp``, ``wide``, ``sketch`` and ``keys``. Texts with a sample in common meet in a cell; pairs are discarded by the pivot distances of ``wide``,
+    then by ``wide`` itself, which repetitions don't change as they change ``fp``, and verified by their sketches: the share of equal places among those that either has, whose deviation at 0.8 is 0.025.
     """
     small_batches(texts.sparkSession)
     ref = pivots(DISCARDING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            far = np.bitwise_count(b.column(0).to_numpy().view(np.uint64)[:, None] ^ ref)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x.tobytes() for x in far], pa.binary()), b.column(2)], ["fp", "sketch", "far", "keys"])
+            far = np.bitwise_count(b.column(1).to_numpy().view(np.uint64)[:, None] ^ ref)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in far], pa.binary())], [*b.schema.names, "far"])
 
-    each = texts.groupBy("fp", "sketch").agg(F.first("keys").alias("keys")).mapInArrow(lean(run), "fp long, sketch binary, far binary, keys array<long>")
-    each = written(each, "simhash-sketches")
+    each = texts.groupBy("fp", "wide", "sketch").agg(F.first("keys").alias("keys"))
+    each = written(each.mapInArrow(lean(run), "fp long, wide long, sketch binary, keys array<long>, far binary"), "simhash-sketches")
     sizes = written(each.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1"), "simhash-cells")
     # most texts are alone in all their cells, and of them nothing is shuffled
-    dealt = members(each.select("fp", "sketch", "far", F.explode("keys").alias("cell")), "cell", sizes.select("cell"))
+    dealt = members(each.select("fp", "wide", "sketch", "far", F.explode("keys").alias("cell")), "cell", sizes.select("cell"))
     return compared(dealt, sizes, radius, least)
 
 
@@ -232,7 +229,7 @@ def compared(dealt: DataFrame, sizes: DataFrame, radius: int, least: float | Non
         far = np.frombuffer(b"".join(rows.column("far").to_pylist()), np.uint8).reshape(len(group), -1).astype(np.int8)
         order = np.lexsort((far[:, -1], group))  # the last coordinate dealt nothing
         fp, far = rows.column("fp").to_numpy()[order], far[order]
-        bits = fp.view(np.uint64)
+        bits = (fp if least is None else rows.column("wide").to_numpy()[order]).view(np.uint64)
         if least is not None:
             places = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(group), -1)[order]
         forest = _Forest(len(fp))
@@ -294,7 +291,7 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 5, least: float = 0.
     some = keyed.where("doc_id IS NOT NULL")
     prints = written(sketches(some, key, "text", words).withColumnRenamed("doc_id", "key"), "simhash")
     ids = some.select(F.col(key).alias("row"), "doc_id")
-    found = connected_components(links(prints.select("fp").distinct(), radius).unionAll(similar(prints.select("fp", "sketch", "keys"), least)))
+    found = connected_components(links(prints.select("fp").distinct(), radius).unionAll(similar(prints.select("fp", "wide", "sketch", "keys"), least)))
     classes = prints.groupBy("key", "fp").agg(F.count("*").alias("rows")).join(found, F.col("fp") == found.id, "left").select("key", "rows", F.coalesce("component", "fp").alias("class"))
     named = written(classes.join(ids.distinct(), F.col("key") == F.col("row")).select("key", "rows", "class", "doc_id"), "simhash-classes")
     first = named.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("first"))
