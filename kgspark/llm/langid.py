@@ -27,7 +27,7 @@ TRAIN_BYTES = 32_768
 #: Long texts are parsed in pieces of so many bytes at once, which are fitted together afterwards.
 PIECE = 2048
 #: Bytes times languages that are parsed at a time; of longer texts the state is carried on.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
 UNKNOWN = "und"
 
 
@@ -166,7 +166,7 @@ class Model:
         behind = np.flatnonzero(number)
         self._run(flat, begin, length, np.flatnonzero(number == 0), state[part], counts, ends, None)
         if len(behind):
-            started = np.zeros((len(self.langs), len(flat) + 1), dtype=np.int32)
+            started = np.zeros((len(self.langs), len(flat) + 1), dtype=np.int8)
             self._run(flat, begin, length, behind, np.repeat(self.roots[None], len(part), axis=0), counts, ends, started)
             upto = np.cumsum(started, axis=1, dtype=np.int32)
             own = ends.copy()
