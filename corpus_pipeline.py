@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words, stays: that of the smallest id.
+    """One document of each group of near copies, by shingles of five words and a similarity of 0.8 or more, stays: that of the smallest id.
 
     Rows without an id stay; null and empty texts are copies of each other; of rows repeated under one id one stays; an empty table stays empty.
     """
