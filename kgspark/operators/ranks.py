@@ -16,11 +16,11 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "p
     Rows that are equal in ``order`` get different numbers in no particular order; null groups are groups; no rows give no rows. ``rows`` should be
     cheap to read twice (a table or a cut frame).
     """
-    group, tie, part, size = "__group", "__tie", "__part", "__size"
+    group, tie, part, size = "__n_group", "__n_tie", "__n_part", "__n_size"
     tagged = rows.withColumn(tie, F.monotonically_increasing_id()).withColumn(group, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in by]))
     dealt = cut(tagged.repartitionByRange(F.col(group), *order, F.col(tie)).withColumn(part, F.spark_partition_id()))
     # one row for each group and each partition that has rows of it
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(part, group).agg(F.count("*").alias(size)).select(part, group, F.coalesce(F.sum(size).over(before), F.lit(0)).alias("__start"))
+    starts = dealt.groupBy(part, group).agg(F.count("*").alias(size)).select(part, group, F.coalesce(F.sum(size).over(before), F.lit(0)).alias("__n_start"))
     inner = F.row_number().over(Window.partitionBy(part, group).orderBy(*order, tie))
-    return dealt.withColumn("__in", inner).join(starts.hint("merge"), [part, group]).withColumn(name, F.col("__start") + F.col("__in")).drop(tie, part, group, "__start", "__in")
+    return dealt.withColumn("__n_in", inner).join(starts.hint("merge"), [part, group]).withColumn(name, F.col("__n_start") + F.col("__n_in")).drop(tie, part, group, "__n_start", "__n_in")
