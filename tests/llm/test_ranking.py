@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kgspark.llm import queries as Q
 from kgspark.llm import ranking as R
@@ -67,7 +68,7 @@ def test_empty_and_all_null(spark):
 
 def test_other_columns_stay_and_names_may_clash(spark):
     rows = spark.createDataFrame([(1, 5, 1, "a", "g"), (1, 5, 2, "b", "h"), (2, None, None, "c", None)], "k long, x long, y long, place string, cut string")
-    got = R.first_places(rows, ["k"], "x", "y", ["cut"], 1)
+    got = R.first_places(rows, ["k"], F.col("x"), F.col("y"), ["cut"], 1)
     assert got.columns == ["k", "x", "y", "cut", "pos", "place", "tied"]
     assert sorted(map(tuple, got.collect())) == [(1, 5, 1, "g", 1, 1, 1), (2, None, None, None, 1, 1, 1)]
 
@@ -75,7 +76,7 @@ def test_other_columns_stay_and_names_may_clash(spark):
 def test_searches_of_many_pairs(spark):
     """Groups of different sizes end at different passes."""
     rows = [(g, 10 * i, i % 7) for g in range(12) for i in range(g * g)]
-    got = R.first_places(spark.createDataFrame(rows, "g long, x long, y long"), ["g"], "x", "y", [], 3).collect()
+    got = R.first_places(spark.createDataFrame(rows, "g long, x long, y long"), ["g"], F.col("x"), F.col("y"), [], 3).collect()
     want = [(g, 10 * i, i % 7, pos, pos, 1) for g in range(12) for pos, i in enumerate(sorted(range(g * g), reverse=True)[:3], 1)]
     assert sorted(map(tuple, got)) == sorted(want)
 
