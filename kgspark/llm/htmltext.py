@@ -3,7 +3,7 @@
 Every element subtree outside a page's own article and every box inside of it is hashed; Spark counts on how many pages of a host each hash
 occurs, and subtrees that recur on many pages of their host are deleted before the text is taken. In an ``article`` or ``main`` paragraphs,
 headings, quotes and list items are that page's content and aren't counted: passages that many articles share are no template. Elements whose tag or
-role says that they are a menu, header, footer, form or the like go as well, and boxes whose whole name says advert, notice or comments, so that hosts with few pages come out clean too.
+role says that they are a menu, header, footer, form or the like go as well, and elements whose whole name says advert, notice or comments, so that hosts with few pages come out clean too.
 
 All steps take time in proportion to a page's length, also where its markup is broken on purpose.
 """
@@ -46,11 +46,9 @@ BOX = frozenset("a address center details div dl fieldset figure menu ol section
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary".split())
 NEVER = frozenset("head script style noscript template iframe nav footer aside form button select option textarea input svg canvas object embed audio video dialog menu search".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-#: Whole names of boxes that aren't the article; prose keeps its names.
-NEVER_NAME = re.compile(
-    r"(?:ads?|advert|adverts|advertisement|advertisements|advertising|sponsored)(?:[-_].*)?|(?:reader|user|article|blog)?[-_]?comments?(?:[-_](?:list|section|area|thread))?"
-    r"|(?:cookie|site|privacy|consent)[-_]?(?:notice|banner)|notices?|menu|nav|navbar|sidebar|newsletter"
-)
+#: Whole names by which an element of any kind says that it isn't the article, alone or (adverts) as a name's first part; other names are left to counting.
+NEVER_NAME = re.compile("(?:ads?|adverts?|advertisements?)(?:[-_].*)?|menu|sidebar|notices?|comments")
+KEPT = frozenset("html body main article".split())
 #: Articles of these names announce other pages.
 NOT_OWN = frozenset(["teaser", "related", "comment", "promo"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -58,7 +56,8 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 COMMENT_END = re.compile(r"--!?>")
 #: The rest of a tag up to its end; quoted values may hold any character.
 REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute: what separates it, its name, and its value if it has one.
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 SPACE = re.compile(r"\s+")
 
 
@@ -71,15 +70,18 @@ class Node:
         self.tag, self.number, self.children = tag, number, []
         self.names: list[str] = []
         self.role, self.hidden = "", False
-        if attributes and ("=" in attributes or "hidden" in attributes):
-            for m in NAMED.finditer(attributes):
-                key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
-                if key in ("class", "id"):
-                    self.names += value.split()
-                elif key == "role":
-                    self.role = value.strip()
-                elif key == "hidden" or value == "true":
-                    self.hidden = True
+        if "=" in attributes or "hidden" in attributes.lower():
+            seen = set()
+            for name, *values in ATTRIBUTE.findall(attributes):
+                if (key := name.lower()) in ("class", "id", "role", "hidden", "aria-hidden") and key not in seen:
+                    seen.add(key)  # of a repeated attribute the first counts
+                    words = entities.unescape("".join(values)).lower().split()
+                    if key == "role":
+                        self.role = words[0] if words else ""
+                    elif key in ("class", "id"):
+                        self.names += words
+                    else:  # what no reader of the page gets
+                        self.hidden = self.hidden or key == "hidden" or words == ["true"]
 
 
 class _Open:
@@ -192,7 +194,7 @@ def boilerplate(node: Node, inside: bool) -> bool:
         return True
     if node.tag == "article":
         return inside and not NOT_OWN.isdisjoint(node.names)
-    return node.tag in BOX and any(NEVER_NAME.fullmatch(n) for n in node.names)
+    return node.tag not in KEPT and any(NEVER_NAME.fullmatch(n) for n in node.names)
 
 
 def content(root: Node) -> list[Node]:

@@ -232,3 +232,18 @@ def test_pages_like_another_route(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {r.page_id: other(r.html) for r in pages.collect()}
     assert {r.page_id: r.text for r in H.main_text(pages).collect()} == want
+
+
+def test_words_inside_attribute_values_delete_nothing():
+    """Only attributes that an element has count, by their own names."""
+    from kgspark.llm import htmltext as H
+
+    kept = [
+        '<p style="overflow:hidden">x</p>', '<p title="nothing hidden here">x</p>', '<p data-hidden="false">x</p>', '<div data-role="form">x</div>', "<div title='class=ad'>x</div>",
+        '<div data-class="ad">x</div>', "<div title=class=ad>x</div>", '<div title="a" class = "add"/ >x</div>', '<p title=hidden>x</p>', '<p aria-hidden="false">x</p>', '<div title="role=navigation" id=y>x</div>',
+    ]
+    gone = ['<p hidden>x</p>', '<p title="a" aria-hidden=true>x</p>', '<div class="a ad b">x</div>', "<div id='comments'>x</div>", "<div CLASS=Ad>x</div>", '<div\nrole="navigation">x</div>', '<p class="advert">x</p>', '<div title="a>b"class="ad">x</div>', "<section class=notice/x class=ad id=notice>x</section>"]
+    for box in kept:
+        assert H.text_of(H.parse(f"<article><p>a</p>{box}</article>")) == "a\nx", box
+    for box in gone:
+        assert H.text_of(H.parse(f"<article><p>a</p>{box}</article>")) == "a", box
