@@ -58,6 +58,13 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, raw[at - size : at]
 
 
+def whole_words(path: str) -> list[str]:
+    """A model file's pieces that begin a word, without their mark."""
+    with open(path, "rb") as f:
+        names = [dict(fields(v))[1].decode() for k, v in fields(f.read()) if k == 1]
+    return [name[1:] for name in names if name.startswith(MARK)]
+
+
 class Pieces:
     """Encoder and decoder of one model file; made once per worker."""
 

@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and runs that a Markov model of random strings explains better than one of identifiers.
 
-Both models are first-order character chains with add-one smoothing, trained on the driver from labelled samples: strings drawn at random, and the
-public names of Python's own library. A run is reported
+Both models are first-order character chains with add-one smoothing, trained on the driver from labelled samples: strings drawn at random, and
+words of a public vocabulary in usual compounds. A run is reported
 where the log-likelihood ratio for each character exceeds a threshold, which is higher for short runs. Of a run that base
 spans overlap, what they leave is judged.
 """
@@ -9,7 +9,6 @@ spans overlap, what they leave is judged.
 from __future__ import annotations
 
 import hashlib
-import importlib
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import lean, small_batches
+from kgspark.llm.pieces import whole_words
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns; ASCII letters of the first group in either case.
@@ -37,39 +37,40 @@ MARGIN = 0.35
 #: Characters from which on the margin holds as it is; shorter runs need as many nats in all.
 FULL = 24
 
-#: Modules of Python's library whose public names are the samples of ordinary identifiers.
-MODULES = (
-    "argparse ast asyncio base64 calendar codecs collections configparser contextlib csv ctypes datetime decimal difflib dis email.message enum fileinput fractions ftplib functools gettext "
-    "glob gzip hashlib html.parser http.client http.cookiejar imaplib inspect ipaddress itertools json locale logging logging.handlers mailbox mimetypes multiprocessing numbers operator "
-    "optparse os pathlib pdb pickle platform plistlib poplib pprint profile queue random re sched selectors shelve shutil signal smtplib socket socketserver sqlite3 ssl stat statistics string "
-    "struct subprocess symtable tarfile tempfile textwrap threading timeit token tokenize trace traceback types typing unicodedata unittest unittest.mock urllib.parse urllib.request uuid "
-    "warnings wave weakref webbrowser xml.dom.minidom xml.etree.ElementTree xml.sax zipfile zoneinfo"
-).split()
+#: The public vocabulary whose whole words make the samples of ordinary identifiers, and what it must be for the model to be the same everywhere.
+WORDS = "piece_bpe_32k.model"
+WORDS_SHA256 = "dadfd56d766715c61d2ef780a525ab43b8e6da4de6865bda3d95fdef5e134055"
 
 
 @lru_cache(maxsize=1)
-def library_names() -> tuple[str, ...]:
-    """Public names of ``MODULES`` and of the classes in them, sorted: identifiers that people chose."""
-    names: set[str] = set()
-    for module in MODULES:
-        found = vars(importlib.import_module(module))
-        for name, thing in found.items():
-            if not name.startswith("_"):
-                names.add(name)
-                if isinstance(thing, type):
-                    names.update(n for n in vars(thing) if not n.startswith("_"))
-    return tuple(sorted(n for n in names if n.isascii()))
-
-
-def labelled_samples(seed: int = 7, each: int = 8000) -> list[tuple[str, int]]:
-    """Samples with label 1 (random strings of the usual key alphabets) and 0 (names of Python's library, alone and in usual compounds, some with numbers)."""
+def vocabulary_words() -> tuple[str, ...]:
+    """Words of several languages and of program texts, in the vocabulary's order: its pieces of two and more ASCII letters that begin a word."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(WORDS)
+    with open(path, "rb") as f:
+        if hashlib.sha256(f.read()).hexdigest() != WORDS_SHA256:
+            raise ValueError(f"{path} isn't the vocabulary that the model is made from")
+    return tuple(w for w in whole_words(path) if len(w) > 1 and w.isascii() and w.isalpha())
+
+
+def labelled_samples(seed: int = 7, each: int = 20_000) -> list[tuple[str, int]]:
+    """Samples with label 1 (random strings of the usual key alphabets) and 0 (words in usual compounds, some with numbers, and stretches of the alphabet).
+
+    Drawn from a fixed vocabulary by a fixed seed: the same in every process.
+    """
     draw = random.Random(seed)
     alnum = LETTERS[:62]
     alphabets = [alnum, alnum, alnum + "+/", alnum + "_-", LETTERS[:26] + LETTERS[52:62], LETTERS[26:62], LETTERS[26:52], LETTERS[:26], "0123456789abcdef", "0123456789ABCDEF"]
     out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 64))), 1) for _ in range(each)]
-    names = library_names()
-    for _ in range(each):
-        text = draw.choice("_-/=+.").join(draw.choices(names, k=draw.randint(1, 5)))
+    words = vocabulary_words()
+    for k in range(each):
+        if k % 50 == 0:
+            start = draw.randrange(20)
+            text = LETTERS[26 + start : 26 + draw.randint(start + 5, 26)]
+        else:
+            parts = draw.choices(words, k=draw.randint(1, 5))
+            text = "".join(p.title() for p in parts) if draw.random() < 0.3 else draw.choice("_-/=+.").join(parts)
         if draw.random() < 0.3:
             text += draw.choice(["", "_", "-", "/"]) + str(draw.randrange(10 ** draw.randint(1, 8)))
         out.append((draw.choice([text, text, text.lower(), text.upper()]), 0))

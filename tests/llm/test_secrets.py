@@ -115,3 +115,42 @@ def test_held_out_samples_of_other_origin():
     assert sum(map(flagged, plain)) <= 0.002 * len(plain)
     keys = [base64.b64encode(secrets.token_bytes(24)).decode() for _ in range(500)] + [secrets.token_urlsafe(15) for _ in range(500)]
     assert sum(map(flagged, keys)) >= 0.99 * len(keys)
+
+
+def test_the_model_is_the_same_in_every_process():
+    """Whatever was imported before; and it is made from the vocabulary that its hash names."""
+    import subprocess
+    import sys
+
+    code = "import {}\nfrom kgspark.llm import secrets as S\nimport hashlib\nprint(hashlib.sha256(S.default_model().ratio.tobytes()).hexdigest())"
+    seen = {subprocess.run([sys.executable, "-c", code.format(m)], capture_output=True, text=True, check=True).stdout for m in ("os", "xml.etree.ElementTree, xml.sax, logging.handlers, concurrent.futures, numpy.fft")}
+    assert len(seen) == 1 and seen != {""}
+
+
+def test_scores_like_adding_up_by_hand():
+    """The chain's ratio of a run, from counts of the samples pair by pair."""
+    import math
+    from collections import Counter
+
+    samples = S.labelled_samples(each=500)
+    model = S.Markov(samples)
+    pairs, firsts = [Counter(), Counter()], [Counter(), Counter()]
+    for text, label in samples:
+        last = None
+        for c in text:
+            if c not in S.LETTERS:
+                last = None
+                continue
+            pairs[label][last, c] += 1
+            firsts[label][last] += 1
+            last = c
+    n = len(S.LETTERS)
+    for run in ("qZ7xKp2mVt9LwRb4Hs8D", "some_ordinary_identifier", "A/B=C"):
+        steps = list(zip([None, *run], run))
+        want = sum(math.log((pairs[1][s] + 1) / (firsts[1][s[0]] + n)) - math.log((pairs[0][s] + 1) / (firsts[0][s[0]] + n)) for s in steps) / len(run)
+        assert abs(model.score(run) - want) < 1e-9
+
+
+def test_ordinary_words_of_other_languages_stay():
+    for text in ("przeszczep-wszczepiony-chrzaszcz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "Rechtsschutzversicherungsgesellschaften", "desafortunadamente-imprescindible", "anticonstitutionnellement"):
+        assert S.spans(f"the {text} end") == []
