@@ -55,6 +55,20 @@ class RuleCompleter:
         return ""
 
 
+class SameInitial:
+    """A verifier that names the alphabetically first choice with the initial of the definition's last word, and the last letter if there is none."""
+
+    def complete(self, prompts: list[str], max_tokens: int = 5, n: int = 1) -> list[list[str]]:
+        return [[self._one(p)] * n for p in prompts]
+
+    @staticmethod
+    def _one(prompt: str) -> str:
+        initial = re.findall(r"^Definition: (?:.* )?(\S)\S*$", prompt, re.M)
+        choices = re.findall(r"^(.)\. (.+)$", prompt, re.M)
+        fitting = [(text, letter) for letter, text in choices[:-1] if initial and text[0] == initial[-1]]
+        return min(fitting)[1] if fitting else choices[-1][0]
+
+
 class HashEmbedder:
     """Signed feature hashing of character trigrams, at length 1."""
 
@@ -138,12 +152,12 @@ def complete_samples(model: Completer, prompt: Column, n: int, max_tokens: int =
 def embed(model: Embedder, text: Column, prefix: str = "") -> Column:
     """Embeddings at length 1."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             x = np.asarray(model.embed([prefix + t for t in s.fillna("")]), dtype=np.float64).reshape(len(s), -1)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
-            yield pd.Series(list((x / np.where(norm > 0, norm, 1)).astype(np.float32)))
+            yield pd.Series(list((x / np.where(norm > 0, norm, 1))))
 
     return run(text)
 
@@ -158,13 +172,13 @@ def last_token_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def pooled(states: Column, tokens: Column, size: int) -> Column:
     """Embeddings at length 1 from token states laid end to end, ``size`` numbers a token, of which the first ``tokens`` count."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for flat, count in batches:
             x = np.stack(flat.to_numpy()).astype(np.float64).reshape(len(flat), -1, size) if len(flat) else np.zeros((0, 1, size))
             last = last_token_pool(x, (np.arange(x.shape[1]) < count.to_numpy()[:, None]).astype(int))
             norm = np.linalg.norm(last, axis=1, keepdims=True)
-            yield pd.Series(list((last / np.where(norm > 0, norm, 1)).astype(np.float32)))
+            yield pd.Series(list((last / np.where(norm > 0, norm, 1))))
 
     return run(states, tokens)
 

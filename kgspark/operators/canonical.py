@@ -1,20 +1,16 @@
-"""Relation canonicalisation with schema enrichment, refinement hints, and the folds that depend on order."""
+"""Relation canonicalisation with schema enrichment, refinement hints, in batches and in strict order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import models as M
 from kgspark.functions import text as X
+from kgspark.operators import ordered as O
 from kgspark.operators import sampling
 from kgspark.operators import vectors as V
 from kgspark.operators.linking import dense_numbers
-from kgspark.names import NEW_ENTITY
 from kgspark.session import cut
 
 VERIFY = "Text: {text}\nTriple: {triple}\nDefinition: {definition}\nWhich relation means the same?\n{choices}\nAnswer:"
@@ -41,6 +37,20 @@ def retrieved(definitions: DataFrame, opened: DataFrame, known: DataFrame, embed
     return q.join(found, q.id == found.query_id, "left").select("definition", F.array_distinct(F.coalesce("candidates", F.array().cast("array<string>"))).alias("candidates"))
 
 
+def _with_hints(rows: DataFrame, hints: DataFrame | None) -> DataFrame:
+    """``rows`` with their document's ``hints``, an empty list where there are none."""
+    none = F.array().cast("array<string>")
+    return rows.withColumn("hints", none) if hints is None else rows.join(hints.select("doc_id", "hints"), "doc_id", "left").withColumn("hints", F.coalesce("hints", none))
+
+
+def _verified(verifier: M.Completer, candidates: Column, asked: Column) -> Column:
+    """The candidate that the verifier names for a row's text, triple and definition, where it is ``asked``."""
+    triple = X.list_text(F.array("subj", "rel", "obj"))
+    prompt = X.fill(VERIFY, text=F.col("text"), triple=triple, definition=F.col("definition"), choices=X.lettered_choices(candidates))
+    answer = M.complete(verifier, F.when(asked, prompt), 5)
+    return F.try_element_at(candidates, X.chosen_letter(answer, F.size(candidates)) + 1)
+
+
 def canonicalize(
     docs: DataFrame, triples: DataFrame, definitions: DataFrame, opened: DataFrame, known: DataFrame, embedder: M.Embedder, verifier: M.Completer,
     hints: DataFrame | None = None, enrich: bool = True, k: int = 5,
@@ -49,21 +59,15 @@ def canonicalize(
 
     All unknown relations of a call are verified together against the schema as it stood before; those that no candidate matches enter
     the schema at their first occurrence by document and position, which also gives their definition. A relation without a definition is dropped
-    unless it is known. ``canonicalize_ordered`` makes each addition visible to the very next triple instead.
+    unless it is known. ``canonicalize_strict`` makes each addition visible to the very next triple instead.
     """
     marked = cut(known_relations(triples, opened, known))
     kept = marked.where("is_known").select("doc_id", "pos", "subj", "rel", "obj", F.col("rel").alias("open_rel"), F.array().cast("array<string>").alias("candidates"))
     rows = marked.where("NOT is_known").join(definitions, ["doc_id", "rel"])
     cands = retrieved(rows, opened, known, embedder, k)
-    rows = rows.join(cands, "definition").join(docs.select("doc_id", "text"), "doc_id")
-    if hints is not None:
-        rows = rows.join(hints.select("doc_id", "hints"), "doc_id", "left").withColumn("candidates", X.hints_in_front(F.coalesce("hints", F.array().cast("array<string>")), F.col("candidates"))).drop("hints")
-    rows = rows.withColumn("candidates", F.slice("candidates", 1, 25))
-    triple = X.list_text(F.array("subj", "rel", "obj"))
-    prompt = X.fill(VERIFY, text=F.col("text"), triple=triple, definition=F.col("definition"), choices=X.lettered_choices(F.col("candidates")))
-    answer = M.complete(verifier, F.when(F.size("candidates") > 0, prompt), 5)
-    chosen = F.try_element_at("candidates", X.chosen_letter(answer, F.size("candidates")) + 1)
-    judged = cut(rows.withColumn("chosen", chosen))
+    rows = _with_hints(rows.join(cands, "definition").join(docs.select("doc_id", "text"), "doc_id"), hints)
+    rows = rows.withColumn("candidates", X.hints_in_front(F.col("hints"), F.col("candidates"))).drop("hints")
+    judged = cut(rows.withColumn("chosen", _verified(verifier, F.col("candidates"), F.size("candidates") > 0)))
     new = judged.where("chosen IS NULL").groupBy(F.col("rel").alias("label")).agg(F.min_by("definition", F.struct("doc_id", "pos")).alias("definition"), F.min(F.struct("doc_id", "pos")).alias("at"))
     out = kept.unionAll(judged.select("doc_id", "pos", "subj", F.coalesce("chosen", "rel").alias("rel"), "obj", F.col("rel").alias("open_rel"), "candidates"))
     if not enrich:
@@ -73,106 +77,36 @@ def canonicalize(
     return out, cut(opened.select("label", "definition", "ord").unionAll(added))
 
 
-class _Rows:
-    """Vectors in order of arrival in one growing matrix, and the first nearest of them."""
-
-    def __init__(self, rows: list[np.ndarray]) -> None:
-        self.count = 0
-        self.rows = np.zeros((0, 0))
-        for x in rows:
-            self.add(x)
-
-    def add(self, x: np.ndarray) -> None:
-        if self.count == len(self.rows):
-            grown = np.zeros((max(64, 2 * self.count), len(x)))
-            if self.count:
-                grown[: self.count] = self.rows
-            self.rows = grown
-        self.rows[self.count] = x
-        self.count += 1
-
-    def nearest(self, x: np.ndarray) -> tuple[int, float]:
-        if not self.count:
-            return -1, -np.inf
-        scores = self.rows[: self.count] @ x
-        best = int(scores.argmax())
-        return best, float(scores[best])
-
-
-def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -> DataFrame:
-    """The strict fold: ``(doc_id, pos, rel, canonical)``; each relation that is added can be chosen by the next row.
+def canonicalize_strict(
+    docs: DataFrame, triples: DataFrame, definitions: DataFrame, opened: DataFrame, known: DataFrame, embedder: M.Embedder, verifier: M.Completer,
+    hints: DataFrame | None = None, k: int = 5,
+) -> tuple[DataFrame, DataFrame, int]:
+    """``canonicalize`` as if triple followed triple, each seeing every relation added before it; and the number of rounds that took.
 
-    ``rows`` is (doc_id, pos, rel, definition, embedding) of relations in neither schema, ``opened`` (label, embedding). A row takes the
-    nearest open relation above ``threshold`` or joins the schema. Its state goes from row to row, so this runs in one task by nature: give it only
-    the rows that need it; ``canonicalize`` is the form that scales.
-    """
-    start = opened.select("label", "embedding").orderBy("label").toPandas()  # a schema, not data: the caller's relations
-    labels, vectors = start["label"].tolist(), [np.asarray(v, dtype=np.float64) for v in start["embedding"]]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, known = list(labels), _Rows(vectors)
-        have = set(names)
-        for df in batches:
-            out = []
-            for rel, v in zip(df["rel"], df["embedding"]):
-                x = np.asarray(v, dtype=np.float64)
-                if rel in have:
-                    out.append(rel)
-                    continue
-                best, score = known.nearest(x)
-                if score > threshold:
-                    out.append(names[best])
-                else:
-                    names.append(rel)
-                    have.add(rel)
-                    known.add(x)
-                    out.append(rel)
-            yield df[["doc_id", "pos", "rel"]].assign(canonical=out)
-
-    return rows.select("doc_id", "pos", "rel", "embedding").coalesce(1).sortWithinPartitions("doc_id", "pos").mapInPandas(fold, "doc_id long, pos long, rel string, canonical string")
-
-
-def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | None = None, kg_threshold: float = 0.5) -> DataFrame:
-    """Sequential linking: ``(doc_id, ent_pos, identifier)``.
-
-    A mention takes the best of its KG candidates strictly above ``kg_threshold`` or the best earlier new entity strictly above ``threshold``, whichever scores higher, KG
-    first on ties; else it founds a new entity. New entities are visible to later documents only; numbers are given once and never again.
-    KG candidates are found beforehand, in parallel; the fold itself is one task by nature.
+    A round asks the verifier about all open triples by the schema as it stands; triples whose open candidates no addition of an earlier one would change are settled
+    (``ordered.settle``), the others are asked again only if their candidates did change. Rows and results are those of ``canonicalize``.
     """
-    rows = mentions.select("doc_id", "ent_pos", "embedding")
-    if kg_candidates is not None:
-        best = V.argmax_above(kg_candidates, ["doc_id", "ent_pos"], kg_threshold, "cand_id").select("doc_id", "ent_pos", F.col("cand_id").cast("string").alias("kg"), F.col("score").alias("kg_score"))
-        rows = rows.join(best, ["doc_id", "ent_pos"], "left")
-    else:
-        rows = rows.withColumn("kg", F.lit(None).cast("string")).withColumn("kg_score", F.lit(None).cast("double"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, owners = _Rows([]), []
-        waiting: list[tuple[int, np.ndarray]] = []
-        doc, count = None, 0
-        for df in batches:
-            out = []
-            for d, v, kg, kg_score in zip(df["doc_id"], df["embedding"], df["kg"], df["kg_score"]):
-                if d != doc:
-                    for owner, x in waiting:
-                        store.add(x)
-                        owners.append(owner)
-                    waiting, doc = [], d
-                x = np.asarray(v, dtype=np.float64)
-                top, score = store.nearest(x)
-                own = score if score > threshold else -np.inf
-                if kg is not None and kg == kg and kg_score >= own:
-                    out.append(str(kg))
-                elif own > -np.inf:
-                    waiting.append((owners[top], x))
-                    out.append(f"{NEW_ENTITY}{owners[top]}")
-                else:
-                    waiting.append((count, x))
-                    out.append(f"{NEW_ENTITY}{count}")
-                    count += 1
-            yield df[["doc_id", "ent_pos"]].assign(identifier=out)
-
-    return rows.coalesce(1).sortWithinPartitions("doc_id", "ent_pos").mapInPandas(fold, "doc_id long, ent_pos long, identifier string")
+    marked = cut(known_relations(triples, opened, known))
+    kept = marked.where("is_known").select("doc_id", "pos", "subj", "rel", "obj", F.col("rel").alias("open_rel"), F.array().cast("array<string>").alias("candidates"))
+    rows = marked.where("NOT is_known").join(definitions, ["doc_id", "rel"])
+    fixed = retrieved(rows, opened.limit(0), known, embedder, k).withColumnRenamed("candidates", "fixed")
+    rows = _with_hints(rows.join(fixed, "definition").join(docs.select("doc_id", "text"), "doc_id"), hints)
+    rows = rows.withColumns({"embedding": M.embed(embedder, F.col("definition"), X.STS_PREFIX), "own": M.embed(embedder, F.col("definition")), "floor": F.lit(float("-inf"))})
+    rows = cut(O.numbered_rows(rows, ["doc_id", "pos"]))
+    size = opened.count()
+    store = cut(O.numbered_rows(opened.select("label", "definition"), ["label"]).select((F.col("id") - size).alias("id"), "label", M.embed(embedder, F.col("definition")).alias("own")))
+    options = lambda: X.hints_in_front(F.col("hints"), F.array_distinct(F.concat(F.transform("cands", lambda c: c.label), F.col("fixed"))))
+
+    def judge(df: DataFrame) -> DataFrame:
+        said = df.withColumn("said", _verified(verifier, options(), F.col("stale") & (F.size(options()) > 0)))
+        return said.withColumns({"chosen": F.when(F.col("stale"), F.col("said")).otherwise(F.col("chosen")), "adds": F.when(F.col("stale"), F.col("said").isNull()).otherwise(F.col("adds"))})
+
+    seen = rows.select("id", F.col("rel").alias("label"), "embedding", "own", "floor", "doc_id", "pos", "text", "subj", "rel", "obj", "definition", "fixed", "hints")
+    decided, rounds = O.settle(seen, store, k, judge)
+    full = cut(rows.drop("embedding", "own", "floor", "text").join(decided, "id"))
+    out = kept.unionAll(full.select("doc_id", "pos", "subj", F.coalesce("chosen", "rel").alias("rel"), "obj", F.col("rel").alias("open_rel"), options().alias("candidates")))
+    added = dense_numbers(full.where("adds").select(F.col("rel").alias("label"), "definition", "id"), "id").select("label", "definition", (F.col("number") + size).alias("ord"))
+    return out, cut(opened.select("label", "definition", "ord").unionAll(added)), rounds
 
 
 def crawl(rows: DataFrame, limit: int = 5) -> DataFrame:

@@ -33,16 +33,18 @@ def _blocks(df: DataFrame, id_col: str, count: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, self_score: float | None = None) -> DataFrame:
+def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, self_score: float | None = None, before: bool = False) -> DataFrame:
     """Exact top-k inner products: ``(query_id, cand_id, score, rank)``; ties by ascending candidate id.
 
     Both sides are (id, embedding). Each is dealt into blocks of about 1,024 rows, every pair of blocks is one dense product, of
     which each query's ``k`` best remain; those are merged by rank. ``exclude_self`` drops candidates of the query's own id; with
-    ``self_score`` they stay, at that score, so that few candidates are filled up by the query itself.
+    ``self_score`` they stay, at that score, so that few candidates are filled up by the query itself. With ``before`` both sides have a number ``at`` and queries a
+    ``floor``: only candidates of a smaller number and a score strictly above the floor count. Rows without a vector find nothing and aren't found.
     """
+    queries, base = queries.where("embedding IS NOT NULL"), base.where("embedding IS NOT NULL")
     n_q, n_b = (max(1, -(-df.count() // BLOCK)) for df in (queries, base))
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), _blocks(queries, "id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("bb"))
-    b = base.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), _blocks(base, "id", n_b).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), *(["at", "floor"] if before else []), _blocks(queries, "id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("bb"))
+    b = base.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), *(["at"] if before else []), _blocks(base, "id", n_b).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -52,6 +54,8 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = Fals
         score = x @ y.T
         if exclude_self or self_score is not None:
             score[qi[:, None] == ci] = -np.inf if self_score is None else self_score
+        if before:
+            score[(right["at"].to_numpy() >= left["at"].to_numpy()[:, None]) | (score <= left["floor"].to_numpy()[:, None])] = -np.inf
         order = np.lexsort((np.broadcast_to(ci, score.shape), -score), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(qi)), order.shape[1])
         flat = order.ravel()

@@ -11,6 +11,7 @@ from kgspark.names import NEW_ENTITY, NEW_RELATION
 from kgspark.operators import canonical as C
 from kgspark.operators import linking as L
 from kgspark.operators import metrics
+from kgspark.operators import ordered as O
 from kgspark.operators import sampling as S
 from kgspark.operators import spans
 from kgspark.operators import vectors as V
@@ -146,8 +147,9 @@ def relation_uri_map(spark: SparkSession, sf: str) -> DataFrame:
     return L.relation_uris(positioned(spark, sf), opened, known)
 
 
-@query(f"""{RELS}, ids AS MATERIALIZED (SELECT DISTINCT doc_id, x AS entity, 'http://kg/' || x AS identifier FROM (SELECT doc_id, s AS x FROM t UNION SELECT doc_id, o FROM t) WHERE NOT contains(x, 'createdby'))
-SELECT t.doc_id, t.pos, a.identifier AS s, 'http://kg/rel/' || t.p AS p, b.identifier AS o FROM t JOIN ids a ON a.doc_id = t.doc_id AND a.entity = t.s JOIN ids b ON b.doc_id = t.doc_id AND b.entity = t.o WHERE t.p IN ('placed', 'has_part')""")
+@query(f"""{RELS}, ids AS MATERIALIZED (SELECT DISTINCT doc_id, x AS entity, 'http://kg/' || x AS identifier FROM (SELECT doc_id, s AS x FROM t UNION SELECT doc_id, o FROM t) WHERE NOT contains(x, 'createdby')),
+ta AS MATERIALIZED (SELECT t.doc_id, t.pos, t.p, t.o, a.identifier FROM t JOIN ids a ON a.doc_id = t.doc_id AND a.entity = t.s WHERE t.p IN ('placed', 'has_part'))
+SELECT ta.doc_id, ta.pos, ta.identifier AS s, 'http://kg/rel/' || ta.p AS p, b.identifier AS o FROM ta JOIN ids b ON b.doc_id = ta.doc_id AND b.entity = ta.o""")
 def linked_triples(spark: SparkSession, sf: str) -> DataFrame:
     t = positioned(spark, sf)
     ids = t.select("doc_id", F.explode(F.array("subj", "obj")).alias("entity")).distinct().where("NOT contains(entity, 'createdby')").withColumn("identifier", F.concat(F.lit("http://kg/"), "entity"))
@@ -188,6 +190,33 @@ def enrich_fold(spark: SparkSession, sf: str) -> DataFrame:
     return C.canonicalize(docs, t, defs, opened, known, M.HashEmbedder(16), Never())[1]
 
 
+PART_OPEN = (("wire", "what a wire does"), ("ribbon", "goes around"), ("gate", "opens and closes"))
+PART_KNOWN = (("border", "is next to"), ("bring", "takes to a place"), ("widen", "makes wide"), ("gain", "gets more"))
+
+
+def part_relations(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Parts as documents of one triple, whose relation is the part's type and its definition the part's name; an open and a known schema of a few relations."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).cast("long").alias("pos"), F.lower("p_type").alias("rel"), F.col("p_name").alias("definition"))
+    docs = p.select("doc_id", F.col("definition").alias("text"))
+    triples = p.select("doc_id", "pos", F.lit("s").alias("subj"), "rel", F.lit("o").alias("obj"))
+    opened = spark.createDataFrame([(n, d, i) for i, (n, d) in enumerate(PART_OPEN)], "label string, definition string, ord long")
+    known = spark.createDataFrame([(f"http://kg/{n}", n, d) for n, d in PART_KNOWN], "uri string, label string, definition string")
+    return docs, triples, p.select("doc_id", "rel", "definition"), opened, known
+
+
+@query(f"""WITH labels AS (SELECT unnest({[n for n, _ in PART_OPEN + PART_KNOWN]}) AS label)
+SELECT p_partkey AS doc_id, coalesce((SELECT min(label) FROM labels WHERE label[1] = split_part(p_name, ' ', -1)[1]), lower(p_type)) AS rel, lower(p_type) AS open_rel FROM part""")
+def enrich_matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonicalisation with a verifier that often matches: seven relations are all candidates, and the one with the definition's initial is chosen."""
+    return C.canonicalize(*part_relations(spark, sf), M.HashEmbedder(16), M.SameInitial())[0].select("doc_id", "rel", "open_rel")
+
+
+@query()
+def strict_verified_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in strict order with two candidates of each schema, so that each relation added can change what later parts are asked."""
+    return C.canonicalize_strict(*part_relations(spark, sf), M.HashEmbedder(16), M.SameInitial(), k=2)[0].select("doc_id", "rel", "open_rel")
+
+
 #: The fold step by step: the list of earlier mentions' entity numbers, -1 for those linked to the graph, goes from row to row.
 NIL_SQL = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id // 10 AS doc_id, vec_id % 10 AS ent_pos, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
 kg AS MATERIALIZED (SELECT m.i, b.vec_id AS cand, list_dot_product(m.e, b.embedding::DOUBLE[]) AS score FROM m, embeddings b WHERE b.vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY m.i ORDER BY score DESC, b.vec_id) = 1),
@@ -209,7 +238,7 @@ def nil_fold(spark: SparkSession, sf: str) -> DataFrame:
     odd, even = (e.where(f"vec_id % 2 = {k}").select(F.col("vec_id").alias("id"), "embedding") for k in (1, 0))
     place = lambda c: (F.floor(F.col(c) / 10).alias("doc_id"), (F.col(c) % 10).cast("int").alias("ent_pos"))
     near = V.top_k(odd, even, 10).select(*place("query_id"), "cand_id", "score")
-    return C.nil_fold(odd.select(*place("id"), "embedding"), 0.3, near, 0.35)
+    return O.nil_fold(odd.select(*place("id"), "embedding"), 0.3, near, 0.35)
 
 
 STRICT_SQL = """WITH RECURSIVE o AS MATERIALIZED (SELECT 'open' || vec_id AS label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -231,7 +260,7 @@ def strict_canonical_fold(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     rows = e.where("vec_id % 100 <> 0").select(F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).alias("pos"), F.concat(F.lit("r"), F.col("label").cast("string"), F.lit("_"), (F.col("vec_id") % 50).cast("string")).alias("rel"), "embedding")
     opened = e.where("vec_id % 100 = 0").select(F.concat(F.lit("open"), "vec_id").alias("label"), "embedding")
-    return C.canonicalize_ordered(rows, opened, 0.3)
+    return O.canonicalize_ordered(rows, opened, 0.3)
 
 
 @query("SELECT ord, rels FROM (SELECT ord, rels, row_number() OVER (PARTITION BY rels ORDER BY ord) AS r, min(ord) OVER (PARTITION BY rels) AS first FROM (SELECT l_orderkey AS ord, min(l_returnflag) AS rels FROM lineitem GROUP BY l_orderkey)) WHERE r = 1 ORDER BY first LIMIT 5")

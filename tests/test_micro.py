@@ -12,6 +12,7 @@ from kgspark.names import NEW_ENTITY
 from kgspark.operators import canonical as C
 from kgspark.operators import evaluation as E
 from kgspark.operators import graph, linking, metrics, spans
+from kgspark.operators import ordered as O
 from kgspark.operators import vectors as V
 from kgspark.plans import graphs as G
 from kgspark.sources import readers as R
@@ -169,14 +170,14 @@ def test_metrics(spark):
 
 def test_nil_store_is_seen_by_later_documents_only(spark):
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 0, [1.0, 0.0])], "doc_id long, ent_pos int, embedding array<float>")
-    got = [r.identifier[-1] for r in C.nil_fold(rows, 0.5).orderBy("doc_id", "ent_pos").collect()]
+    got = [r.identifier[-1] for r in O.nil_fold(rows, 0.5).orderBy("doc_id", "ent_pos").collect()]
     assert got == ["0", "1", "0"]
 
 
 def test_ordered_fold(spark):
     rows = spark.createDataFrame([(1, 0, "r1", [1.0, 0.0]), (1, 1, "r2", [0.99, 0.1]), (2, 0, "r3", [0.0, 1.0])], "doc_id long, pos long, rel string, embedding array<float>")
     opened = spark.createDataFrame([], "label string, embedding array<float>")
-    assert [r.canonical for r in C.canonicalize_ordered(rows, opened, 0.9).collect()] == ["r1", "r1", "r3"]
+    assert [r.canonical for r in O.canonicalize_ordered(rows, opened, 0.9).orderBy("doc_id", "pos").collect()] == ["r1", "r1", "r3"]
 
 
 def test_crawl_skips_collected_relations(spark):
@@ -341,5 +342,5 @@ def test_new_entities_grow_beyond_one_matrix(spark):
 
     x = np.eye(200)
     rows = spark.createDataFrame([(i, 0, [float(v) for v in x[i % 200]]) for i in range(400)], "doc_id long, ent_pos int, embedding array<double>")
-    got = [r.identifier for r in C.nil_fold(rows, 0.5).orderBy("doc_id").collect()]
+    got = [r.identifier for r in O.nil_fold(rows, 0.5).orderBy("doc_id").collect()]
     assert got == [f"{NEW_ENTITY}{i % 200}" for i in range(400)]
