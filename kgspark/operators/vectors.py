@@ -97,14 +97,21 @@ class CellIndex:
         n = base.count()
         self.cells = min(cells or index_size(n)[0], max(1, n))
         fit = base if n <= sample else base.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        if self.cells == 1:
+            one = base.select("embedding").first()
+            self.centroids = np.array([one.embedding if one else []], dtype=np.float64)
+            self.rows = base.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), F.lit(0).alias("cell"))
+            return
         model = KMeans(k=self.cells, seed=seed, maxIter=10, featuresCol="f").fit(fit.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
         self.centroids = np.stack(model.clusterCenters())
         self.rows = self.assigned(base, 1).withColumnRenamed("id", "cand_id").withColumnRenamed("embedding", "b")
 
     def save(self, path: str) -> None:
         """Vectors below ``vectors``, one folder a cell, and centroids below ``centroids``; an existing index raises."""
-        spark = self.rows.sparkSession
         self.rows.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/vectors")
+        self.save_centroids(self.rows.sparkSession, path)
+
+    def save_centroids(self, spark: SparkSession, path: str) -> None:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("errorifexists").parquet(f"{path}/centroids")
 
@@ -112,12 +119,15 @@ class CellIndex:
     def load(cls, spark: SparkSession, path: str) -> CellIndex:
         """A saved index; a search reads the folders of the cells it probes."""
         index = cls.__new__(cls)
-        found = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # at most 8,192
-        index.centroids = np.array([r.centroid for r in found])
-        index.cells = len(found)
+        index.centroids = cls.load_centroids(spark, path)
+        index.cells = len(index.centroids)
         index.rows = spark.read.parquet(f"{path}/vectors")
         return index
 
+    @staticmethod
+    def load_centroids(spark: SparkSession, path: str) -> np.ndarray:
+        return np.array([r.centroid for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()])  # at most 8,192
+
     def assigned(self, df: DataFrame, probes: int) -> DataFrame:
         """``(id, embedding, cell)``: one row for each of the ``probes`` nearest cells."""
         centroids, count = self.centroids, min(probes, len(self.centroids))
