@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,68 +28,112 @@ def tokens(text: str, strict: bool) -> tuple[str, ...]:
     return tuple(t for t in out if re.search(r"\w", t) or not (strict or len(t) == 1))
 
 
+#: What two token lists share: where it begins in the said list, where in the gold list, and how many tokens it has.
+Run = tuple[int, int, int]
+
+
+class _Substrings:
+    """Suffix automaton of a token list: each state stands for substrings that end at the same places, and knows the first of these."""
+
+    def __init__(self, words: list[object]) -> None:
+        self.steps: list[dict[object, int]] = [{}]
+        self.shorter, self.size, self.end = [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(words):
+            last = self._append(last, word, at)
+
+    def _state(self, size: int, end: int, steps: dict[object, int], shorter: int) -> int:
+        self.steps.append(steps)
+        self.size.append(size)
+        self.end.append(end)
+        self.shorter.append(shorter)
+        return len(self.steps) - 1
+
+    def _append(self, last: int, word: object, at: int) -> int:
+        new = self._state(self.size[last] + 1, at, {}, 0)
+        p = last
+        while p >= 0 and word not in self.steps[p]:
+            self.steps[p][word] = new
+            p = self.shorter[p]
+        if p >= 0:
+            q = self.steps[p][word]
+            if self.size[q] != self.size[p] + 1:
+                copy = self._state(self.size[p] + 1, self.end[q], dict(self.steps[q]), self.shorter[q])
+                while p >= 0 and self.steps[p].get(word) == q:
+                    self.steps[p][word] = copy
+                    p = self.shorter[p]
+                self.shorter[q] = copy
+                q = copy
+            self.shorter[new] = q
+        return new
+
+    def longest(self, words: list[object]) -> Run | None:
+        """The longest run of ``words`` that occurs, of equally long ones the first, and its first place."""
+        state = length = 0
+        top: Run | None = None
+        for at, word in enumerate(words):
+            while state and word not in self.steps[state]:
+                state = self.shorter[state]
+                length = self.size[state]
+            state = self.steps[state].get(word, 0)
+            length = length + 1 if state else 0
+            if length and (top is None or length > top[2]):
+                top = (at - length + 1, self.end[state] - length + 1, length)
+        return top
+
+
 @lru_cache(maxsize=1 << 16)
-def cover(gold: tuple[str, ...], said: tuple[str, ...]) -> tuple[list[int], list[tuple[int, int] | None]]:
-    """Greedy cover by common n-grams, longest first: for gold tokens the number of their block or 0, for said ones (block, gold place) or None.
+def shared_runs(gold: tuple[str, ...], said: tuple[str, ...]) -> tuple[Run, ...]:
+    """A greedy cover of both lists by common runs, longest first, in the order in which they are found.
 
-    Of n-grams of one length the first in ``said`` counts, at its first place on either side.
+    Of runs of one length the first in ``said`` counts, at its first place in ``gold``; tokens that are covered take no part in later runs.
     """
+    out: list[Run] = []
+    left: list[object] = list(gold)
+    right: list[object] = list(said)
     if set(gold).isdisjoint(said):
-        return [0] * len(gold), [None] * len(said)
-    g: list[object] = list(gold)
-    s: list[object] = list(said)
-    block = 0
-    n = min(len(g), len(s))
-    while n:
-        hit = None
-        for a in range(len(s) - n + 1):
-            gram = s[a : a + n]
-            if any(not isinstance(x, str) for x in gram):
-                continue
-            b = next((b for b in range(len(g) - n + 1) if g[b : b + n] == gram), None)
-            if b is not None:
-                hit = (a, b)
-                break
-        if hit is None:
-            n -= 1
-            continue
-        block += 1
-        a, b = hit
-        for i in range(n):
-            s[a + i] = (block, b + i)
-            g[b + i] = block
-    return [x if isinstance(x, int) else 0 for x in g], [x if isinstance(x, tuple) else None for x in s]
+        return ()
+    while run := _Substrings(left).longest(right):
+        out.append(run)
+        s, g, n = run
+        # what is covered equals nothing any more, not even itself on the other side
+        left[g : g + n] = [("gold", g + k) for k in range(n)]
+        right[s : s + n] = [("said", s + k) for k in range(n)]
+    return tuple(out)
 
 
 def attribute_spans(gold: tuple[str, ...], said: tuple[str, ...], gold_tag: str, said_tag: str, base: int) -> tuple[bool, list[Span], list[Span], int]:
-    """Whether anything matches, spans of both sides from ``base``, and how many places they take."""
-    blocks, places = cover(gold, said)
-    hits = [i for i, p in enumerate(places) if p]
-    if not hits:
-        g = [(gold_tag, base, base + len(gold) - 1)] if gold else []
-        s = [(said_tag, base + len(gold), base + len(gold) + len(said) - 1)] if said else []
-        return False, g, s, len(gold) + len(said)
-    first, last = hits[0], hits[-1]
-    before = list(range(first)) if places[first][1] == 0 else []
-    ends = places[-1] is None and places[last][1] == len(gold) - 1
-    after = list(range(last + 1, len(said))) if ends else []
-    loose, number, seen = [], 1, set(before) | set(after)
-    for i, p in enumerate(places):
-        if p:
-            number += 1
-        elif i not in seen:
-            loose.append(-number)  # unmatched runs are told apart by what was matched before them
-    row = [places[first][0]] * len(before) + blocks + [places[last][0]] * len(after) + loose
-    spans: list[Span] = []
-    for i, b in enumerate(row):
-        if not b:
-            continue
-        if i and row[i - 1] == b:
-            spans[-1] = (said_tag, spans[-1][1], base + i)
-        else:
-            spans.append((said_tag, base + i, base + i))
-    start = base + len(before)
-    return True, [(gold_tag, start, start + len(gold) - 1)], spans, len(row)
+    """Whether anything matches, spans of both sides from ``base``, and how many places they take.
+
+    Places are the gold tokens', widened by said tokens that lead up to a run at gold's very start or follow one at its very end; each other stretch of said tokens between runs
+    comes behind them. Said spans are the runs, in gold's order, and those stretches.
+    """
+    runs = shared_runs(gold, said)
+    if not runs:
+        whole = [(gold_tag, base, base + len(gold) - 1)] if gold else []
+        other = [(said_tag, base + len(gold), base + len(gold) + len(said) - 1)] if said else []
+        return False, whole, other, len(gold) + len(said)
+    in_said = sorted(runs)
+    head, tail = in_said[0], in_said[-1]
+    lead = head[0] if head[1] == 0 else 0
+    rest = len(said) - (tail[0] + tail[2])
+    trail = rest if tail[1] + tail[2] == len(gold) else 0
+    start = base + lead
+    spans = []
+    for run in sorted(runs, key=lambda r: r[1]):
+        first, last = start + run[1], start + run[1] + run[2] - 1
+        spans.append((said_tag, first - lead * (run is head), last + trail * (run is tail)))
+    # stretches of said tokens before, between and behind the runs that no run has drawn to itself
+    edges = [0, *(x for s, _, n in in_said for x in (s, s + n)), len(said)]
+    gaps = [b - a for a, b in zip(edges[::2], edges[1::2])]
+    gaps[0] -= lead
+    gaps[-1] -= trail
+    at = start + len(gold) + trail
+    for gap in gaps:
+        if gap:
+            spans.append((said_tag, at, at + gap - 1))
+            at += gap
+    return True, [(gold_tag, start, start + len(gold) - 1)], spans, at - base
 
 
 def triple_spans(gold: tuple[str, str, str], said: tuple[str, str, str]) -> tuple[list[Span], list[Span]]:
@@ -156,27 +200,12 @@ def rates(counts: list[int], scheme: str) -> tuple[int, int, float, float, float
 
 
 def assignment(value: list[list[float]]) -> list[int]:
-    """The permutation with the largest sum; of equal ones the first in lexicographic order, exactly up to 12 rows.
+    """The permutation with the largest sum; of equal ones the first in lexicographic order.
 
-    Larger tables are solved by shortest augmenting paths, whose sum is the same.
+    Shortest augmenting paths give an optimum and potentials; the optima are the perfect matchings of the pairs that the potentials leave tight. From row to row the
+    first tight column is taken with which the rows below can still be matched.
     """
     n = len(value)
-    if n <= 12:
-
-        @cache
-        def best(i: int, left: int) -> tuple[float, tuple[int, ...]]:
-            if i == n:
-                return 0.0, ()
-            top: tuple[float, tuple[int, ...]] | None = None
-            for j in range(n):
-                if left >> j & 1:
-                    rest, tail = best(i + 1, left & ~(1 << j))
-                    if top is None or value[i][j] + rest > top[0] + 1e-12:
-                        top = (value[i][j] + rest, (j, *tail))
-            assert top is not None
-            return top
-
-        return list(best(0, (1 << n) - 1)[1])
     u, v, owner = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         owner[0], j0 = i, 0
@@ -202,10 +231,35 @@ def assignment(value: list[list[float]]) -> list[int]:
                 break
         while j0:
             owner[j0], j0 = owner[way[j0]], way[j0]
-    out = [0] * n
-    for j in range(1, n + 1):
-        out[owner[j] - 1] = j - 1
-    return out
+    tight = [[j for j in range(n) if -value[i][j] - u[i + 1] - v[j + 1] < 1e-9] for i in range(n)]
+    row_of = [owner[j + 1] - 1 for j in range(n)]
+    column_of = [0] * n
+    for j, i in enumerate(row_of):
+        column_of[i] = j
+
+    def moved(i: int, fixed: int, tried: set[int]) -> bool:
+        """Find row ``i`` another column, moving rows below ``fixed`` along."""
+        for j in tight[i]:
+            if j not in tried and row_of[j] > fixed:
+                tried.add(j)
+                if row_of[j] == n or moved(row_of[j], fixed, tried):
+                    row_of[j], column_of[i] = i, j
+                    return True
+        return False
+
+    for i in range(n):
+        for j in tight[i]:
+            if j == column_of[i]:
+                break
+            if row_of[j] < i:
+                continue
+            # row i takes column j; its own becomes free for the row that had j
+            other, free, before = row_of[j], column_of[i], (row_of[:], column_of[:])
+            row_of[j], column_of[i], row_of[free] = i, j, n
+            if moved(other, i, {j}):
+                break
+            row_of[:], column_of[:] = before
+    return column_of
 
 
 def score_entry(gold: list[tuple[str, str, str]], said: list[tuple[str, str, str]]) -> list[Scores]:

@@ -306,6 +306,37 @@ def semeval_align(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spans.system_scores_of(e.select(gold.alias("gold"), said.alias("said"))))
 
 
+#: One triple an entry, one word an attribute: a word matches in its own place, or crosswise between subject and object where neither has its own.
+WORDS_SQL = """WITH e AS (
+  SELECT 'k' || l_suppkey % 3 AS gs, l_returnflag || '1' AS gp, 'k' || l_partkey % 4 AS go, 'k' || l_partkey % 3 AS ss, CASE WHEN l_quantity > 25 THEN l_returnflag || '1' ELSE l_linestatus || '2' END AS sp, 'k' || l_suppkey % 4 AS so FROM lineitem
+), c AS (SELECT row_number() OVER () AS id, *, gs <> ss AND go <> so AND (gs = so OR go = ss) AS crossed FROM e
+), a AS (
+  SELECT id, 'SUB' AS gold_tag, CASE WHEN crossed THEN 'OBJ' ELSE 'SUB' END AS said_tag, gs = CASE WHEN crossed THEN so ELSE ss END AS hit FROM c
+  UNION ALL SELECT id, 'PRED', 'PRED', gp = sp FROM c
+  UNION ALL SELECT id, 'OBJ', CASE WHEN crossed THEN 'SUB' ELSE 'OBJ' END, go = CASE WHEN crossed THEN ss ELSE so END FROM c
+), k AS (SELECT unnest(['ent_type', 'partial', 'strict', 'exact']) AS scheme
+), n AS (
+  SELECT id, scheme, gold_tag AS tag, CASE WHEN NOT hit THEN 'missed' WHEN gold_tag = said_tag OR scheme IN ('partial', 'exact') THEN 'correct' ELSE 'incorrect' END AS what FROM a, k
+  UNION ALL SELECT id, scheme, said_tag, 'spurious' FROM a, k WHERE NOT hit
+), both_ AS (SELECT * FROM n UNION ALL SELECT id, scheme, 'all', what FROM n),
+per AS (
+  SELECT c.id, k.scheme, t.tag, count(*) FILTER (what = 'correct') AS cor, count(*) FILTER (what = 'incorrect') AS inc, count(*) FILTER (what = 'missed') AS mis, count(*) FILTER (what = 'spurious') AS spu
+  FROM c CROSS JOIN k CROSS JOIN (SELECT unnest(['all', 'SUB', 'PRED', 'OBJ']) AS tag) t LEFT JOIN both_ b ON b.id = c.id AND b.scheme = k.scheme AND b.tag = t.tag GROUP BY ALL
+), r AS (SELECT *, CASE WHEN cor + inc + spu > 0 THEN cor / (cor + inc + spu) ELSE 0 END AS p, CASE WHEN cor + inc + mis > 0 THEN cor / (cor + inc + mis) ELSE 0 END AS q FROM per)
+SELECT scheme, tag, sum(cor)::BIGINT AS correct, sum(inc)::BIGINT AS incorrect, 0::BIGINT AS partial, sum(mis)::BIGINT AS missed, sum(spu)::BIGINT AS spurious, sum(cor + inc + mis)::BIGINT AS possible,
+  sum(cor + inc + spu)::BIGINT AS actual, round(avg(p), 6) AS precision, round(avg(q), 6) AS recall, round(avg(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END), 6) AS f1 FROM r GROUP BY scheme, tag"""
+
+
+@query(WORDS_SQL)
+def semeval_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Span scores of all lines, one triple of words each, whose subjects and objects are often the other way round."""
+    word = lambda c, n: F.concat(F.lit("k"), (F.col(c) % n).cast("string"))
+    own = F.concat("l_returnflag", F.lit("1"))
+    gold = F.array(F.array(word("l_suppkey", 3), own, word("l_partkey", 4)))
+    said = F.array(F.array(word("l_partkey", 3), F.when(F.col("l_quantity") > 25, own).otherwise(F.concat("l_linestatus", F.lit("2"))), word("l_suppkey", 4)))
+    return rounded(spans.system_scores_of(table(spark, sf, "lineitem").select(gold.alias("gold"), said.alias("said"))))
+
+
 @query("SELECT doc_id, doc_id % 4 AS chunk FROM documents")
 def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return S.chunks_of(table(spark, sf, "documents").select("doc_id"), "doc_id", 4)
