@@ -1,6 +1,6 @@
 """Scoring of linked graphs against gold graphs: blank-node alignment, set counts, precision and recall.
 
-Triples are rows ``(doc_id, s, p, o)``. A term is a new node ("blank") if it begins with its side's prefix; the rest of the term is its id.
+Triples are rows ``(doc_id, s, p, o)``, or with further columns ``by``, each value of which is a graph of its own that is scored by itself. A term is a new node ("blank") if it begins with its side's prefix; the rest of the term is its id.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ PARTS = ("s", "p", "o")
 SENT = 500_000
 
 
-def split_blank(triples: DataFrame, prefix: str) -> DataFrame:
+By = tuple[str, ...]
+
+
+def split_blank(triples: DataFrame, prefix: str, by: By = ()) -> DataFrame:
     """Terms without the prefix, and flags ``sb``, ``pb``, ``ob`` for those that had it; the bag stays a bag."""
-    cols = ["doc_id"]
+    cols: list[str | Column] = [*by, "doc_id"]
     for c in PARTS:
         new = F.col(c).startswith(prefix)
         cols += [F.when(new, F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(F.col(c)).alias(c), new.alias(f"{c}b")]
@@ -34,29 +37,29 @@ def checked_gold(gold: DataFrame) -> DataFrame:
     return gold.withColumn("sb", F.when(blanks > 1, F.raise_error(text).cast("boolean")).otherwise(F.col("sb")))
 
 
-def blank_pairs(gold: DataFrame, system: DataFrame, local: bool) -> DataFrame:
+def blank_pairs(gold: DataFrame, system: DataFrame, local: bool, by: By = ()) -> DataFrame:
     """``([doc_id,] gold_blank, system_blank, n)``: in how many triples two blanks stand beside the same two terms.
 
     Both sides are sets of ``split_blank`` rows. Three equi-joins, one for each place of the blank.
     """
     found = []
     for c in PARTS:
-        same = ["doc_id", *(x for x in PARTS if x != c)]
+        same = [*by, "doc_id", *(x for x in PARTS if x != c)]
         left = gold.where(f"{c}b").select(*same, F.col(c).alias("gold_blank"))
         others = " AND ".join(f"NOT {x}b" for x in PARTS if x != c)
         right = system.where(f"{c}b AND {others}").select(*same, F.col(c).alias("system_blank"))
-        found.append(left.join(right, same).select("doc_id", "gold_blank", "system_blank"))
-    keys = (["doc_id"] if local else []) + ["gold_blank", "system_blank"]
+        found.append(left.join(right, same).select(*by, "doc_id", "gold_blank", "system_blank"))
+    keys = [*by] + (["doc_id"] if local else []) + ["gold_blank", "system_blank"]
     return reduce(DataFrame.unionAll, found).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False) -> DataFrame:
+def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False, by: By = ()) -> DataFrame:
     """``([doc_id,] system_blank, gold_blank)``: each system blank's most frequent partner, ties by the smaller gold id.
 
     As the scores to match have it, one gold blank may receive several system blanks. ``strict_one_to_one`` keeps, of those, the most
     frequent only.
     """
-    scope = ["doc_id"] if local else []
+    scope = [*by] + (["doc_id"] if local else [])
     w = Window.partitionBy(*scope, "system_blank").orderBy(F.desc("n"), "gold_blank")
     out = pairs.withColumn("rank", F.row_number().over(w)).where("rank = 1")
     if strict_one_to_one:
@@ -65,7 +68,7 @@ def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False) -> Dat
     return out.select(*scope, "system_blank", "gold_blank")
 
 
-def renamed(system: DataFrame, alignment: DataFrame, local: bool) -> DataFrame:
+def renamed(system: DataFrame, alignment: DataFrame, local: bool, by: By = ()) -> DataFrame:
     """System triples with aligned blanks under their gold names; two triples may become one, so repeats are possible.
 
     Up to ``SENT`` aligned blanks, which is counted, go to the tasks, and triples stay where they are. With more, triples meet them in a shuffle; terms
@@ -79,15 +82,15 @@ def renamed(system: DataFrame, alignment: DataFrame, local: bool) -> DataFrame:
         to = alignment.select(*(F.col(x).alias(f"_{x}") for x in alignment.columns))
         out = out.withColumn("_key", F.when(F.col(f"{c}b"), F.col(c)).otherwise(apart))
         on = F.col("_key") == F.col("_system_blank")
-        if local:
-            on = on & (F.col("doc_id") == F.col("_doc_id"))
+        for x in (*by, "doc_id") if local else by:
+            on = on & (F.col(x) == F.col(f"_{x}"))
         out = out.join(F.broadcast(to) if few else to.hint("merge"), on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop("_key", *to.columns)
-    return out.select("doc_id", *PARTS)
+    return out.select(*by, "doc_id", *PARTS)
 
 
-def kg_nodes(*graphs: DataFrame) -> DataFrame:
+def kg_nodes(*graphs: DataFrame, by: By = ()) -> DataFrame:
     """All terms of all documents that aren't blank, each once."""
-    rows = [g.select(F.explode(F.array(*[F.when(~F.col(f"{c}b"), F.col(c)) for c in PARTS])).alias("node")) for g in graphs]
+    rows = [g.select(*by, F.explode(F.array(*[F.when(~F.col(f"{c}b"), F.col(c)) for c in PARTS])).alias("node")) for g in graphs]
     return reduce(DataFrame.unionAll, rows).where("node IS NOT NULL").distinct()
 
 
@@ -104,27 +107,27 @@ def _sums(extra: Column | None = None) -> list[Column]:
     ]
 
 
-def counts(gold: DataFrame, mapped: DataFrame, nodes: DataFrame) -> DataFrame:
+def counts(gold: DataFrame, mapped: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
     """``(label, tp, fp, fn)`` for triple, entity and relation, and the last two split into known and new nodes; both sides count as sets."""
     both = (
-        gold.select("doc_id", *PARTS, F.lit(True).alias("g"), F.lit(False).alias("y"))
-        .unionAll(mapped.select("doc_id", *PARTS, F.lit(False).alias("g"), F.lit(True).alias("y")))
+        gold.select(*by, "doc_id", *PARTS, F.lit(True).alias("g"), F.lit(False).alias("y"))
+        .unionAll(mapped.select(*by, "doc_id", *PARTS, F.lit(False).alias("g"), F.lit(True).alias("y")))
     )
     # the one shuffle of whole triples; terms are read from its result
-    met = cut(_confusion(both, ["doc_id", *PARTS]))
-    triples = met.agg(*_sums()).select(F.lit("triple").alias("label"), "tp", "fp", "fn")
+    met = cut(_confusion(both, [*by, "doc_id", *PARTS]))
+    triples = met.groupBy(*by).agg(*_sums()).select(*by, F.lit("triple").alias("label"), "tp", "fp", "fn")
     terms = met.select(
-        "doc_id", "g", "y",
+        *by, "doc_id", "g", "y",
         F.explode(F.array(
             F.struct(F.lit("entity").alias("kind"), F.col("s").alias("x")),
             F.struct(F.lit("entity").alias("kind"), F.col("o").alias("x")),
             F.struct(F.lit("relation").alias("kind"), F.col("p").alias("x")),
         )).alias("t"),
-    ).select("doc_id", "g", "y", "t.kind", "t.x")
-    each = _confusion(terms, ["doc_id", "kind", "x"]).join(nodes.select(F.col("node").alias("x"), F.lit("kg").alias("known")), "x", "left")
-    split = each.groupBy("kind", F.coalesce("known", F.lit("nil")).alias("known")).agg(*_sums())
-    whole = split.groupBy(F.col("kind").alias("label")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    return triples.unionAll(whole).unionAll(split.select(F.concat_ws("_", "known", "kind").alias("label"), "tp", "fp", "fn"))
+    ).select(*by, "doc_id", "g", "y", "t.kind", "t.x")
+    each = _confusion(terms, [*by, "doc_id", "kind", "x"]).join(nodes.select(*by, F.col("node").alias("x"), F.lit("kg").alias("known")), [*by, "x"], "left")
+    split = each.groupBy(*by, "kind", F.coalesce("known", F.lit("nil")).alias("known")).agg(*_sums())
+    whole = split.groupBy(*by, F.col("kind").alias("label")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    return triples.unionAll(whole).unionAll(split.select(*by, F.concat_ws("_", "known", "kind").alias("label"), "tp", "fp", "fn"))
 
 
 def prf(rows: DataFrame) -> DataFrame:
@@ -151,20 +154,20 @@ def length_ratio(gold: DataFrame, system: DataFrame) -> DataFrame:
     )
 
 
-def prepared(gold: DataFrame, system: DataFrame, system_prefix: str = NEW_PREFIX) -> tuple[DataFrame, DataFrame]:
+def prepared(gold: DataFrame, system: DataFrame, system_prefix: str = NEW_PREFIX, by: By = ()) -> tuple[DataFrame, DataFrame]:
     """Both sides as sets of split triples, cut from their sources: every later step reads them several times."""
-    g = cut(checked_gold(split_blank(gold, GOLD_PREFIX)).distinct())
-    return g, cut(split_blank(system, system_prefix).distinct())
+    g = cut(checked_gold(split_blank(gold, GOLD_PREFIX, by)).distinct())
+    return g, cut(split_blank(system, system_prefix, by).distinct())
 
 
-def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str = NEW_PREFIX, strict_one_to_one: bool = False) -> DataFrame:
-    """``(label, tp, fp, fn, precision, recall, f1)`` for seven labels.
+def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str = NEW_PREFIX, strict_one_to_one: bool = False, by: By = ()) -> DataFrame:
+    """``([by...,] label, tp, fp, fn, precision, recall, f1)`` for seven labels.
 
-    ``local`` aligns blanks within each document, else over all documents together. Documents pair up by ``doc_id``.
+    ``local`` aligns blanks within each document, else over all documents together. Documents pair up by ``doc_id``. With ``by`` many graphs are scored at once, each by itself.
     """
-    g, y = prepared(gold, system, system_prefix)
-    alignment = align(blank_pairs(g, y, local), local, strict_one_to_one)
-    return prf(counts(g, renamed(y, alignment, local), kg_nodes(g, y)))
+    g, y = prepared(gold, system, system_prefix, by)
+    alignment = align(blank_pairs(g, y, local, by), local, strict_one_to_one, by)
+    return prf(counts(g, renamed(y, alignment, local, by), kg_nodes(g, y, by=by), by))
 
 
 def macro_triple_prf(gold: DataFrame, system: DataFrame) -> DataFrame:
@@ -180,17 +183,41 @@ def macro_triple_prf(gold: DataFrame, system: DataFrame) -> DataFrame:
     )
 
 
-def descendants(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``node``: everything reachable from ``start`` (column node) along ``(src, dst)``, start included; cycles are fine."""
-    seen = cut(start.select("node").distinct())
-    front = seen
-    for _ in range(max_rounds):
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti"))
+def closure(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, int]:
+    """``node``: everything reachable from ``start`` (column node) along ``(src, dst)``, start included; and the number of rounds.
+
+    Nodes with one way out are followed by jumps of 1, 2, 4 ... steps, so a chain takes rounds in the logarithm of its length; cycles end, as nothing new is found. Only where ways part a round is
+    one step, from the nodes found last. Null ends lead nowhere.
+    """
+    ways = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    out = ways.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"))
+    jumps = [cut(out.where("n = 1").select("src", "dst"))]
+    forks = cut(ways.join(out.where("n > 1").select("src"), "src", "left_semi"))
+    seen = front = cut(start.select("node").distinct())
+    rounds = 0
+    while True:
+        # all that chains reach from the front: after jumps of 1, 2, ... 2^i steps nothing nearer than 2^(i+1) is missing
+        level = 0
+        while True:
+            if level == len(jumps):
+                far = jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+                jumps.append(cut(jumps[-1].join(far, "dst").select("src", F.col("end").alias("dst"))))
+            rounds += 1
+            new = cut(front.join(jumps[level], F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+            if new.isEmpty():
+                break
+            seen, front = cut(seen.unionAll(new)), cut(front.unionAll(new))
+            level += 1
+        rounds += 1
+        front = cut(front.join(forks, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
-            return seen
+            return seen, rounds
         seen = cut(seen.unionAll(front))
-    raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
+
+
+def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``node``: everything reachable from ``start`` (column node), start included."""
+    return closure(edges, start)[0]
 
 
 def reachable_overlap(edges: DataFrame, gold: DataFrame, system: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ strings, ``m:`` or ``e:`` and an id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators.graph import connected_components
@@ -40,32 +40,46 @@ def validity(comps: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.col("entities") <= 1)
 
 
-def best_paths(edges: DataFrame, sources: DataFrame, floor: float = 0.0, max_rounds: int = 50) -> DataFrame:
+def best_paths(edges: DataFrame, sources: DataFrame, floor: float | Column = 0.0) -> DataFrame:
     """``(node, source, score)``: for each node the source with the largest product of weights along a path; ties by source.
 
-    Rounds of relaxation; paths at ``floor`` or below are dropped, as no continuation can rise above it.
+    Relaxation from the nodes that changed last, until none does: only these are joined with their edges and with what is known of their neighbours, and what changed is put down beside
+    the earlier rounds instead of rewriting them (the rounds are merged now and then). Paths at ``floor`` or below, a number or an expression of ``node``, are dropped, as no continuation can rise above it.
     """
+    floor = floor if isinstance(floor, Column) else F.lit(float(floor))
     both = cut(edges.select("a", "b", "weight").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    best = cut(sources.select("node", F.col("node").alias("source"), F.lit(1.0).alias("score")))
-    front = best
-    for _ in range(max_rounds):
+    front = cut(sources.select("node", F.col("node").alias("source"), F.lit(1.0).alias("score")))
+    known = [front]
+    while True:
         step = (
             front.join(both, F.col("node") == F.col("a"))
             .select(F.col("b").alias("node"), "source", F.round(F.col("score") * F.col("weight"), 12).alias("score"))
             .where((F.col("score") > floor) & ~F.col("node").startswith("e:"))
         )
-        w = Window.partitionBy("node").orderBy(F.desc("score"), "source")
-        merged = best.unionAll(step).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-        new = cut(merged)
-        front = cut(new.join(best, ["node", "source", "score"], "left_anti"))
-        best = new
+        step = step.groupBy("node").agg(F.max("score").alias("score"), F.min_by("source", F.struct(-F.col("score"), "source")).alias("source"))
+        held = known[0]
+        for k in known[1:]:
+            held = held.unionAll(k)
+        old = held.join(step.select("node"), "node", "left_semi").groupBy("node").agg(F.max("score").alias("old"), F.min_by("source", F.struct(-F.col("score"), "source")).alias("old_source"))
+        better = (F.col("old").isNull()) | (F.col("score") > F.col("old")) | ((F.col("score") == F.col("old")) & (F.col("source") < F.col("old_source")))
+        front = cut(step.join(old, "node", "left").where(better).select("node", "source", "score"))
         if front.isEmpty():
-            return best
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+            return _best(held)
+        known.append(front)
+        if len(known) > MERGED:
+            known = [cut(_best(held.unionAll(front)))]
 
 
-def clusters(edges: DataFrame, nodes: DataFrame, path_threshold: float = 0.75) -> DataFrame:
-    """``(node, cluster, entity)`` of all mentions.
+#: Rounds of ``best_paths`` that are kept side by side.
+MERGED = 8
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.min_by("source", F.struct(-F.col("score"), "source")).alias("source"), F.max("score").alias("score"))
+
+
+def clusters(edges: DataFrame, nodes: DataFrame, path_threshold: float | Column = 0.75) -> DataFrame:
+    """``(node, cluster, entity)`` of all mentions; ``path_threshold`` is a number or an expression of ``node``.
 
     Valid components are clusters. In others each mention joins the entity of its best path if that scores strictly above
     ``path_threshold``; the remaining mentions form the components of what they induce.

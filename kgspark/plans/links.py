@@ -9,6 +9,7 @@ from kgspark.names import NEW_ENTITY
 from kgspark.operators import linking as L
 from kgspark.operators import vectors as V
 from kgspark.operators.graphindex import GraphIndex
+from kgspark.plans import pipeline as K
 from kgspark.plans.graphs import rounded
 from kgspark.plans.registry import query, table
 from kgspark.session import cut, fresh_dir
@@ -181,3 +182,27 @@ def grid_tune(spark: SparkSession, sf: str) -> DataFrame:
     b = pairs.groupBy("mm_threshold").agg(F.count_distinct("x", "y").alias("mm_edges"))
     points = spark.createDataFrame([(x, y) for x in GRID_ME for y in GRID_MM], "me_threshold double, mm_threshold double")
     return points.join(a, "me_threshold", "left").join(b, "mm_threshold", "left").fillna(0, ["me_edges", "mm_edges"])
+
+
+GRID = [(a, b, c) for a in GRID_ME for b in GRID_MM for c in (0.1, 0.12, 0.15)]
+
+
+def grid_input(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Odd vectors as mentions, ten numbers to a document, with scored neighbours; triples chain a document's mentions, and gold names a mention's nearest graph element, or its label as new where that is far."""
+    m = store(spark, sf, 1).select("id", F.floor(F.col("id") / 10).alias("doc_id"), F.concat(F.lit("v"), F.col("id")).alias("entity"), (F.col("id") % 10).cast("long").alias("ent_pos"))
+    me, mm = scored(spark, sf)
+    wide = lambda c: F.lpad(c, 19, "0").alias(c)
+    me, mm = cut(me.select(wide("mention"), "entity", "score")), cut(mm.select(wide("m1"), wide("m2"), "score", "ord"))
+    triples = m.where("ent_pos < 9").select("doc_id", F.col("ent_pos").alias("pos"), F.col("entity").alias("subj"), F.lit("next").alias("rel"), F.concat(F.lit("v"), F.col("id") + 2).alias("obj"))
+    known = spark.createDataFrame([("http://kg/next", "next", "stands before")], "uri string, label string, definition string")
+    best = me.groupBy("mention").agg(F.max_by("entity", "score").alias("near"), F.max("score").alias("score"))
+    named = m.join(best, F.lpad(F.col("id").cast("string"), 19, "0") == F.col("mention"), "left").select("doc_id", "entity", "near", (F.coalesce("score", F.lit(0.0)) < 0.35).alias("far"))
+    side = lambda c: named.select("doc_id", F.col("entity").alias(c), F.when(F.col("far"), F.concat(F.lit("_:"), "near")).otherwise(F.col("near")).alias(f"{c}_id"), F.col("far").alias(f"{c}_far"))
+    gold = triples.join(side("subj"), ["doc_id", "subj"]).join(side("obj"), ["doc_id", "obj"]).where("NOT (subj_far AND obj_far)")
+    return cut(m), me, mm, triples, known, gold.select("doc_id", F.col("subj_id").alias("s"), F.lit("http://kg/next").alias("p"), F.col("obj_id").alias("o"))
+
+
+@query()
+def grid_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 of triples and entities at 27 points of the three thresholds, clustered, linked and scored together."""
+    return rounded(K.tuned(*grid_input(spark, sf), GRID))
