@@ -6,6 +6,7 @@ use, and gets whole Arrow batches, so prompts are generated in batches.
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import re
 import time
@@ -63,10 +64,28 @@ class SameInitial:
 
     @staticmethod
     def _one(prompt: str) -> str:
-        initial = re.findall(r"^Definition: (?:.* )?(\S)\S*$", prompt, re.M)
-        choices = re.findall(r"^(.)\. (.+)$", prompt, re.M)
-        fitting = [(text, letter) for letter, text in choices[:-1] if initial and text[0] == initial[-1]]
-        return min(fitting)[1] if fitting else choices[-1][0]
+        question = prompt.rpartition("\nDefinition: ")[2].split("\n")
+        initial = question[0].split()[-1:] and question[0].split()[-1][0]
+        choices = [(line[3:], line[0]) for line in question if line[1:3] == ". "]
+        fitting = [c for c in choices[:-1] if initial and c[0].startswith(initial)]
+        return min(fitting)[1] if fitting else choices[-1][1]
+
+
+class EchoCompleter(RuleCompleter):
+    """``RuleCompleter`` that takes hints at their word: extraction adds a triple of the first and last known entity and the first known relation, lists are merged, definitions end in their relation."""
+
+    @staticmethod
+    def _one(prompt: str) -> str:
+        said = RuleCompleter._one(prompt)
+        if m := re.search(r"Triples to define: (.*)", prompt):
+            return "\n".join(f"- {r}: what is meant by {r}" for r in dict.fromkeys(re.findall(r"'([^']*)'", m[1])[1::3]))
+        if lists := re.findall(r"^List [12]: (\[.*\])$", prompt, re.M):
+            return str(list(dict.fromkeys(x for one in lists for x in ast.literal_eval(one))))
+        known = [re.search(rf"^Known {kind}: (.*)$", prompt, re.M) for kind in ("entities", "relations")]
+        if prompt.endswith("Triples:") and all(m and m[1] not in ("", "None") for m in known):
+            entities, relations = (sorted(m[1].split(", ")) for m in known)
+            return str([*ast.literal_eval(said), [entities[0], relations[0], entities[-1]]])
+        return said
 
 
 class HashEmbedder:
