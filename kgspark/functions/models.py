@@ -76,7 +76,7 @@ class EchoCompleter(RuleCompleter):
 
     @staticmethod
     def _one(prompt: str) -> str:
-        said = RuleCompleter._one(prompt)
+        said = RuleCompleter._one(re.sub(r"^A\. ", "A.", prompt, flags=re.M))  # it is never asked for a choice: that is a line of the text
         if m := re.search(r"Triples to define: (.*)", prompt):
             return "\n".join(f"- {r}: what is meant by {r}" for r in dict.fromkeys(re.findall(r"'([^']*)'", m[1])[1::3]))
         if lists := re.findall(r"^List [12]: (\[.*\])$", prompt, re.M):
