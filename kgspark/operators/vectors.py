@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgspark.session import cut
+
 #: Rows of a block: a product of two blocks is one task's unit of work.
 BLOCK = 1024
 
@@ -36,15 +40,30 @@ def _blocks(df: DataFrame, id_col: str, count: int) -> Column:
 def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, self_score: float | None = None, before: bool = False) -> DataFrame:
     """Exact top-k inner products: ``(query_id, cand_id, score, rank)``; ties by ascending candidate id.
 
-    Both sides are (id, embedding). Each is dealt into blocks of about 1,024 rows, every pair of blocks is one dense product, of
-    which each query's ``k`` best remain; those are merged by rank. ``exclude_self`` drops candidates of the query's own id; with
+    Both sides are (id, embedding). Each is dealt into blocks of about 1,024 rows, a pair of blocks is one dense product, of
+    which each query's ``k`` best remain; those are merged by rank. Beyond ``ALL_PAIRS`` pairs, only those that bounds can't rule out are multiplied. ``exclude_self`` drops candidates of the query's own id; with
     ``self_score`` they stay, at that score, so that few candidates are filled up by the query itself. With ``before`` both sides have a number ``at`` and queries a
     ``floor``: only candidates of a smaller number and a score strictly above the floor count. Rows without a vector find nothing and aren't found.
     """
     queries, base = queries.where("embedding IS NOT NULL"), base.where("embedding IS NOT NULL")
     n_q, n_b = (max(1, -(-df.count() // BLOCK)) for df in (queries, base))
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), *(["at", "floor"] if before else []), _blocks(queries, "id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("bb"))
-    b = base.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), *(["at"] if before else []), _blocks(base, "id", n_b).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    product = _product(k, exclude_self, self_score, before)
+    if n_q * n_b > ALL_PAIRS:
+        return bounded_top_k(queries, base, k, product, self_score, before)[0]
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), *([F.col("at").alias("at"), "floor"] if before else []), _blocks(queries, "id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("bb"))
+    b = base.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), *([F.col("at").alias("at")] if before else []), _blocks(base, "id", n_b).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    return ranked(q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(product, HITS), ["query_id"], k)
+
+
+#: Pairs of blocks up to which all are multiplied; beyond, blocks are made of near vectors, and bounds say which pairs matter. Both give the same.
+ALL_PAIRS = 64
+#: Vectors around which blocks are made, at most: they pass the driver.
+PIVOTS = 1024
+HITS = "query_id long, cand_id long, score double"
+
+
+def _product(k: int, exclude_self: bool, self_score: float | None, before: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The ``k`` best of a block of candidates for each of a block of queries; a query's ``known`` is a score that it needs at least, if there is one."""
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -56,15 +75,113 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = Fals
             score[qi[:, None] == ci] = -np.inf if self_score is None else self_score
         if before:
             score[(right["at"].to_numpy() >= left["at"].to_numpy()[:, None]) | (score <= left["floor"].to_numpy()[:, None])] = -np.inf
+        if "known" in left.columns:
+            score[score < left["known"].to_numpy()[:, None] - SLACK] = -np.inf
         order = np.lexsort((np.broadcast_to(ci, score.shape), -score), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(qi)), order.shape[1])
         flat = order.ravel()
         out = pd.DataFrame({"query_id": qi[rows], "cand_id": ci[flat], "score": score[rows, flat]})
         return out[out["score"] > -np.inf]
 
-    schema = "query_id long, cand_id long, score double"
-    part = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(product, schema)
-    return ranked(part, ["query_id"], k)
+    return product
+
+
+#: What rounding may take from a product, at most.
+SLACK = 1e-9
+
+
+def _near_blocks(df: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
+    """``df`` with ``blk``: vectors of the nearest pivot, in lots of about ``block``."""
+    norms = (pivots * pivots).sum(axis=1)
+
+    @F.pandas_udf(T.IntegerType())
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return pd.Series((norms - 2 * (x @ pivots.T)).argmin(axis=1).astype(np.int32))
+
+    celled = cut(df.withColumn("cell", nearest("embedding")))
+    lots = celled.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("lots"))  # a row a pivot
+    return celled.join(F.broadcast(lots), "cell").withColumn("blk", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("lots"))).drop("cell", "lots")
+
+
+def _stats(rows: DataFrame, before: bool) -> DataFrame:
+    """A row a block: centre, radius, and the smallest and largest ``at``."""
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(df["embedding"].to_numpy()).astype(np.float64)
+        centre = x.mean(axis=0)
+        at = df["at"] if before else pd.Series([0])
+        return pd.DataFrame({"blk": [df["blk"].iloc[0]], "centre": [centre], "radius": [float(np.linalg.norm(x - centre, axis=1).max())], "first": [int(at.min())], "last": [int(at.max())]})
+
+    return rows.groupBy("blk").applyInPandas(one, "blk long, centre array<double>, radius double, first long, last long")
+
+
+def bounded_top_k(queries: DataFrame, base: DataFrame, k: int, product: Callable, self_score: float | None = None, before: bool = False, block: int = BLOCK) -> tuple[DataFrame, int, int]:
+    """``top_k`` where bounds leave out pairs of blocks: the result, how many pairs were multiplied and how many there are.
+
+    Blocks are made of vectors around the same pivot. Each block of queries is first multiplied with the block whose centre has the largest product with its own, which gives each query a k-th best so
+    far. No product of two blocks exceeds what centres and radii allow, so only pairs that may reach the least of their queries' k-th best are shipped and multiplied. Block
+    statistics meet in lots of about a thousand; of their pairs only those that matter leave a task.
+    """
+    sample = base.orderBy(F.xxhash64("id")).limit(max(1, min(PIVOTS, -(-base.count() // block)))).select("embedding").collect()
+    pivots = np.array([r.embedding for r in sample], dtype=np.float64)
+    q, b = (cut(_near_blocks(df, pivots, block)) for df in (queries, base))
+    sq, sb = (cut(_stats(df, before)) for df in (q, b))
+    n_q, n_b = sq.count(), sb.count()
+    lots_q, lots_b = -(-n_q // 1000), -(-n_b // 1000)
+    lot = lambda n: F.pmod(F.xxhash64("blk"), F.lit(n).cast("long"))
+    right = sb.select("*", lot(lots_b).alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots_q - 1).cast("long"))).alias("lq"))
+
+    def bounds(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        a, c = (np.stack(s["centre"].to_numpy()) for s in (x, y))
+        ra, rc = (s["radius"].to_numpy() for s in (x, y))
+        na, nc = (np.linalg.norm(s, axis=1) for s in (a, c))
+        middle = a @ c.T
+        top = middle + ra[:, None] * nc + na[:, None] * rc + ra[:, None] * rc + SLACK
+        if self_score is not None:
+            top = np.maximum(top, self_score)
+        if before:
+            top[y["first"].to_numpy() >= x["last"].to_numpy()[:, None]] = -np.inf
+        return middle, top
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"qb": pd.Series(dtype="int64"), "bb": pd.Series(dtype="int64"), "middle": pd.Series(dtype="float64")})
+        middle, top = bounds(x, y)
+        middle = np.where(top > -np.inf, middle, -1e300)
+        at = middle.argmax(axis=1)
+        return pd.DataFrame({"qb": x["blk"], "bb": y["blk"].to_numpy()[at], "middle": middle[np.arange(len(x)), at]})
+
+    def open_pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"qb": pd.Series(dtype="int64"), "bb": pd.Series(dtype="int64")})
+        _, top = bounds(x, y)
+        i, j = np.nonzero((top >= x["least"].to_numpy()[:, None]) & (top > -np.inf) & (y["blk"].to_numpy() != x["seed"].to_numpy()[:, None]))
+        return pd.DataFrame({"qb": x["blk"].to_numpy()[i], "bb": y["blk"].to_numpy()[j]})
+
+    def met(left: DataFrame, work: Callable, schema: str) -> DataFrame:
+        return left.groupBy("lq", "lb").cogroup(right.groupBy("lq", "lb")).applyInPandas(work, schema)
+
+    def dealt(s: DataFrame) -> DataFrame:
+        return s.select("*", lot(lots_q).alias("lq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots_b - 1).cast("long"))).alias("lb"))
+
+    qs = q.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), *([F.col("at").alias("at"), "floor"] if before else []), F.col("blk").alias("qb"))
+    bs = b.select(F.col("id").alias("cand_id"), F.col("embedding").alias("b"), *([F.col("at").alias("at")] if before else []), F.col("blk").alias("bb"))
+
+    def multiplied(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        x = asked.join(pairs.hint("merge"), "qb")
+        y = bs.join(pairs.select(F.col("qb").alias("of"), "bb").hint("merge"), "bb").withColumnRenamed("of", "qb")
+        return x.groupBy("qb", "bb").cogroup(y.groupBy("qb", "bb")).applyInPandas(product, HITS)
+
+    seeds = cut(met(dealt(sq), nearest, "qb long, bb long, middle double").groupBy("qb").agg(F.max_by("bb", "middle").alias("bb")))
+    first = cut(ranked(multiplied(seeds, qs), ["query_id"], k).drop("rank"))
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    floor = F.coalesce(F.col("floor"), F.lit(float("-inf"))) if before else F.lit(float("-inf"))
+    asked = cut(qs.join(kth, "query_id", "left").withColumn("known", F.greatest(F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("-inf"))), floor)).drop("n", "worst"))
+    least = asked.groupBy(F.col("qb").alias("blk")).agg(F.min("known").alias("least")).join(seeds.select(F.col("qb").alias("blk"), F.col("bb").alias("seed")), "blk")
+    pairs = cut(met(dealt(sq.join(least, "blk")), open_pairs, "qb long, bb long"))
+    rest = multiplied(pairs, asked)
+    return ranked(first.unionAll(rest), ["query_id"], k), n_q + pairs.count(), n_q * n_b
 
 
 def top_k_two_stores(queries: DataFrame, opened: DataFrame, known: DataFrame, k: int) -> DataFrame:

@@ -59,6 +59,12 @@ def topk_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.top_k(m, m, 10, self_score=-1.0))
 
 
+@query(f"WITH {ME_SQL} SELECT query_id, cand_id, round(score, 6) AS score, rank::INT AS rank FROM me")
+def topk_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-10 over blocks of 64 near vectors, of which bounds leave out pairs where they can."""
+    return rounded(V.bounded_top_k(store(spark, sf, 1), store(spark, sf, 0), 10, V._product(10, False, None, False), block=64)[0])
+
+
 @query(f"WITH {ME_SQL} SELECT query_id, cand_id, round(score, 6) AS score FROM me WHERE rank = 1 AND score > {ME}")
 def argmax_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.argmax_above(V.top_k(store(spark, sf, 1), store(spark, sf, 0), 10), ["query_id"], ME, "cand_id").drop("rank"))
