@@ -68,11 +68,11 @@ def dataset_json_array(spark: SparkSession, sf: str) -> DataFrame:
     return _dataset_rows(R.dataset(spark, path))
 
 
-@query("SELECT md5(text) AS text, '[''a'', ''b \"' || doc_id || '\"'']' AS triplets, lang AS relations, 'x, ' || doc_id || chr(10) || 'y' AS definitions FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT contains(text, chr(13))")
+@query("SELECT md5(text) AS text, '[''a'', ''b \"' || doc_id || '\"'']' AS triplets, lang AS relations, 'x, ' || doc_id || chr(10) || 'y' AS definitions FROM documents")
 def definitions_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with quotes and line ends through a CSV file with header."""
+    """All texts, with their quotes and line ends, through a CSV file with header."""
     path = fresh_dir(spark, "definitions")
-    d = table(spark, sf, "documents").where("text IS NOT NULL AND text <> '' AND NOT contains(text, char(13))")
+    d = table(spark, sf, "documents")
     rows = d.select("text", F.concat(F.lit("['a', 'b \""), "doc_id", F.lit("\"']")).alias("triplets"), F.col("lang").alias("relations"), F.concat(F.lit("x, "), "doc_id", F.lit("\ny")).alias("definitions"))
     K.definitions_csv(rows, path)
     return R.definitions_csv(spark, path).withColumn("text", F.md5("text"))

@@ -96,7 +96,10 @@ def last_by_label(schema: DataFrame) -> DataFrame:
 
 
 def definitions_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DEFINITIONS).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """Rows of a file with header; quoted fields keep their line ends and white space, empty ones are empty texts."""
+    return spark.read.schema(DEFINITIONS).csv(
+        path, header=True, multiLine=True, quote='"', escape='"', lineSep="\n", nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

@@ -32,7 +32,10 @@ def relation_csv(schema: DataFrame, path: str) -> None:
 
 
 def definitions_csv(rows: DataFrame, path: str) -> None:
-    rows.select("text", "triplets", "relations", "definitions").write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
+    """All fields quoted, so that texts come back as they are: with line ends of any kind, white space at their ends, or empty. A null is a NUL character alone."""
+    rows.select("text", "triplets", "relations", "definitions").write.mode("errorifexists").csv(
+        path, header=True, quote='"', escape='"', quoteAll=True, nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def entries_xml(rows: DataFrame, path: str) -> None:
