@@ -94,12 +94,12 @@ def set_text(xs: Column) -> Column:
     return F.when(F.size(each) == 0, F.lit("set()")).otherwise(F.concat(F.lit("{"), F.array_join(F.transform(each, quoted), ", "), F.lit("}")))
 
 
-def lettered_choices(options: Column) -> Column:
-    """``A. '...'`` lines and a last letter for none; behind Z come the characters that follow it, up to U+00FF, and more than 190 options are refused."""
+def lettered_choices(options: Column, most: int = 25) -> Column:
+    """``A. '...'`` lines and a last letter for none; more than ``most`` options are refused. Behind Z come the characters that follow it, which reach to 190 options."""
     letter = lambda i: F.char(F.lit(65) + i)
     lines = F.transform(options, lambda o, i: F.concat(letter(i), F.lit(". "), o))
     all_ = F.concat(lines, F.array(F.concat(letter(F.size(options)), F.lit(f". {NONE_TEXT}"))))
-    return F.when(F.size(options) > 190, F.raise_error(F.lit("more choices than letters")).cast("string")).otherwise(F.array_join(all_, "\n"))
+    return F.when(F.size(options) > most, F.raise_error(F.lit("more choices than letters")).cast("string")).otherwise(F.array_join(all_, "\n"))
 
 
 def numbered_candidates(options: Column) -> Column:

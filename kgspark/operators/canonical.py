@@ -46,7 +46,7 @@ def _with_hints(rows: DataFrame, hints: DataFrame | None) -> DataFrame:
 def _verified(verifier: M.Completer, candidates: Column, asked: Column) -> Column:
     """The candidate that the verifier names for a row's text, triple and definition, where it is ``asked``."""
     triple = X.list_text(F.array("subj", "rel", "obj"))
-    prompt = X.fill(VERIFY, text=F.col("text"), triple=triple, definition=F.col("definition"), choices=X.lettered_choices(candidates))
+    prompt = X.fill(VERIFY, text=F.col("text"), triple=triple, definition=F.col("definition"), choices=X.lettered_choices(candidates, 190))
     answer = M.complete(verifier, F.when(asked, prompt), 5)
     return F.try_element_at(candidates, X.chosen_letter(answer, F.size(candidates)) + 1)
 

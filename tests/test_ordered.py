@@ -139,3 +139,17 @@ def test_query_like_one_by_one(spark):
     want, added = strict_verified_by_hand(rows, list(T.PART_OPEN), list(T.PART_KNOWN), M.HashEmbedder(16), 2)
     got = {(r.doc_id, 0): r.rel for r in T.strict_verified_fold(spark, sf).collect()}
     assert got == want and added and len(set(want.values())) > len(added) + 1
+
+
+def test_more_candidates_than_letters(spark):
+    """All of thirty hints are offered, also those behind Z."""
+    hints = [f"{chr(97 + i % 26)}{i}" for i in range(30)] + ["zebra"]
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    triples = spark.createDataFrame([(1, 0, "s", "new", "o")], "doc_id long, pos long, subj string, rel string, obj string")
+    definitions = spark.createDataFrame([(1, "new", "means zoo")], "doc_id long, rel string, definition string")
+    known = spark.createDataFrame([("u", "other", "is other")], "uri string, label string, definition string")
+    opened = spark.createDataFrame([], "label string, definition string, ord long")
+    given = spark.createDataFrame([(1, hints)], "doc_id long, hints array<string>")
+    want = min(h for h in hints if h[0] == "z")
+    assert [r.rel for r in C.canonicalize(docs, triples, definitions, opened, known, M.HashEmbedder(8), M.SameInitial(), given)[0].collect()] == [want]
+    assert [r.rel for r in C.canonicalize_strict(docs, triples, definitions, opened, known, M.HashEmbedder(8), M.SameInitial(), given)[0].collect()] == [want]
