@@ -8,7 +8,7 @@ from kgspark.llm.queries import oracle_sql, queries, vocabulary
 def test_stages():
     assert [n for n, _ in C.STAGES] == ["quality_classifier", "simhash_dedup", "secret_scans", "mixing_sources", "bpe_encoding"]
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in C.STAGES)
-    assert len(queries()) == 10 and set(oracle_sql()) <= set(queries())
+    assert len(queries()) == 13 and set(oracle_sql()) <= set(queries())
 
 
 def test_like_the_stages_by_hand(spark, sf):
