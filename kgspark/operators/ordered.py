@@ -94,8 +94,16 @@ def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -
     if that is in the schema, else the nearest relation above ``threshold`` (ties: open ones by label, then in order of addition), or joins the schema. Rows without a
     vector match nothing. Settled in rounds; rows that find a relation above the threshold never add one later.
     """
+    return canonicalize_on(rows, opened.select("label", "embedding", F.lit(0).alias("ord")), threshold)[0]
+
+
+def canonicalize_on(rows: DataFrame, opened: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``canonicalize_ordered`` from a schema that has grown before, and what the rows add to it: ``(label, embedding, ord)``.
+
+    ``opened`` is (label, embedding, ord), its rows in order of ``ord`` and label; the numbers of additions are row numbers from 0 in order of addition.
+    """
     size = opened.count()
-    store = cut(numbered_rows(opened.select("label", F.col("embedding").alias("own")), ["label"]).withColumn("id", F.col("id") - size))
+    store = cut(numbered_rows(opened.select("label", F.col("embedding").alias("own"), "ord"), ["ord", "label"]).withColumn("id", F.col("id") - size)).drop("ord")
     all_ = cut(numbered_rows(rows.select("doc_id", "pos", F.col("rel").alias("label"), "embedding"), ["doc_id", "pos"]))
     is_open = all_.join(store.select("label").distinct(), "label", "left_semi").select("doc_id", "pos", F.col("label").alias("rel"), F.col("label").alias("canonical"))
     fresh = cut(all_.join(store.select("label").distinct(), "label", "left_anti").withColumns({"own": F.col("embedding"), "floor": F.lit(float(threshold))}))
@@ -107,7 +115,7 @@ def canonicalize_ordered(rows: DataFrame, opened: DataFrame, threshold: float) -
     near = _candidates(rest.withColumn("bar", F.col("floor")), store.select("id", "label", "own").unionAll(added), 1)
     taken = rest.join(near, "id", "left").select("doc_id", "pos", F.col("label").alias("rel"), F.col("found")[0].label.alias("canonical"))
     own = fresh.join(names, "label").where("id >= first").select("doc_id", "pos", F.col("label").alias("rel"), F.col("label").alias("canonical"))
-    return is_open.unionAll(own).unionAll(taken)
+    return is_open.unionAll(own).unionAll(taken), added.select("label", F.col("own").alias("embedding"), F.col("id").alias("ord"))
 
 
 def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | None = None, kg_threshold: float = 0.5) -> DataFrame:
@@ -120,15 +128,30 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
     Rounds carry this from member to member; then each member points at its nearest earlier one, and pointers are doubled until they
     reach founders. Rounds follow the longest chain of mentions that are in the store because of one another.
     """
-    rows = mentions.select("doc_id", "ent_pos", "embedding")
+    held = mentions.sparkSession.createDataFrame([], "number long, embedding array<double>, ord long")
+    return nil_fold_on(mentions, held, 0, threshold, kg_candidates, kg_threshold)[0]
+
+
+def nil_fold_on(mentions: DataFrame, held: DataFrame, start: int, threshold: float, kg_candidates: DataFrame | None = None, kg_threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``nil_fold`` after documents that were folded before, and what the mentions add to the store: ``(number, embedding, ord, founds)``.
+
+    ``held`` is (number, embedding, ord): the store's mentions in order of ``ord`` with the numbers of their entities; all are visible. New entities are numbered from ``start``.
+    In what is added, ``ord`` counts the mentions given from 0 and ``founds`` tells the founder of an entity from those who joined it.
+    """
+    rows = mentions.select("doc_id", "ent_pos", F.col("embedding").cast("array<double>").alias("embedding"))
     if kg_candidates is not None:
         best = V.argmax_above(kg_candidates, ["doc_id", "ent_pos"], kg_threshold, "cand_id").select("doc_id", "ent_pos", F.col("cand_id").cast("string").alias("kg"), F.col("score").alias("kg_score"))
         rows = rows.join(best, ["doc_id", "ent_pos"], "left")
     else:
         rows = rows.withColumns({"kg": F.lit(None).cast("string"), "kg_score": F.lit(None).cast("double")})
-    rows = cut(numbered_rows(rows, ["doc_id", "ent_pos"]).withColumns({"at": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "floor": F.greatest(F.lit(float(threshold)), "kg_score")}))
+    never = -(1 << 63)
+    place = F.coalesce(F.greatest(F.col("doc_id").cast("long"), F.lit(never + 2)), F.lit(never + 1))
+    rows = cut(numbered_rows(rows, ["doc_id", "ent_pos"]).withColumns({"at": place, "floor": F.greatest(F.lit(float(threshold)), "kg_score")}))
     point = ("id", "at", "embedding")
-    members = front = rows.where("kg IS NULL")
+    size = held.count()
+    old = cut(numbered_rows(held.select("number", "embedding", "ord"), ["ord"]).withColumns({"id": F.col("id") - size, "at": F.lit(never)}))
+    members = rows.where("kg IS NULL")
+    front = members.select(*point).unionAll(old.select(*point))
     todo = rows.where("kg IS NOT NULL")
     while True:
         hit = V.top_k(todo.select(*point, "floor"), front.select(*point), 1, before=True)
@@ -138,14 +161,18 @@ def nil_fold(mentions: DataFrame, threshold: float, kg_candidates: DataFrame | N
         members = members.unionByName(front)
         todo = cut(todo.join(front.select("id"), "id", "left_anti"))
     members = cut(members)
-    nearest = V.top_k(members.select(*point, "floor"), members.select(*point), 1, before=True).select(F.col("query_id").alias("id"), F.col("cand_id").alias("up"))
-    up = cut(members.select("id").join(nearest, "id", "left").select("id", F.coalesce("up", "id").alias("up")))
+    nearest = V.top_k(members.select(*point, "floor"), members.select(*point).unionAll(old.select(*point)), 1, before=True).select(F.col("query_id").alias("id"), F.col("cand_id").alias("up"))
+    roots = old.select("id", F.col("id").alias("up"))
+    up = cut(members.select("id").join(nearest, "id", "left").select("id", F.coalesce("up", "id").alias("up")).unionAll(roots))
     while True:
         above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
         jumped = cut(up.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
         up = jumped.select("id", "up")
         if jumped.where("moved").isEmpty():
             break
-    founders = dense_numbers(up.where("id = up").select("up"), "up")
-    named = members.join(up, "id").join(founders, "up").select("doc_id", "ent_pos", F.concat(F.lit(NEW_ENTITY), F.col("number").cast("string")).alias("identifier"))
-    return todo.select("doc_id", "ent_pos", F.col("kg").alias("identifier")).unionAll(named)
+    founders = dense_numbers(up.where("id = up AND id >= 0").select("up"), "up").select("up", (F.col("number") + start).alias("number"))
+    entities = founders.unionAll(old.select(F.col("id").alias("up"), "number"))
+    named = cut(members.join(up, "id").join(entities, "up").withColumn("founds", F.col("id") == F.col("up")))
+    new = named.select("doc_id", "ent_pos", F.concat(F.lit(NEW_ENTITY), F.col("number").cast("string")).alias("identifier"))
+    out = todo.select("doc_id", "ent_pos", F.col("kg").alias("identifier")).unionAll(new)
+    return out, named.select("number", "embedding", F.col("id").alias("ord"), "founds")
