@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import extended, open_fs, small_batches
-from kgspark.session import fresh_dir
+from kgspark.llm.common import extended, flagged, lean, open_fs, small_batches
+from kgspark.session import fresh_dir, written
 
 WIDTH = 64
 #: Fixed value: the first eight bytes of a PNG file.
@@ -96,27 +96,32 @@ def feature(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};ahash={bits:016x}"
 
 
-CATALOG = "digest string, shard string, offset long, length long, n_bytes long"
+PLACE = "digest string, shard string, offset long, length long"
+#: Bytes of stored payloads that one task reads back, about; a larger payload is a task's alone.
+READ_BYTES = 32 << 20
+#: Rows of one payload from which they are spread over ``SPREAD`` tasks to meet it.
+HOT_ROWS = 1024
+SPREAD = 64
+#: The payload's digest by built-in functions: its bytes, padded.
+KEY = f"unhex(sha2(rpad(cast(text AS binary), cast({WIDTH} * greatest(1, ceil(octet_length(text) / {WIDTH})) AS int), X'00'), 256))"
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: str | None = None) -> DataFrame:
-    """Write every row's payload to tar shards; returns ``(id, digest, shard, offset, length, n_bytes)``, one row for each row.
+def packed(rows: DataFrame, top: str, name: str) -> DataFrame:
+    """Write the payload of every row's ``text`` to tar shards below ``top``; returns the other columns with digest, shard, offset and length.
 
-    A payload is stored once for each shard, whatever the number of rows that hold it, and equal payloads have equal
-    digests everywhere. Every task attempt writes shards of its own name, so a repeated attempt can't damage what an earlier one
-    wrote; the catalogue, written before this returns, names only the shards of attempts that count.
+    Every task attempt writes shards of its own name, so a repeated attempt can't damage what an earlier one
+    wrote; the catalogue, written as ``name`` before this returns, names only the shards of attempts that count.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    top = base or fresh_dir(spark, "media")
-    kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(rows.sparkSession)
+    carried = [c for c in rows.columns if c != "text"]
+    schema = extended(rows.select(*carried).schema, PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         disk, folder = open_fs(top)
         disk.create_dir(folder, recursive=True)
-        name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        out, shard, at, held, number = None, "", 0, {}, 0
+        own = f"{name}-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        out, shard, at, number = None, "", 0, 0
 
         def close() -> None:
             if out is not None:
@@ -125,34 +130,80 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
 
         try:
             for b in batches:
-                rows: list[list] = [[] for _ in range(5)]
-                for t in b.column(1):
-                    text = t.as_py() or ""
-                    png = to_png(payload(text))
+                places: list[list] = [[] for _ in range(4)]
+                for t in b.column("text"):
+                    png = to_png(payload(t.as_py()))
                     digest = hashlib.sha256(png).hexdigest()
-                    if digest not in held:
-                        if out is None or at > SHARD_BYTES:
-                            close()
-                            shard, at, held = f"{name}-{number:04d}.tar", 0, {}
-                            number += 1
-                            out = disk.open_output_stream(f"{folder}/{shard}", compression=None)
-                        info = tarfile.TarInfo(f"{digest}.png")
-                        info.size = len(png)
-                        head = info.tobuf(tarfile.USTAR_FORMAT)
-                        out.write(head + png + b"\0" * (-len(png) % 512))
-                        held[digest] = at + len(head)
-                        at += len(head) + len(png) + -len(png) % 512
-                    for k, v in enumerate((digest, shard, held[digest], len(png), len(text.encode("utf-8", "surrogatepass")))):
-                        rows[k].append(v)
-                types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, y) for x, y in zip(rows, types))], ["id", "digest", "shard", "offset", "length", "n_bytes"])
+                    if out is None or at > SHARD_BYTES:
+                        close()
+                        shard, at = f"{top}/{own}-{number:04d}.tar", 0
+                        number += 1
+                        out = disk.open_output_stream(f"{folder}/{shard.rsplit('/', 1)[1]}", compression=None)
+                    info = tarfile.TarInfo(f"{digest}.png")
+                    info.size = len(png)
+                    head = info.tobuf(tarfile.USTAR_FORMAT)
+                    out.write(head + png + b"\0" * (-len(png) % 512))
+                    for column, v in zip(places, (digest, shard, at + len(head), len(png))):
+                        column.append(v)
+                    at += len(head) + len(png) + -len(png) % 512
+                types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(x, y) for x, y in zip(places, types))], schema.names)
         finally:
             close()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {CATALOG}")
-    path = f"{top}/catalog"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).withColumn("shard", F.concat(F.lit(f"{top}/"), F.col("shard")))
+    path = f"{top}/{name}"
+    rows.mapInArrow(lean(run), schema).write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+class Stored:
+    """Payloads in shards, each once in all, and who holds them.
+
+    ``catalog`` has a row a payload: (id, n_bytes) where one row alone holds it, else ``key``, by which the rows of ``holders`` (id, n_bytes, key) find it.
+
+    Rows are known by the digests of their payloads, which are counted first. Rows whose payload certainly isn't repeated are packed where they
+    are read; of the others one text a payload and task is shuffled.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, base: str | None) -> None:
+        top = base or fresh_dir(docs.sparkSession, "media")
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        rows = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr(KEY).alias("key"), "text")
+        each = written(rows.drop("text"), "media-keys")
+        copies = written(each.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "media-copies")
+        again = copies.select("key")
+        # a row that is flagged wrongly goes the longer way to the same result
+        alone = packed(flagged(rows, "key", again, "again").where("NOT again").select("id", "n_bytes", "text"), top, "alone")
+        texts = flagged(rows, "key", again, "again").where("again").groupBy("key").agg(F.first("text").alias("text"))
+        shared = packed(texts, top, "shared")
+        self.holders = flagged(each, "key", again, "again").where("again").drop("again")
+        self.hot = copies.where(F.col("rows") >= HOT_ROWS).select("key")
+        self.catalog = alone.withColumn("key", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
+
+    def by_row(self, catalog: DataFrame) -> DataFrame:
+        """``catalog``, with whatever columns more, for every row that holds a payload instead of for every payload; rows of a hot payload are spread."""
+        salted = flagged(self.holders, "key", self.hot, "hot").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "n_bytes"), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("hot")
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        shared = flagged(catalog.where("key IS NOT NULL").drop("id", "n_bytes"), "key", self.hot, "hot").withColumn("salt", F.explode(salts)).drop("hot")
+        found = salted.join(shared, ["key", "salt"]).drop("key", "salt")
+        return catalog.where("key IS NULL").drop("key").unionByName(found)
+
+
+def dealt(catalog: DataFrame) -> DataFrame:
+    """The catalogue with its rows dealt to tasks by bytes, neighbours in a shard together and in order."""
+    size = catalog.agg(F.sum("length")).first()[0] or 0
+    tasks = max(catalog.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return catalog.repartition(tasks, "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: str | None = None) -> DataFrame:
+    """Write every different payload to tar shards, once in all; returns ``(id, digest, shard, offset, length, n_bytes)``, one row for each row.
+
+    Rows of equal payloads share shard and offset. Null texts count as empty; repeated rows and null ids give rows of their own; an empty table gives no rows.
+    """
+    kept = Stored(docs, id_col, text_col, base)
+    return kept.by_row(kept.catalog).select("id", "digest", "shard", "offset", "length", "n_bytes")
 
 
 class _Shards:
@@ -222,11 +273,13 @@ def read_back(catalog: DataFrame, payloads: bool = False) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store all texts as media, then fill columns from headers and from the stored bytes, one row for each row of ``docs``.
 
+    Every payload is stored once and read back once, however many rows hold it, in tasks of about equal bytes.
     Null texts count as empty, whose payload is 64 zeros; equal texts have equal values; long texts are one image as well; an empty table
     gives no rows and no shards.
     """
-    catalog = with_metadata(store(docs))
-    return read_back(catalog).select(
+    kept = Stored(docs, "doc_id", "text", None)
+    seen = written(read_back(with_metadata(dealt(kept.catalog))), "media-read")
+    return kept.by_row(seen).select(
         F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
         "shard", "offset", "length", "width", "height", "bit_depth", "colour_type",
     )

@@ -52,6 +52,53 @@ def test_shards_are_tar_files_with_each_payload_once(spark, tmp_path):
             assert (m.offset_data, m.size) == (r.offset, r.length)
 
 
+def brute_feature(p):
+    lines = [p[i : i + 64] for i in range(0, len(p), 64)]
+    mean = sum(p) / len(p)
+    std = math.sqrt(sum((x - mean) ** 2 for x in p) / len(p))
+    entropy = -sum(n / len(p) * math.log2(n / len(p)) for n in collections.Counter(p).values())
+    fields = [[[] for _ in range(8)] for _ in range(8)]
+    for i, line in enumerate(lines):
+        for k in range(8):
+            fields[i * 8 // len(lines)][k].append(sum(line[8 * k : 8 * k + 8]))
+    means = [sum(f) / max(1, len(f)) for row in fields for f in row]
+    middle = sum(means) / 64
+    return mean, std, entropy, sum(1 << (63 - i) for i, v in enumerate(means) if v > middle + 1e-9), sum(1 << (63 - i) for i, v in enumerate(means) if v > middle - 1e-9)
+
+
+def test_features_and_headers_like_by_hand(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = M.media_columns(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        p = M.payload(texts[r.doc_id])
+        mean, std, entropy, least, most = brute_feature(p)
+        f = dict(x.split("=") for x in r.feature.split(";"))
+        assert all(math.isclose(float(f[k]), v, abs_tol=6e-5) for k, v in (("mean", mean), ("std", std), ("entropy", entropy)))
+        assert int(f["ahash"], 16) in (least, most) or int(f["ahash"], 16) & ~most == 0 == least & ~int(f["ahash"], 16)
+        assert (r.width, r.height, r.bit_depth, r.colour_type, r.payload_bytes) == (64, len(p) // 64, 8, 0, len(p))
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_payloads_are_stored_once_in_all(spark, tmp_path, monkeypatch, hot):
+    """Over many tasks, also where texts differ in zeros at their end alone, and where a payload is a third of the rows."""
+    monkeypatch.setattr(M, "HOT_ROWS", hot)
+    texts = ["hot"] * 60 + [f"text {i % 20}" for i in range(60)] + [f"own {i}" for i in range(50)] + ["a", "a\0", "", None, "\0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    catalog = M.store(docs, base=f"file://{tmp_path}/m").collect()
+    assert sorted(r.id for r in catalog) == list(range(len(texts)))
+    want = {i: (hashlib.sha256(M.to_png(M.payload(t))).hexdigest(), len((t or "").encode())) for i, t in enumerate(texts)}
+    assert {r.id: (r.digest, r.n_bytes) for r in catalog} == want
+    assert len({(r.digest, r.shard, r.offset, r.length) for r in catalog}) == len({d for d, _ in want.values()})
+    names = []
+    for path in (tmp_path / "m").glob("*.tar"):
+        with tarfile.open(path) as tar:
+            names += tar.getnames()
+    assert sorted(names) == sorted(f"{d}.png" for d in {d for d, _ in want.values()})
+    assert {r.id: r.payload for r in M.read_back(M.store(docs), payloads=True).collect()} == {i: M.payload(t) for i, t in enumerate(texts)}
+
+
 def brute_targets(sizes, shares=(1, 2, 3)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: shares[i % 3] for i, s in enumerate(order)}
