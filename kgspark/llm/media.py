@@ -99,6 +99,8 @@ def feature(samples: bytes) -> str:
 PLACE = "digest string, shard string, offset long, length long"
 #: Bytes of stored payloads that one task reads back, about; a larger payload is a task's alone.
 READ_BYTES = 32 << 20
+#: Bytes of a shard that are dealt out together; tasks hold some of these runs, so that their loads even out.
+RUN_BYTES = 2 << 20
 #: Rows of one payload from which they are spread over ``SPREAD`` tasks to meet it.
 HOT_ROWS = 1024
 SPREAD = 64
@@ -194,7 +196,7 @@ def dealt(catalog: DataFrame) -> DataFrame:
     """The catalogue with its rows dealt to tasks by bytes, neighbours in a shard together and in order."""
     size = catalog.agg(F.sum("length")).first()[0] or 0
     tasks = max(catalog.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
-    return catalog.repartition(tasks, "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
+    return catalog.repartition(tasks, "shard", F.expr(f"offset DIV {RUN_BYTES}")).sortWithinPartitions("shard", "offset")
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: str | None = None) -> DataFrame:
