@@ -48,3 +48,47 @@ def test_the_large_way_is_taken_and_equal(spark, monkeypatch):
     assert len(small) > 500 and len(large) == len(small) and len(large - small) <= 4
     again = {(r.query_id, r.cand_id, r["rank"]) for r in V.top_k(df, df, 4, self_score=-1.0).collect()}
     assert len(again) == len(mine) == 2000 and len(again - mine) <= 4
+
+
+def test_lots_of_blocks_and_empty_stores(spark, monkeypatch):
+    """Rows are copied once a lot, equal vectors tie by id, and many queries of an empty store find nothing."""
+    x = np.repeat(clustered(3, 150, 0.3), 3, axis=0)
+    df = frame(spark, x).where("embedding IS NOT NULL")
+    monkeypatch.setattr(V, "BLOCK", 30)
+    monkeypatch.setattr(V, "LOT", 90)
+    got = {(r.query_id, r.cand_id, r["rank"]) for r in V.top_k(df, df, 4).collect()}
+    sums = np.einsum("ik,jk->ij", x, x)
+    assert len(got) == 1800
+    for i in range(450):
+        mine = sorted((rank, j) for q, j, rank in got if q == i)
+        assert all(sums[i, a] > sums[i, b] - 1e-9 for (_, a), (_, b) in zip(mine, mine[1:]))
+        same = [j for _, j in mine if j // 3 == mine[0][1] // 3]
+        assert same == sorted(same) and len(same) == 3
+    monkeypatch.setattr(V, "BLOCK", 2)
+    none = df.where("id < 0")
+    assert V.top_k(df, none, 4).count() == 0
+    assert V.bounded_top_k(df, none, 4, V._product(4, False, None, False), block=8)[0].count() == 0
+    assert V.top_k(none, df, 4).count() == 0
+
+
+def test_sums_of_all_products(spark, monkeypatch):
+    monkeypatch.setattr(V, "LOT", 7)
+    monkeypatch.setattr(V, "TILE", (3, 2))
+    x = clustered(4, 60, 0.5)
+    rows = [(i % 3 if i % 10 else None, [float(a) for a in v]) for i, v in enumerate(x)] + [(1, None), (9, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "label int, embedding array<double>")
+    got = {r.label: r for r in V.product_sums(df, df.where("label < 9"), "label").collect()}
+    assert set(got) == {0, 1, 2}
+    for label, r in got.items():
+        own = np.array([v for k, v in rows if k == label and v is not None])
+        s = own @ own.T
+        assert r.pairs == (len(own) + (label == 1)) ** 2 and abs(r["mean"] - s.mean()) < 1e-9 and abs(r.most - s.max()) < 1e-9
+
+
+def test_index_search_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(V, "LOT", 40)
+    x = clustered(5, 300, 0.4)
+    df = frame(spark, x)
+    index = V.CellIndex(df.where("embedding IS NOT NULL"), cells=3)
+    got = {(r.query_id, r.cand_id, r["rank"]) for r in index.search(df.where("id < 50"), 5, 3).collect()}
+    assert len(got) == 250 and len(got - exact(x[:50], x, 5)) <= 2
