@@ -7,10 +7,14 @@ one entry a row; sums and averages over entries are one aggregate.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +25,20 @@ Span = tuple[str, int, int]
 Scores = dict[tuple[str, str], list[int]]
 
 
+_TOKEN = re.compile(r"\w+(?:[-'.]\w+)*|[^\w\s]+")
+
+
 @lru_cache(maxsize=1 << 16)
+def _both_tokens(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    found = _TOKEN.findall(text.lower())
+    # a token is of word characters from its first on, or of none
+    kept = tuple([t for t in found if len(t) > 1 or t[0].isalnum() or t[0] == "_"])
+    return kept, tuple([t for t in kept if t[0].isalnum() or t[0] == "_"])
+
+
 def tokens(text: str, strict: bool) -> tuple[str, ...]:
     """Lower-cased words; tokens of punctuation go, of one character only if not ``strict``."""
-    out = re.findall(r"\w+(?:[-'.]\w+)*|[^\w\s]+", text.lower())
-    return tuple(t for t in out if re.search(r"\w", t) or not (strict or len(t) == 1))
+    return _both_tokens(text)[strict]
 
 
 #: What two token lists share: where it begins in the said list, where in the gold list, and how many tokens it has.
@@ -138,7 +151,11 @@ def attribute_spans(gold: tuple[str, ...], said: tuple[str, ...], gold_tag: str,
 
 def triple_spans(gold: tuple[str, str, str], said: tuple[str, str, str]) -> tuple[list[Span], list[Span]]:
     """Spans of a gold and a said triple; where two attributes match nothing, they are tried against each other: S-O, S-P, P-O."""
-    g, s = [tokens(x, True) for x in gold], [tokens(x, False) for x in said]
+    return _token_spans([tokens(x, True) for x in gold], [tokens(x, False) for x in said])
+
+
+def _token_spans(g: Sequence[tuple], s: Sequence[tuple]) -> tuple[list[Span], list[Span]]:
+    """``triple_spans`` of attributes as lists of tokens, or of anything that is equal where tokens are."""
     pairing = [0, 1, 2]
     shared = lambda x, y: not set(g[x]).isdisjoint(s[y])
     found = [shared(i, i) for i in range(3)]
@@ -262,18 +279,37 @@ def assignment(value: list[list[float]]) -> list[int]:
     return column_of
 
 
-def score_entry(gold: list[tuple[str, str, str]], said: list[tuple[str, str, str]]) -> list[Scores]:
+#: An entry's gold and said triples with a number for each token, by first occurrence.
+Pattern = tuple[tuple, tuple]
+
+
+def pattern(gold: Iterable[tuple[str, str, str]], said: Iterable[tuple[str, str, str]]) -> Pattern:
+    """What scores depend on: which tokens of an entry are equal, not what they are."""
+    names: dict[str, int] = {}
+    number = names.setdefault
+    return tuple([tuple([tuple([tuple([number(w, len(names)) for w in _both_tokens(x)[strict]]) for x in t]) for t in side]) for side, strict in ((gold, 1), (said, 0))])
+
+
+@lru_cache(maxsize=1 << 14)
+def pattern_scores(entry: Pattern) -> tuple[Scores, ...]:
     """Scores of an entry's triples under the best pairing; the shorter side is padded by empty triples."""
+    gold, said = entry
     n = max(len(gold), len(said))
-    g, s = gold + [("", "", "")] * (n - len(gold)), said + [("", "", "")] * (n - len(said))
-    table = [[semeval(*triple_spans(x, y)) for x in g] for y in s]
+    none = (((), (), ()),)
+    g, s = gold + none * (n - len(gold)), said + none * (n - len(said))
+    table = [[semeval(*_token_spans(x, y)) for x in g] for y in s]
     seen: dict[int, float] = {}
     for row in table:
         for t in row:
             if id(t) not in seen:
                 seen[id(t)] = sum(rates(t[k, "all"], k)[4] for k in SCHEMES) / len(SCHEMES)
     value = [[seen[id(t)] for t in row] for row in table]
-    return [table[i][j] for i, j in enumerate(assignment(value))]
+    return tuple(table[i][j] for i, j in enumerate(assignment(value)))
+
+
+def score_entry(gold: list[tuple[str, str, str]], said: list[tuple[str, str, str]]) -> list[Scores]:
+    """``pattern_scores`` of an entry's texts."""
+    return list(pattern_scores(pattern(gold, said)))
 
 
 ENTRY = "entry_id long, scheme string, tag string, correct long, incorrect long, partial long, missed long, spurious long, possible long, actual long, precision double, recall double, f1 double"
@@ -300,23 +336,49 @@ def system_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("scheme", "tag").agg(*sums, *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _rows(column: pa.Array) -> list[list[tuple[str, ...]]]:
+    """Lists of triples; null is an empty one."""
+    flat = column.flatten()
+    words = flat.flatten().to_pylist()
+    ends = np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False)).astype(int).tolist()
+    triples = [tuple(words[a:b]) for a, b in zip([0, *ends], ends)]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).astype(int).tolist()
+    return [triples[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _summed(times: Counter[Pattern], parts: tuple[str, ...]) -> pa.RecordBatch:
+    """Sums over entries by scheme and tag, each pattern as often as it came."""
+    sums: dict[tuple[str, str], list[float]] = {}
+    for entry, often in times.items():
+        for scores in pattern_scores(entry):
+            for (k, t), c in scores.items():
+                own = sums.setdefault((k, t), [0.0] * len(parts))
+                for i, v in enumerate((*c, *rates(c, k), 1)):
+                    own[i] += often * v
+    columns = [[k for k, _ in sums], [t for _, t in sums]], list(map(list, zip(*sums.values()))) or [[]] * len(parts)
+    arrays = [pa.array(c, pa.string()) for c in columns[0]] + [pa.array(c, pa.float64()) for c in columns[1]]
+    return pa.RecordBatch.from_arrays(arrays, ["scheme", "tag", *parts])
+
+
+#: Patterns that a task counts before it sums their scores.
+HELD = 1 << 14
+
+
 def system_scores_of(entries: DataFrame) -> DataFrame:
-    """``system_scores`` of ``entry_scores`` with sums made in each task, so that 16 rows a batch leave it instead of 16 a triple."""
+    """``system_scores`` of ``entry_scores`` with sums made in each task: entries are counted by pattern, and each pattern is scored once."""
     counts = ("correct", "incorrect", "partial", "missed", "spurious", "possible", "actual")
     parts = (*counts, "precision", "recall", "f1", "rows")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            sums: dict[tuple[str, str], list[float]] = {}
-            for gold, said in zip(df["gold"], df["said"]):
-                as_list = lambda x: [tuple(t) for t in x] if x is not None else []
-                for scores in score_entry(as_list(gold), as_list(said)):
-                    for (k, t), c in scores.items():
-                        own = sums.setdefault((k, t), [0.0] * len(parts))
-                        for i, v in enumerate((*c, *rates(c, k), 1)):
-                            own[i] += v
-            yield pd.DataFrame([(k, t, *v) for (k, t), v in sums.items()], columns=["scheme", "tag", *parts])
-
-    each = entries.select("gold", "said").mapInPandas(run, "scheme string, tag string, " + ", ".join(f"{c} double" for c in parts))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: Counter[Pattern] = Counter()
+        for b in batches:
+            times.update(map(pattern, _rows(b.column(0)), _rows(b.column(1))))
+            if len(times) > HELD:
+                yield _summed(times, parts)
+                times.clear()
+        if times:
+            yield _summed(times, parts)
+
+    each = entries.select("gold", "said").mapInArrow(run, "scheme string, tag string, " + ", ".join(f"{c} double" for c in parts))
     sums = each.groupBy("scheme", "tag").agg(*[F.sum(c).alias(c) for c in parts])
     return sums.select("scheme", "tag", *[F.col(c).cast("long").alias(c) for c in counts], *[(F.col(c) / F.col("rows")).alias(c) for c in ("precision", "recall", "f1")])

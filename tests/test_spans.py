@@ -71,3 +71,21 @@ def test_large_pairings_split_into_small_ones():
                 table[6 * k + i][6 * k : 6 * k + 6] = block[i]
             want += [6 * k + j for j in S.assignment(block)]
         assert S.assignment(table) == want
+
+
+def test_entries_of_one_pattern_are_scored_once(monkeypatch):
+    """Scores depend on which tokens are equal only, so other words in the same places cost no other scoring."""
+    draw = random.Random(4)
+    words = ["a", "b c", "d, e", "f-g", "...", ""]
+    triples = lambda of: [tuple(draw.choice(of) for _ in range(3)) for _ in range(draw.randint(0, 3))]
+    calls = []
+    monkeypatch.setattr(S, "assignment", lambda v, f=S.assignment: calls.append(1) or f(v))
+    S.pattern_scores.cache_clear()
+    other = str.maketrans("abcdefg", "qrstuvw")
+    for _ in range(60):
+        gold, said = triples(words), triples(words)
+        moved = [[tuple(x.translate(other) for x in t) for t in side] for side in (gold, said)]
+        before = S.score_entry(gold, said)
+        n = len(calls)
+        assert S.score_entry(*moved) == before and len(calls) == n
+        assert [S.triple_spans(g, s) for g, s in zip(gold, said)] == [S.triple_spans(g, s) for g, s in zip(*moved)]
