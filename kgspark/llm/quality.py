@@ -37,6 +37,8 @@ LEAST_TRUSTED = 50
 STEP = 1e-3
 #: Bytes of text that a block holds, about; one longer document is a block of its own.
 BLOCK_BYTES = 8_000_000
+#: How many times that a block holds where texts aren't carried on: larger blocks repeat fewer n-grams.
+LONE = 2
 #: Entries of the model's tables in a shard, about.
 SHARD_ROWS = 250_000
 #: Distinct n-grams that a counting task holds before it passes them on.
@@ -175,16 +177,23 @@ def log_probabilities(grams: np.ndarray, values: list[np.ndarray]) -> np.ndarray
     return np.log(lower)
 
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
+#: For texts, which are written once and read once.
+_TEXT_LEVEL = 9
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
+    """Long numbers go byte by byte, first all the lowest ones: the high bytes of differences are mostly zero."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T) if x.dtype == np.int64 else x
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(raw.tobytes(), asbytes=True)
 
 
 def _unpacked(raw: bytes, kind: type) -> np.ndarray:
     size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=size * np.dtype(kind).itemsize, asbytes=True), kind) if size else np.zeros(0, kind)
+    if not size:
+        return np.zeros(0, kind)
+    out = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=size * np.dtype(kind).itemsize, asbytes=True), np.uint8)
+    return np.ascontiguousarray(out.reshape(8, size).T).view(np.int64).reshape(size) if kind is np.int64 else out.view(kind)
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -206,7 +215,7 @@ def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s), order[bounds[s] : bounds[s + 1]]
 
 
-def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards: int) -> DataFrame:
+def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards: int, block_bytes: int) -> DataFrame:
     """``(block, shard, part, keys, values)``: documents (text and fold last) written as blocks, and what these ask of the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +234,7 @@ def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards:
             name = uuid.uuid4().hex
             meta = {f"grams{f}": _packed(_steps(grams[f])) for f in (0, 1)}
             schema = held[0].schema.with_metadata(meta)
-            with disk.open_output_stream(f"{folder}/{name}.arrow", compression=None) as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with disk.open_output_stream(f"{folder}/{name}.arrow", compression=None) as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=_TEXT_LEVEL))) as out:
                 for b in held:
                     out.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=schema))
             keys = np.concatenate([k for f in (0, 1) for k in asked(grams[f], model_of[f])])
@@ -243,7 +252,7 @@ def _blocks(docs: DataFrame, folder_uri: str, model_of: tuple[int, int], shards:
                 raw = encoded(t)
                 texts[f].append(raw)
                 size += len(raw)
-                if size > BLOCK_BYTES:
+                if size > block_bytes:
                     held.append(b.slice(start, i + 1 - start))
                     merge()
                     yield close()
@@ -343,7 +352,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], nll: str = "nll",
         picked = docs.select(*[F.col(f"`{c}`") for c in columns if c != "text"], "text", fold().alias(unused("fold", columns)))
     folder_uri = fresh_dir(spark, "quality-blocks")
     shards = max(8, -(-model.tables.count() // SHARD_ROWS))
-    blocks = written(_blocks(picked, folder_uri, model.model_of, shards), "quality-asked")
+    blocks = written(_blocks(picked, folder_uri, model.model_of, shards, BLOCK_BYTES if "text" in columns else LONE * BLOCK_BYTES), "quality-asked")
     answers = _answers(blocks.unionAll(_parts_of(model.tables, shards)), shards)
     model_of, names = model.model_of, [*columns, nll, length]
 

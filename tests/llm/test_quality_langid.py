@@ -175,3 +175,13 @@ def test_langid_rows(odd, empty):
     assert len(got) == odd.count() and L.identify(empty).count() == 0
     assert all(r.lang_pred == "und" for r in got if r.doc_id in (1, 2, 3))
     assert L.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).where("lang IS NULL")).where("lang_pred <> 'und'").count() == 0
+
+
+def test_packed_keys_are_small_and_whole():
+    """Sorted keys far apart: packed number by number they took more."""
+    draw = np.random.default_rng(1)
+    keys = np.unique(draw.integers(0, 1 << 42, 20_000))
+    for x in (Q._steps(keys), keys[:0], np.array([5, -3, 1 << 50]), np.array([1.5, np.nan], np.float32)):
+        y = Q._unpacked(Q._packed(x), x.dtype.type)
+        assert y.dtype == x.dtype and np.array_equal(x, y, equal_nan=x.dtype == np.float32)
+    assert len(Q._packed(Q._steps(keys))) < 0.9 * len(Q._ZSTD.compress(Q._steps(keys).tobytes(), asbytes=True))
