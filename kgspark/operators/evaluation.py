@@ -14,6 +14,7 @@ from kgspark.names import GOLD_PREFIX, NEW_PREFIX
 from kgspark.session import cut
 
 PARTS = ("s", "p", "o")
+FLAGS = ("sb", "pb", "ob")
 #: Aligned blanks that are sent to all tasks, at most: some tens of megabytes.
 SENT = 500_000
 
@@ -40,17 +41,23 @@ def checked_gold(gold: DataFrame) -> DataFrame:
 def blank_pairs(gold: DataFrame, system: DataFrame, local: bool, by: By = ()) -> DataFrame:
     """``([doc_id,] gold_blank, system_blank, n)``: in how many triples two blanks stand beside the same two terms.
 
-    Both sides are sets of ``split_blank`` rows. Three equi-joins, one for each place of the blank.
+    Both sides are ``split_blank`` rows, repeats allowed. Blanks of either side are set down with their place and the other two terms, once each, and meet in one join: whole triples aren't shuffled.
     """
-    found = []
-    for c in PARTS:
-        same = [*by, "doc_id", *(x for x in PARTS if x != c)]
-        left = gold.where(f"{c}b").select(*same, F.col(c).alias("gold_blank"))
-        others = " AND ".join(f"NOT {x}b" for x in PARTS if x != c)
-        right = system.where(f"{c}b AND {others}").select(*same, F.col(c).alias("system_blank"))
-        found.append(left.join(right, same).select(*by, "doc_id", "gold_blank", "system_blank"))
+    left, right = _places(gold, "gold_blank", by, False), _places(system, "system_blank", by, True)
     keys = [*by] + (["doc_id"] if local else []) + ["gold_blank", "system_blank"]
-    return reduce(DataFrame.unionAll, found).groupBy(*keys).agg(F.count("*").alias("n"))
+    return left.join(right, [*by, "doc_id", "place", "x1", "x2"]).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def _places(side: DataFrame, name: str, by: By, alone: bool) -> DataFrame:
+    """``(by, doc_id, place, x1, x2, <name>)``, once each: blanks beside their triple's other terms, with ``alone`` only where those aren't blank."""
+    found = []
+    for i, c in enumerate(PARTS):
+        others = [x for x in PARTS if x != c]
+        here = F.col(f"{c}b")
+        for x in others if alone else []:
+            here = here & ~F.col(f"{x}b")
+        found.append(F.when(here, F.struct(F.lit(i).alias("place"), F.col(others[0]).alias("x1"), F.col(others[1]).alias("x2"), F.col(c).alias(name))))
+    return side.where("sb OR pb OR ob").select(*by, "doc_id", F.explode(F.array_compact(F.array(*found))).alias("b")).select(*by, "doc_id", "b.*").distinct()
 
 
 def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False, by: By = ()) -> DataFrame:
@@ -69,7 +76,7 @@ def align(pairs: DataFrame, local: bool, strict_one_to_one: bool = False, by: By
 
 
 def renamed(system: DataFrame, alignment: DataFrame, local: bool, by: By = ()) -> DataFrame:
-    """System triples with aligned blanks under their gold names; two triples may become one, so repeats are possible.
+    """System triples with aligned blanks under their gold names, and their flags as they were; two triples may become one, so repeats are possible.
 
     Up to ``SENT`` aligned blanks, which is counted, go to the tasks, and triples stay where they are. With more, triples meet them in a shuffle; terms
     that aren't blank then get a key of their own, so that a predicate of many triples doesn't come together in one task.
@@ -85,13 +92,7 @@ def renamed(system: DataFrame, alignment: DataFrame, local: bool, by: By = ()) -
         for x in (*by, "doc_id") if local else by:
             on = on & (F.col(x) == F.col(f"_{x}"))
         out = out.join(F.broadcast(to) if few else to.hint("merge"), on, "left").withColumn(c, F.coalesce("_gold_blank", c)).drop("_key", *to.columns)
-    return out.select(*by, "doc_id", *PARTS)
-
-
-def kg_nodes(*graphs: DataFrame, by: By = ()) -> DataFrame:
-    """All terms of all documents that aren't blank, each once."""
-    rows = [g.select(*by, F.explode(F.array(*[F.when(~F.col(f"{c}b"), F.col(c)) for c in PARTS])).alias("node")) for g in graphs]
-    return reduce(DataFrame.unionAll, rows).where("node IS NOT NULL").distinct()
+    return out.select(*by, "doc_id", *PARTS, *FLAGS)
 
 
 def _confusion(both: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,27 +108,41 @@ def _sums(extra: Column | None = None) -> list[Column]:
     ]
 
 
-def counts(gold: DataFrame, mapped: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
-    """``(label, tp, fp, fn)`` for triple, entity and relation, and the last two split into known and new nodes; both sides count as sets."""
+def counts(gold: DataFrame, mapped: DataFrame, by: By = (), kinds: tuple[str, ...] = ("triple", "entity", "relation")) -> DataFrame:
+    """``(label, tp, fp, fn)`` for the ``kinds`` among triple, entity and relation, and the last two split into known and new nodes; both sides count as sets.
+
+    Both sides are split rows, repeats allowed. A term is known if it isn't blank in some triple of either side. Terms are read from the rows as they come, where those of a subject often stand together, and
+    not from distinct triples; whole triples are shuffled once, and only for the triples' own counts.
+    """
     both = (
-        gold.select(*by, "doc_id", *PARTS, F.lit(True).alias("g"), F.lit(False).alias("y"))
-        .unionAll(mapped.select(*by, "doc_id", *PARTS, F.lit(False).alias("g"), F.lit(True).alias("y")))
+        gold.select(*by, "doc_id", *PARTS, *FLAGS, F.lit(True).alias("g"), F.lit(False).alias("y"))
+        .unionAll(mapped.select(*by, "doc_id", *PARTS, *FLAGS, F.lit(False).alias("g"), F.lit(True).alias("y")))
     )
-    # the one shuffle of whole triples; terms are read from its result
-    met = cut(_confusion(both, [*by, "doc_id", *PARTS]))
-    triples = met.groupBy(*by).agg(*_sums()).select(*by, F.lit("triple").alias("label"), "tp", "fp", "fn")
-    terms = met.select(
-        *by, "doc_id", "g", "y",
-        F.explode(F.array(
-            F.struct(F.lit("entity").alias("kind"), F.col("s").alias("x")),
-            F.struct(F.lit("entity").alias("kind"), F.col("o").alias("x")),
-            F.struct(F.lit("relation").alias("kind"), F.col("p").alias("x")),
-        )).alias("t"),
-    ).select(*by, "doc_id", "g", "y", "t.kind", "t.x")
-    each = _confusion(terms, [*by, "doc_id", "kind", "x"]).join(nodes.select(*by, F.col("node").alias("x"), F.lit("kg").alias("known")), [*by, "x"], "left")
-    split = each.groupBy(*by, "kind", F.coalesce("known", F.lit("nil")).alias("known")).agg(*_sums())
-    whole = split.groupBy(*by, F.col("kind").alias("label")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    return triples.unionAll(whole).unionAll(split.select(*by, F.concat_ws("_", "known", "kind").alias("label"), "tp", "fp", "fn"))
+    out = []
+    if "triple" in kinds:
+        met = _confusion(both.drop(*FLAGS), [*by, "doc_id", *PARTS])
+        out.append(met.groupBy(*by).agg(*_sums()).select(*by, F.lit("triple").alias("label"), "tp", "fp", "fn"))
+    if {"entity", "relation"} & set(kinds):
+        split = _term_counts(both, by).where(F.col("kind").isin(*kinds))
+        out.append(split.groupBy(*by, F.col("kind").alias("label")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
+        out.append(split.select(*by, F.concat_ws("_", "known", "kind").alias("label"), "tp", "fp", "fn"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _term_counts(both: DataFrame, by: By) -> DataFrame:
+    """``(by, kind, known, tp, fp, fn)`` of a document's distinct terms, at most four rows a graph, cut from their plan.
+
+    Terms by document and kind first, then by term, which tells whether it is known anywhere; both are partial aggregates.
+    """
+    places = F.array(*[F.struct(F.lit(c == "p").alias("rel"), F.col(c).alias("x"), (~F.col(f"{c}b")).alias("kg")) for c in PARTS])
+    terms = both.select(*by, "doc_id", "g", "y", F.explode(places).alias("t")).select(*by, "doc_id", "g", "y", "t.*")
+    each = terms.groupBy(*by, "doc_id", "rel", "x").agg(F.max("g").alias("g"), F.max("y").alias("y"), F.max("kg").alias("kg"))
+    cases = {"tp": F.col("g") & F.col("y"), "fp": ~F.col("g") & F.col("y"), "fn": F.col("g") & ~F.col("y")}
+    names = [(kind, c) for kind in ("entity", "relation") for c in cases]
+    named = each.groupBy(*by, "x").agg(F.coalesce(F.max("kg"), F.lit(False)).alias("kg"), *[F.count_if((F.col("rel") == (kind == "relation")) & cases[c]).alias(f"{kind}_{c}") for kind, c in names])
+    sums = named.groupBy(*by, F.when(F.col("kg"), "kg").otherwise("nil").alias("known")).agg(*[F.sum(f"{kind}_{c}").alias(f"{kind}_{c}") for kind, c in names])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), *[F.col(f"{kind}_{c}").alias(c) for c in cases]) for kind in ("entity", "relation")])
+    return cut(sums.select(*by, "known", F.explode(kinds).alias("k")).select(*by, "k.kind", "known", "k.tp", "k.fp", "k.fn").where("tp + fp + fn > 0"))
 
 
 def prf(rows: DataFrame) -> DataFrame:
@@ -155,9 +170,8 @@ def length_ratio(gold: DataFrame, system: DataFrame) -> DataFrame:
 
 
 def prepared(gold: DataFrame, system: DataFrame, system_prefix: str = NEW_PREFIX, by: By = ()) -> tuple[DataFrame, DataFrame]:
-    """Both sides as sets of split triples, cut from their sources: every later step reads them several times."""
-    g = cut(checked_gold(split_blank(gold, GOLD_PREFIX, by)).distinct())
-    return g, cut(split_blank(system, system_prefix, by).distinct())
+    """Both sides as split triples; a gold triple of two blanks raises. They are read more than once, so what is dear to make should be cut before."""
+    return checked_gold(split_blank(gold, GOLD_PREFIX, by)), split_blank(system, system_prefix, by)
 
 
 def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str = NEW_PREFIX, strict_one_to_one: bool = False, by: By = ()) -> DataFrame:
@@ -167,7 +181,7 @@ def evaluate(gold: DataFrame, system: DataFrame, local: bool, system_prefix: str
     """
     g, y = prepared(gold, system, system_prefix, by)
     alignment = align(blank_pairs(g, y, local, by), local, strict_one_to_one, by)
-    return prf(counts(g, renamed(y, alignment, local, by), kg_nodes(g, y, by=by), by))
+    return prf(counts(g, renamed(y, alignment, local, by), by))
 
 
 def macro_triple_prf(gold: DataFrame, system: DataFrame) -> DataFrame:
