@@ -11,7 +11,7 @@ from kgspark.operators import ordered as O
 from kgspark.operators import sampling
 from kgspark.operators import vectors as V
 from kgspark.operators.linking import dense_numbers
-from kgspark.session import cut
+from kgspark.session import cut, spread
 
 VERIFY = "Text: {text}\nTriple: {triple}\nDefinition: {definition}\nWhich relation means the same?\n{choices}\nAnswer:"
 
@@ -27,7 +27,7 @@ def retrieved(definitions: DataFrame, opened: DataFrame, known: DataFrame, embed
 
     Each distinct definition is embedded once.
     """
-    q = cut(dense_numbers(definitions.select("definition").distinct(), "definition", "id").select("id", "definition", M.embed(embedder, F.col("definition"), X.STS_PREFIX).alias("embedding")))
+    q = cut(spread(dense_numbers(definitions.select("definition").distinct(), "definition", "id")).select("id", "definition", M.embed(embedder, F.col("definition"), X.STS_PREFIX).alias("embedding")))
     parts = []
     for kind, schema in enumerate((opened, known)):
         s = cut(dense_numbers(schema.select("label", "definition").distinct(), "label", "id").select("id", "label", M.embed(embedder, F.col("definition")).alias("embedding")))

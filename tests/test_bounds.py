@@ -92,3 +92,19 @@ def test_index_search_in_lots(spark, monkeypatch):
     index = V.CellIndex(df.where("embedding IS NOT NULL"), cells=3)
     got = {(r.query_id, r.cand_id, r["rank"]) for r in index.search(df.where("id < 50"), 5, 3).collect()}
     assert len(got) == 250 and len(got - exact(x[:50], x, 5)) <= 2
+
+
+@pytest.mark.parametrize("kind", ["plain", "exclude", "self", "before"])
+def test_repeated_vectors_are_multiplied_once(spark, monkeypatch, kind):
+    """Of many equal vectors few are multiplied, and ids and ranks are those of all products."""
+    x = clustered(6, 12, 0.5)[np.random.default_rng(6).integers(0, 12, 400)]
+    options = {"plain": {}, "exclude": {"exclude_self": True}, "self": {"self_score": -1.0}, "before": {"before": True}}[kind]
+    df = frame(spark, x, ", at long, floor double", (list(range(400)), [0.2] * 400)) if kind == "before" else frame(spark, x)
+    sizes = []
+    blocks = V._blocks
+    monkeypatch.setattr(V, "_blocks", lambda d, c, n: sizes.append(d.count()) or blocks(d, c, n))
+    got = {(r.query_id, r.cand_id, r["rank"]) for r in V.top_k(df, df, 3, **options).collect()}
+    assert min(sizes) <= 12 * 4
+    monkeypatch.setattr(V, "REPEATED", 0.0)
+    assert got == {(r.query_id, r.cand_id, r["rank"]) for r in V.top_k(df, df, 3, **options).collect()}
+    assert len(got) > 1000
