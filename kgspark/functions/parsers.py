@@ -151,8 +151,10 @@ def parse_generated(text: Column, required: list[str]) -> Column:
     get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
     full = F.filter(json_objects(text), lambda v: F.forall(F.array(*[get(v, k) for k in required]), lambda x: x.isNotNull()))
     rows = F.transform(full, lambda v: F.struct(strip(get(v, required[0])).alias(required[0]), *[get(v, k).alias(k) for k in required[1:]]))
-    keys = F.transform(rows, lambda r: r[required[0]])
-    return F.filter(rows, lambda r, i: ~F.array_contains(F.slice(keys, F.lit(1), i), r[required[0]]))
+    # arrays of one element bind what is parsed to a variable, so that it isn't parsed again for each object
+    first = lambda b: F.filter(b.rows, lambda r, i: ~F.array_contains(F.slice(b["keys"], F.lit(1), i), r[required[0]]))
+    keyed = lambda b: F.struct(b.rows.alias("rows"), F.transform(b.rows, lambda r: r[required[0]]).alias("keys"))
+    return F.flatten(F.transform(F.transform(F.array(F.struct(rows.alias("rows"))), keyed), first))
 
 
 def first_definition(samples: Column, key: str = "definition") -> Column:

@@ -11,6 +11,7 @@ from kgspark.functions import text as X
 from kgspark.operators import sampling as S
 from kgspark.plans.registry import query, table
 from kgspark.plans.training import draw_sql
+from kgspark.session import spread
 from kgspark.sources import readers as R
 
 DISAMBIGUATE = "Which candidate is meant?\nMention: {mention}\nCandidates:\n{candidates}\nAnswer with a number:"
@@ -37,7 +38,7 @@ def mention_definitions(examples: DataFrame, model: M.Completer, samples: int =
     ``examples`` is (doc_id, text, entities array<string>).
     """
     prompt = X.fill(MENTIONS, text=F.col("text"), entities=X.list_text(F.col("entities")))
-    said = examples.select("doc_id", M.complete_samples(model, prompt, samples).alias("texts"))
+    said = spread(examples).select("doc_id", M.complete_samples(model, prompt, samples).alias("texts"))
     each = said.select("doc_id", F.posexplode("texts").alias("sample", "t"))
     return each.select("doc_id", "sample", F.inline(P.parse_generated(F.col("t"), list(required))))
 
