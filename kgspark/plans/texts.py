@@ -10,13 +10,14 @@ from kgspark.functions import text as X
 from kgspark.operators import container as C
 from kgspark.operators import linking as L
 from kgspark.plans.registry import query, table
+from kgspark.session import spread
 from kgspark.sources import readers as R
 
 
 
 def part_lines(spark: SparkSession, sf: str) -> DataFrame:
     """N-Triples of parts: two labels, a comment, aliases and a type."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     subject = "concat('<http://kg/part/', p_partkey, '> ')"
     return p.select(
         F.explode(F.array(*[
