@@ -108,3 +108,9 @@ def test_repeated_vectors_are_multiplied_once(spark, monkeypatch, kind):
     monkeypatch.setattr(V, "REPEATED", 0.0)
     assert got == {(r.query_id, r.cand_id, r["rank"]) for r in V.top_k(df, df, 3, **options).collect()}
     assert len(got) > 1000
+
+
+def test_few_lots_while_they_fit(spark):
+    """Up to eight lots of what a task can hold, a row is copied eight times and not more as rows grow."""
+    x = np.random.default_rng(7).normal(size=(32, 64))
+    assert V._near_blocks(frame(spark, x).where("embedding IS NOT NULL"), x, 16_384)[1:] == (32, 8)
