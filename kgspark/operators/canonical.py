@@ -91,7 +91,8 @@ def canonicalize_strict(
     rows = marked.where("NOT is_known").join(definitions, ["doc_id", "rel"])
     fixed = retrieved(rows, opened.limit(0), known, embedder, k).withColumnRenamed("candidates", "fixed")
     rows = _with_hints(rows.join(fixed, "definition").join(docs.select("doc_id", "text"), "doc_id"), hints)
-    rows = rows.withColumns({"embedding": M.embed(embedder, F.col("definition"), X.STS_PREFIX), "own": M.embed(embedder, F.col("definition")), "floor": F.lit(float("-inf"))})
+    vectors = cut(spread(rows.select("definition").distinct()).select("definition", M.embed(embedder, F.col("definition"), X.STS_PREFIX).alias("embedding"), M.embed(embedder, F.col("definition")).alias("own")))
+    rows = rows.join(vectors, "definition").withColumn("floor", F.lit(float("-inf")))
     rows = cut(O.numbered_rows(rows, ["doc_id", "pos"]))
     size = opened.count()
     store = cut(O.numbered_rows(opened.select("label", "definition"), ["label"]).select((F.col("id") - size).alias("id"), "label", M.embed(embedder, F.col("definition")).alias("own")))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from kgspark.functions import models as M
 from kgspark.names import NEW_ENTITY
 from kgspark.operators import canonical as C
@@ -153,3 +154,22 @@ def test_more_candidates_than_letters(spark):
     want = min(h for h in hints if h[0] == "z")
     assert [r.rel for r in C.canonicalize(docs, triples, definitions, opened, known, M.HashEmbedder(8), M.SameInitial(), given)[0].collect()] == [want]
     assert [r.rel for r in C.canonicalize_strict(docs, triples, definitions, opened, known, M.HashEmbedder(8), M.SameInitial(), given)[0].collect()] == [want]
+
+
+def test_equal_definitions_are_embedded_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    class Logged(M.HashEmbedder):
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return super().embed(texts)
+
+    rows = [(i, 0, "s", "known" if i % 2 else "rel", "o", f"text {i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, subj string, rel string, obj string, definition string")
+    known = spark.createDataFrame([("http://kg/a", "a", "one")], "uri string, label string, definition string")
+    opened = spark.createDataFrame([("known", "two", 0)], "label string, definition string, ord long")
+    docs = df.select("doc_id", F.lit("t").alias("text"))
+    out, _, _ = C.canonicalize_strict(docs, df.drop("definition"), df.select("doc_id", "rel", "definition"), opened, known, Logged(8), M.SameInitial())
+    assert out.count() == 300
+    assert sum(map(int, open(log).read().split())) < 40
