@@ -12,7 +12,7 @@ NONE_TEXT = "None of the above."
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[\s]+|[\s]+$", "")
+    return F.trim(x, F.lit(" \t\n\v\f\r"))
 
 
 def normalise_term(x: Column, compat: bool = False) -> Column:
@@ -21,7 +21,7 @@ def normalise_term(x: Column, compat: bool = False) -> Column:
     ``compat`` removes every ``@en`` wherever it stands, also in ``@en-gb``; else only a tag at the end that is exactly English goes.
     """
     t = strip(x)
-    iri = t.rlike(r"^<(.*?)>")
+    iri = t.startswith("<") & t.rlike(r"^<(.*?)>")
     literal = F.replace(t, F.lit("@en"), F.lit("")) if compat else F.regexp_replace(t, r'(?<=")@en$', "")
     return F.when(iri, F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(F.replace(literal, F.lit('"'), F.lit("")))
 

@@ -72,9 +72,14 @@ def exploded(docs: DataFrame, column: str = "triples") -> DataFrame:
 
 
 def parse_nt(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``(s, p, o)`` of N-Triples lines as written; comments, blank lines and broken lines are dropped."""
-    part = lambda i: F.regexp_extract(value, NT, i)
-    return lines.where(F.col(value).rlike(NT) & ~F.col(value).rlike(r"^\s*#")).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
+    """``(s, p, o)`` of N-Triples lines as written; comments, blank lines and broken lines are dropped.
+
+    A line is matched and cut up once. The explode keeps conditions on terms behind the parsing: pushed before it, they would repeat it for each mention of a term, and for all rows of what lines are made of.
+    """
+    line = F.col(value)
+    parts = F.split(F.regexp_replace(line, NT + r"[\s\S]*", "$1\n$2\n$3"), "\n")  # no part holds a line end
+    found = lines.select(F.explode(F.array(F.when(line.rlike(NT) & ~line.rlike(r"^\s*#"), parts))).alias("t")).where("t IS NOT NULL")
+    return found.select(*[F.col("t")[i].alias(c) for i, c in enumerate("spo")])
 
 
 def nt(spark: SparkSession, path: str) -> DataFrame:
