@@ -6,6 +6,7 @@ Flat shapes have column expressions; nested Python literals go through an Arrow
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,21 @@ def bracket_spans(text: str) -> list[str]:
     return out
 
 
+_PLAIN = r"\[(?:'[^'\\\n\r\0\[\]]*'(?:, '[^'\\\n\r\0\[\]]*')*)?\]"
+_PLAIN_LIST, _PLAIN_LISTS = re.compile(_PLAIN), re.compile(rf"\[{_PLAIN}(?:, {_PLAIN})*\]")
+
+
+def plain_list(text: str) -> list[str] | None:
+    """A literal list of plain single-quoted strings, which are most of what models say; None for anything else, which may be a literal too."""
+    return text[2:-2].split("', '") if len(text) > 2 and _PLAIN_LIST.fullmatch(text) else None
+
+
+def literal(text: str):
+    """``ast.literal_eval``, spared where the text is a plain list."""
+    plain = plain_list(text)
+    return ast.literal_eval(text) if plain is None else plain
+
+
 def triples_of(text: str | None) -> list[list[str]]:
     """All triples of a completion.
 
@@ -35,8 +51,10 @@ def triples_of(text: str | None) -> list[list[str]]:
     """
     out = []
     for span in bracket_spans(text or ""):
+        if _PLAIN_LISTS.fullmatch(span):
+            continue  # its lists came before it
         try:
-            value = ast.literal_eval(span)
+            value = literal(span)
         except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
             continue
         if not isinstance(value, list):
@@ -79,7 +97,7 @@ def entities_of(text: str | None) -> list[str]:
     if a < 0 or b < a:
         return []
     try:
-        value = ast.literal_eval(text[a : b + 1])
+        value = literal(text[a : b + 1])
     except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
         return []
     return [str(x) for x in value]

@@ -28,13 +28,19 @@ def retrieved(definitions: DataFrame, opened: DataFrame, known: DataFrame, embed
     Each distinct definition is embedded once.
     """
     q = cut(spread(dense_numbers(definitions.select("definition").distinct(), "definition", "id")).select("id", "definition", M.embed(embedder, F.col("definition"), X.STS_PREFIX).alias("embedding")))
+    found = retrieved_for(q.select("id", "embedding"), opened, known, embedder, k)
+    return q.select("id", "definition").join(found, "id").select("definition", "candidates")
+
+
+def retrieved_for(queries: DataFrame, opened: DataFrame, known: DataFrame, embedder: M.Embedder, k: int = 5) -> DataFrame:
+    """``(id, candidates)`` as ``retrieved`` for all ``queries`` (id, embedding)."""
     parts = []
     for kind, schema in enumerate((opened, known)):
-        s = cut(dense_numbers(schema.select("label", "definition").distinct(), "label", "id").select("id", "label", M.embed(embedder, F.col("definition")).alias("embedding")))
-        hits = V.top_k(q.select("id", "embedding"), s.select("id", "embedding"), k)
+        s = cut(spread(dense_numbers(schema.select("label", "definition").distinct(), "label", "id")).select("id", "label", M.embed(embedder, F.col("definition")).alias("embedding")))
+        hits = V.top_k(queries, s.select("id", "embedding"), k)
         parts.append(hits.join(s.select(F.col("id").alias("cand_id"), "label"), "cand_id").select("query_id", F.lit(kind).alias("kind"), "rank", "label"))
     found = parts[0].unionAll(parts[1]).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "rank", "label"))), lambda x: x.label).alias("candidates"))
-    return q.join(found, q.id == found.query_id, "left").select("definition", F.array_distinct(F.coalesce("candidates", F.array().cast("array<string>"))).alias("candidates"))
+    return queries.select("id").join(found, F.col("id") == F.col("query_id"), "left").select("id", F.array_distinct(F.coalesce("candidates", F.array().cast("array<string>"))).alias("candidates"))
 
 
 def _with_hints(rows: DataFrame, hints: DataFrame | None) -> DataFrame:
@@ -67,7 +73,7 @@ def canonicalize(
     cands = retrieved(rows, opened, known, embedder, k)
     rows = _with_hints(rows.join(cands, "definition").join(docs.select("doc_id", "text"), "doc_id"), hints)
     rows = rows.withColumn("candidates", X.hints_in_front(F.col("hints"), F.col("candidates"))).drop("hints")
-    judged = cut(rows.withColumn("chosen", _verified(verifier, F.col("candidates"), F.size("candidates") > 0)))
+    judged = cut(rows.withColumn("chosen", _verified(verifier, F.col("candidates"), F.size("candidates") > 0)).drop("text"))
     new = judged.where("chosen IS NULL").groupBy(F.col("rel").alias("label")).agg(F.min_by("definition", F.struct("doc_id", "pos")).alias("definition"), F.min(F.struct("doc_id", "pos")).alias("at"))
     out = kept.unionAll(judged.select("doc_id", "pos", "subj", F.coalesce("chosen", "rel").alias("rel"), "obj", F.col("rel").alias("open_rel"), "candidates"))
     if not enrich:
